@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rookery.llm.addresses import same_building
 from rookery.llm.mapping import map_column
 from rookery.llm.names import pinyin_of
 from rookery.sources import table
@@ -30,5 +31,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.distinct()
 
 
-QUERIES = {"p6_found": p6_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings whose addresses denote the same building."""
+    pinyin = pinyin_of(table(spark, sf_dir, "ref_communities", "name", "name_pinyin"))
+    rows = table(spark, sf_dir, "rental_listings", "listing_id", "city", "address_text", "community_name")
+    return same_building(rows, "listing_id", "city", "address_text", "community_name", pinyin).select(F.col("a").alias("listing_id_a"), F.col("b").alias("listing_id_b"))
+
+
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
