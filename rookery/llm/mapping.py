@@ -8,13 +8,14 @@ the reference sets; the best candidate is kept if it differs by one slip at most
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from rookery.llm import names as N
 from rookery.llm.set_join import jaccard_join
+from rookery.session import cut
 
 #: Jaccard similarity of syllable sets from which a reference entry is a candidate.
 THRESHOLD = 0.5
@@ -98,26 +99,26 @@ def _read(name: str, phase: str, endings: dict[str, str], pinyin: dict[str, str]
 
 
 _READERS = {"estate": estate_variants, "subdistrict": subdistrict_variants}
-_VARIANT = "value string, variant int, syl array<string>, han string, ending string, phase string, tokens array<string>"
+_VARIANT = "kind string, value string, variant int, syl array<string>, han string, ending string, phase string, tokens array<string>"
 
 
-def read_values(df: DataFrame, kind: str, pinyin: dict[str, str]) -> DataFrame:
-    """Readings of the distinct ``value`` of ``df``; a value that can't be read has none."""
-    reader, syllables = _READERS[kind], set(pinyin.values())
+def read_values(df: DataFrame, pinyin: dict[str, str]) -> DataFrame:
+    """Readings of each ``kind``, ``value``; a value that can't be read has none. Tokens of different kinds differ."""
+    syllables = set(pinyin.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for v in pdf["value"]:
+            for kind, v in zip(pdf["kind"], pdf["value"]):
                 seen = set()
-                for k, (syl, han, ending, phase) in enumerate(reader(v, pinyin, syllables)):
-                    toks = _tokens(syl, ending, phase)
+                for k, (syl, han, ending, phase) in enumerate(_READERS[kind](v, pinyin, syllables)):
+                    toks = [f"{kind[0]}:{t}" for t in _tokens(syl, ending, phase)]
                     if toks and (tuple(syl), han, ending, phase) not in seen:
                         seen.add((tuple(syl), han, ending, phase))
-                        rows.append((v, k, syl, han, ending, phase, toks))
-            yield pd.DataFrame(rows, columns=["value", "variant", "syl", "han", "ending", "phase", "tokens"])
+                        rows.append((kind, v, k, syl, han, ending, phase, toks))
+            yield pd.DataFrame(rows, columns=["kind", "value", "variant", "syl", "han", "ending", "phase", "tokens"])
 
-    return df.select("value").mapInPandas(run, _VARIANT)
+    return df.select("kind", "value").mapInPandas(run, _VARIANT)
 
 
 @F.pandas_udf(T.StructType([T.StructField("slips", T.IntegerType()), T.StructField("chars", T.IntegerType())]))
@@ -129,30 +130,37 @@ def _slips(a: pd.Series, b: pd.Series, ha: pd.Series, hb: pd.Series) -> pd.DataF
     return pd.DataFrame(out, columns=["slips", "chars"])
 
 
-def map_values(values: DataFrame, ref: DataFrame, kind: str, pinyin: dict[str, str], threshold: float = THRESHOLD, slips: int = SLIPS) -> DataFrame:
-    """Best entries for each distinct ``value``: ``value``, ``ref_id``, ``slips``, ``chars``, ``tie`` (1 if it is the only best).
+def jaccard_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs ``kind``, ``value``, ``variant``, ``ref_id`` whose token sets are similar."""
+    j = jaccard_join(typed, known, ["kind", "value", "variant"], ["ref_id"], THRESHOLD)
+    return j.select(F.col("l_kind").alias("kind"), F.col("l_value").alias("value"), F.col("l_variant").alias("variant"), F.col("r_ref_id").alias("ref_id"))
 
-    ``ref`` has ``ref_id`` and ``name``. A value that is a name of the list, character by character, maps to it. Nulls and
+
+def map_values(values: DataFrame, ref: DataFrame, pinyin: dict[str, str], candidates: Callable[[DataFrame, DataFrame], DataFrame] = jaccard_candidates, slips: int = SLIPS) -> DataFrame:
+    """Best entries for each distinct ``kind``, ``value``: ``ref_id``, ``slips``, ``chars``, ``dice``, ``tie`` (1 if it is the only best).
+
+    ``ref`` has ``kind``, ``ref_id`` and ``name``. A value that is a name of the list, character by character, maps to it. Nulls and
     empty values aren't mapped. Entries that tie for the best come as several rows; a value with no entry has no row.
     """
-    values = values.where(F.col("value").isNotNull()).select("value").distinct()
-    exact = values.join(ref.select(F.col("name").alias("value"), "ref_id"), "value")
-    rest = values.join(ref.select(F.col("name").alias("value")), "value", "left_anti")
-    typed = read_values(rest, kind, pinyin)
-    known = read_values(ref.select(F.col("name").alias("value")).distinct(), kind, pinyin).where("variant = 0").join(ref.select(F.col("name").alias("value"), "ref_id"), "value")
-    pairs = jaccard_join(typed, known, ["value", "variant"], ["ref_id"], threshold)
-    t = typed.select(F.col("value").alias("l_value"), F.col("variant").alias("l_variant"), "syl", "han", "ending", "phase")
-    k = known.select(F.col("ref_id").alias("r_ref_id"), F.col("syl").alias("r_syl"), F.col("han").alias("r_han"), F.col("ending").alias("r_ending"), F.col("phase").alias("r_phase"))
-    c = pairs.join(k, "r_ref_id").join(t, ["l_value", "l_variant"])
+    names = ref.select("kind", F.col("name").alias("value"), "ref_id")
+    marked = values.where(F.col("value").isNotNull()).select("kind", "value").distinct().join(names, ["kind", "value"], "left")
+    marked = cut(marked)
+    typed = cut(read_values(marked.where("ref_id is null"), pinyin))
+    known = cut(read_values(names.select("kind", "value").distinct(), pinyin).where("variant = 0").join(names, ["kind", "value"]))
+    t = typed.select("kind", "value", "variant", "syl", "han", "ending", "phase", "tokens")
+    k = known.select("kind", "ref_id", F.col("syl").alias("r_syl"), F.col("han").alias("r_han"), F.col("ending").alias("r_ending"), F.col("phase").alias("r_phase"), F.col("tokens").alias("r_tokens"))
+    c = candidates(typed, known).join(k, ["kind", "ref_id"]).join(t, ["kind", "value", "variant"])
     c = c.where((F.col("phase") == F.col("r_phase")) & ((F.col("ending") == "") | (F.col("ending") == F.col("r_ending"))))
     c = c.withColumn("e", _slips("syl", "r_syl", "han", "r_han")).where(F.col("e.slips") <= slips)
     # a slip in a name of which one character is left says nothing
     c = c.where((F.col("e.slips") == 0) | (F.size("syl") >= 2))
-    c = c.groupBy(F.col("l_value").alias("value"), F.col("r_ref_id").alias("ref_id")).agg(F.min(F.struct("e.slips", "e.chars")).alias("e"))
-    best = F.rank().over(Window.partitionBy("value").orderBy("e"))  # a handful of candidates for each value
-    c = c.withColumn("_r", best).where("_r = 1").withColumn("tie", F.count(F.lit(1)).over(Window.partitionBy("value")).cast("int"))
-    c = c.select("value", "ref_id", F.col("e.slips").alias("slips"), F.col("e.chars").alias("chars"), "tie")
-    return exact.select("value", "ref_id", F.lit(0).alias("slips"), F.lit(0).alias("chars"), F.lit(1).alias("tie")).unionByName(c)
+    dice = 2 * F.size(F.array_intersect("tokens", "r_tokens")) / (F.size("tokens") + F.size("r_tokens"))
+    c = c.groupBy("kind", "value", "ref_id").agg(F.min(F.struct("e.slips", "e.chars")).alias("e"), F.max(dice).alias("dice"))
+    best = F.rank().over(Window.partitionBy("kind", "value").orderBy("e"))  # a handful of candidates for each value
+    c = c.withColumn("_r", best).where("_r = 1").withColumn("tie", F.count(F.lit(1)).over(Window.partitionBy("kind", "value")).cast("int"))
+    c = c.select("kind", "value", "ref_id", F.col("e.slips").alias("slips"), F.col("e.chars").alias("chars"), "tie", "dice")
+    exact = marked.where("ref_id is not null").select("kind", "value", "ref_id", F.lit(0).alias("slips"), F.lit(0).alias("chars"), F.lit(1).alias("tie"), F.lit(1.0).alias("dice"))
+    return cut(exact.unionByName(c))
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
@@ -162,16 +170,20 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
 
-def map_column(df: DataFrame, id_col: str, column: str, ref: DataFrame, kind: str, pinyin: dict[str, str], agree: tuple[str, ...] = ()) -> DataFrame:
-    """One row per ``id_col`` and typed value: ``id_col``, ``value``, ``ref_id`` (-1: no entry is meant), ``slips``.
+def map_rows(rows: DataFrame, ref: DataFrame, pinyin: dict[str, str], agree: tuple[str, ...] = (), candidates: Callable[[DataFrame, DataFrame], DataFrame] = jaccard_candidates) -> DataFrame:
+    """``rows`` (``id``, ``kind``, ``value``, ``agree`` …) with ``ref_id`` (-1: no entry is meant), ``slips``, ``dice`` and ``exact``.
 
-    Entries that tie for a value are ranked per row by how many of the columns ``agree``, which ``df`` and ``ref`` both
-    have, are equal (earlier ones first); what still ties goes to the least ``ref_id``. Null ids and null values give no row.
+    Entries that tie for a value are ranked per row by how many of the columns ``agree``, which ``rows`` and ``ref`` both
+    have, are equal (earlier ones first); what still ties goes to the least ``ref_id``. For kind ``estate`` an entry whose
+    ``parent`` is the row's mapped subdistrict goes first. Null ids and null values give no row.
     """
-    rows = df.where(F.col(column).isNotNull() & F.col(id_col).isNotNull()).select(id_col, F.col(column).alias("value"), *agree).distinct()
-    m = map_values(rows.select("value"), ref.select("ref_id", "name"), kind, pinyin)
-    info = ref.select("ref_id", *[F.col(c).alias(f"_ref_{c}") for c in agree])
-    j = salted_join(rows, m.join(info, "ref_id", "left"), ["value"])
-    fit = F.array(*[F.coalesce(F.col(c) != F.col(f"_ref_{c}"), F.lit(True)).cast("int") for c in agree]) if agree else F.array(F.lit(0))
-    best = F.min(F.struct(fit, F.coalesce("ref_id", F.lit(-1).cast("long")).alias("ref_id"), "slips")).alias("b")
-    return j.groupBy(id_col, "value").agg(best).select(id_col, "value", F.col("b.ref_id").alias("ref_id"), F.col("b.slips").alias("slips"))
+    rows = rows.where(F.col("value").isNotNull() & F.col("id").isNotNull()).select("id", "kind", "value", *agree).distinct()
+    m = map_values(rows, ref, pinyin, candidates)
+    info = ref.select("kind", "ref_id", F.col("name").alias("ref_name"), "parent", *[F.col(c).alias(f"_ref_{c}") for c in agree])
+    j = cut(salted_join(rows, m.join(info, ["kind", "ref_id"]), ["kind", "value"]))
+    home = j.where("kind = 'subdistrict' and ref_id is not null").groupBy("id").agg(F.min("ref_id").alias("home"))
+    tied = j.where("tie > 1").join(home, "id", "left")
+    fit = F.array(*[F.coalesce(a != b, F.lit(True)).cast("int") for a, b in [(F.col("parent"), F.col("home")), *((F.col(c), F.col(f"_ref_{c}")) for c in agree)]])
+    tied = tied.groupBy("id", "kind", "value").agg(F.min(F.struct(fit, F.col("ref_id").alias("ref_id"), "slips", "ref_name", "dice")).alias("b")).select("id", "kind", "value", "b.ref_id", "b.slips", "b.ref_name", "b.dice")
+    plain = j.where("tie is null or tie = 1").select("id", "kind", "value", F.coalesce("ref_id", F.lit(-1).cast("long")).alias("ref_id"), "slips", "ref_name", "dice")
+    return plain.unionByName(tied).withColumn("exact", F.coalesce(F.col("value") == F.col("ref_name"), F.lit(False))).drop("ref_name")

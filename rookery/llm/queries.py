@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rookery.llm.addresses import same_building
-from rookery.llm.mapping import map_column
+from rookery.llm.entities import hamming_candidates, match_records, positive, rooms
+from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
+from rookery.session import cut
 from rookery.sources import table
 
 
-def _communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    subs = table(spark, sf_dir, "ref_subdistricts", "subdistrict_id", "district")
-    return table(spark, sf_dir, "ref_communities", "community_id", "name", "subdistrict_id").withColumnRenamed("community_id", "ref_id").join(subs, "subdistrict_id", "left")
+def _reference(spark: SparkSession, sf_dir: str, subdistricts: bool = True) -> DataFrame:
+    """The reference lists as one: kind, ref_id, name, parent, district."""
+    subs = table(spark, sf_dir, "ref_subdistricts", "subdistrict_id", "name", "district")
+    com = table(spark, sf_dir, "ref_communities", "community_id", "name", "subdistrict_id").join(subs.select("subdistrict_id", "district"), "subdistrict_id", "left")
+    out = com.select(F.lit("estate").alias("kind"), F.col("community_id").alias("ref_id"), "name", F.col("subdistrict_id").alias("parent"), "district")
+    if subdistricts:
+        out = out.unionByName(subs.select(F.lit("subdistrict").alias("kind"), F.col("subdistrict_id").alias("ref_id"), "name", F.lit(None).cast("long").alias("parent"), "district"))
+    return out
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference entry that each typed community and subdistrict means, -1 if none."""
     pinyin = pinyin_of(table(spark, sf_dir, "ref_communities", "name", "name_pinyin"))
-    rows = table(spark, sf_dir, "rental_listings", "listing_id", "community_name", "subdistrict", "district")
-    subs = table(spark, sf_dir, "ref_subdistricts", "subdistrict_id", "name", "district").withColumnRenamed("subdistrict_id", "ref_id")
-    by_sub = map_column(rows, "listing_id", "subdistrict", subs, "subdistrict", pinyin, ("district",))
-    placed = rows.join(by_sub.select("listing_id", F.col("value").alias("subdistrict"), F.col("ref_id").alias("subdistrict_id")), ["listing_id", "subdistrict"], "left")
-    by_name = map_column(placed, "listing_id", "community_name", _communities(spark, sf_dir), "estate", pinyin, ("subdistrict_id", "district"))
-
-    def typed(m: DataFrame, field: str, ref: DataFrame) -> DataFrame:
-        return m.join(ref.select(F.col("name").alias("value")), "value", "left_anti").select("listing_id", F.lit(field).alias("field"), "ref_id")
-
-    out = typed(by_name, "community_name", table(spark, sf_dir, "ref_communities", "name")).unionByName(typed(by_sub, "subdistrict", table(spark, sf_dir, "ref_subdistricts", "name")))
-    return out.distinct()
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in (("estate", "community_name"), ("subdistrict", "subdistrict"))])).alias("x")
+    rows = table(spark, sf_dir, "rental_listings", "listing_id", "community_name", "subdistrict", "district").select(F.col("listing_id").alias("id"), each, "district").select("id", "x.kind", "x.value", "district")
+    m = map_rows(rows, _reference(spark, sf_dir), pinyin, ("district",)).where("not exact")
+    field = F.when(F.col("kind") == "estate", "community_name").otherwise("subdistrict")
+    return m.select(F.col("id").alias("listing_id"), field.alias("field"), "ref_id").distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,5 +39,30 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_building(rows, "listing_id", "city", "address_text", "community_name", pinyin).select(F.col("a").alias("listing_id_a"), F.col("b").alias("listing_id_b"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings and partner records of the same home: lid, rid, score, confidence."""
+    pinyin = pinyin_of(table(spark, sf_dir, "ref_communities", "name", "name_pinyin"))
+    fields = ["city", "district", "community_name", rooms("layout").alias("rooms"), positive("area_sqm").alias("area"), positive("rent_price").alias("rent")]
+    one = spark.read.parquet(f"{sf_dir}/rental_listings.parquet").select(F.struct(F.lit("l").alias("side"), F.col("listing_id").alias("key")).alias("id"), *fields)
+    two = spark.read.parquet(f"{sf_dir}/partner_listings.parquet").select(F.struct(F.lit("r").alias("side"), F.col("partner_id").alias("key")).alias("id"), *fields)
+    both = one.unionByName(two).where("city is not null and community_name is not null").distinct()
+    named = map_rows(both.select("id", F.lit("estate").alias("kind"), F.col("community_name").alias("value"), "district"), _reference(spark, sf_dir, False), pinyin, ("district",), hamming_candidates)
+    named = named.where("ref_id >= 0").select("id", F.col("value").alias("community_name"), "ref_id", F.col("dice").alias("name_dice"))
+    d = cut(both.join(named, ["id", "community_name"]).select("id.side", "id.key", "city", "ref_id", "name_dice", "rooms", "area", "rent"))
+    left = d.where("side = 'l'").drop("side").withColumnRenamed("key", "lid")
+    right = d.where("side = 'r'").drop("side").withColumnRenamed("key", "rid")
+    return match_records(left, right, ["city", "ref_id"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a listing and a partner record that describe the same home."""
+    return _matches(spark, sf_dir).select(F.col("lid").alias("listing_id"), F.col("rid").alias("partner_id"))
+
+
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pairs with score and calibrated confidence."""
+    return _matches(spark, sf_dir).select(F.col("lid").alias("listing_id"), F.col("rid").alias("partner_id"), F.round("score", 4).alias("score"), "confidence")
+
+
+QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
