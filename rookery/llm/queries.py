@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rookery.llm.addresses import same_building
 from rookery.llm.entities import hamming_candidates, match_records, positive, rooms
+from rookery.llm.leakage import leaks
 from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
 from rookery.session import cut
@@ -64,5 +65,11 @@ def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matches(spark, sf_dir).select(F.col("lid").alias("listing_id"), F.col("rid").alias("partner_id"), F.round("score", 4).alias("score"), "confidence")
 
 
-QUERIES = {"p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain passages of evaluation items."""
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "text")
+    return leaks(docs, "doc_id", "text", items, "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+QUERIES = {"p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
