@@ -9,6 +9,7 @@ from rookery.llm.entities import hamming_candidates, match_records, positive, ro
 from rookery.llm.leakage import leaks
 from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
+from rookery.llm.textstats import not_prose, outlier_scores, text_statistics
 from rookery.session import cut
 from rookery.sources import table
 
@@ -71,5 +72,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(docs, "doc_id", "text", items, "item_id", "text").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"))
 
 
-QUERIES = {"p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that aren't natural prose."""
+    return not_prose(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics and outlier score of every document."""
+    return outlier_scores(cut(text_statistics(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
