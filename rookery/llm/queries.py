@@ -9,6 +9,7 @@ from rookery.llm.entities import hamming_candidates, match_records, positive, ro
 from rookery.llm.leakage import leaks
 from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
+from rookery.llm.packing import pack, token_counts
 from rookery.llm.textstats import not_prose, outlier_scores, text_statistics
 from rookery.session import cut
 from rookery.sources import table
@@ -82,5 +83,10 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_scores(cut(text_statistics(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of each document or piece, and the space left in it."""
+    return pack(token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"p8_containers": p8_containers, "p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
