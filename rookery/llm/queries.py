@@ -10,6 +10,7 @@ from rookery.llm.leakage import leaks
 from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
 from rookery.llm.packing import pack, token_counts
+from rookery.llm.sketches import merge, percentiles, sketch
 from rookery.llm.textstats import not_prose, outlier_scores, text_statistics
 from rookery.session import cut
 from rookery.sources import table
@@ -88,5 +89,26 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p8_containers": p8_containers, "p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per day, as they would be kept."""
+    rows = table(spark, sf_dir, "price_area_rows", "distance_bucket", "computed_on", "rent_price", "rent_per_sqm")
+    return sketch(rows, ["distance_bucket", "computed_on"], ["rent_price", "rent_per_sqm"])
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.withColumnRenamed("column", "field").withColumn("value", F.round("value", 4))
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per distance bucket over all days, from the sketches of the days."""
+    return _rounded(percentiles(merge(_daily(spark, sf_dir), ["distance_bucket"]), ["distance_bucket"]))
+
+
+def p2_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per week: other spans of the same daily sketches."""
+    week = _daily(spark, sf_dir).withColumn("week", F.to_date(F.date_trunc("week", "computed_on")))
+    return _rounded(percentiles(merge(week, ["distance_bucket", "week"]), ["distance_bucket", "week"]))
+
+
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_weekly": p2_weekly, "p8_containers": p8_containers, "p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}
