@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rookery.session import cut
 
-#: Bits of a vector, chunks it is cut into, and the radius of the search.
-BITS, CHUNKS, RADIUS = 64, 4, 7
+#: Bits of a vector, bits that a q-gram sets, chunks the vector is cut into, and the radius of the search: one q-gram
+#: exchanged for another, or one and an ending missing.
+BITS, HASHES, CHUNKS, RADIUS = 64, 2, 5, 4
 #: Largest ratio of two areas and of two rents of one home.
 AREA_RATIO, RENT_RATIO = 1.04, 1.08
 #: Share of each field in the score.
@@ -26,32 +27,35 @@ SALTS = 8
 
 
 def bit_vector(tokens: str) -> Column:
-    """64-bit vector of an array of q-grams; each sets one bit."""
-    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | shiftleft(1L, cast(pmod(xxhash64(x), {BITS}) as int)))")
+    """64-bit vector of an array of q-grams; each sets HASHES bits."""
+    one = " | ".join(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(x), {k * 16}), {BITS}) as int))" for k in range(HASHES))
+    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | {one})")
 
 
-def _chunks(vector: str) -> Column:
-    width = BITS // CHUNKS
-    return F.array(*[F.struct(F.lit(i).alias("at"), F.expr(f"cast(shiftrightunsigned({vector}, {i * width}) & {(1 << width) - 1}L as int)").alias("bits")) for i in range(CHUNKS)])
+def _chunk(vector: str, i: int) -> Column:
+    width = -(-BITS // CHUNKS)
+    return F.expr(f"cast(shiftrightunsigned({vector}, {i * width}) & {(1 << width) - 1}L as int)")
 
 
 def hamming_candidates(typed: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``kind``, ``value``, ``variant``, ``ref_id`` whose vectors differ in at most ``radius`` bits: all of them.
+    """Pairs ``kind``, ``value``, ``variant``, ``ref_id`` whose vectors differ in at most ``radius`` bits: all of them that agree
+    in phase and, where both have one, in ending.
 
-    With m chunks some chunk differs in at most radius / m bits; with 64 bits, 4 chunks and radius 7 that is one bit, so
-    each chunk of a reference name is stored with its 16 neighbours and looked up once.
+    With m chunks some chunk differs in at most radius / m bits, so with fewer bits than chunks some chunk is equal, and the
+    search is an equi-join on chunks; a pair is taken from the first chunk that it agrees in.
     """
-    per = radius // CHUNKS
-    if per > 1:
-        raise ValueError("raise CHUNKS: at most one differing bit per chunk is enumerated")
-    width = BITS // CHUNKS
-    masks = [0] + ([1 << i for i in range(width)] if per else [])
-    near = F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask")
-    a = typed.select("kind", "value", "variant", bit_vector("tokens").alias("v")).select("*", F.explode(_chunks("v")).alias("c")).select("kind", "value", "variant", "v", F.col("c.at").alias("at"), F.col("c.bits").alias("bits"))
-    b = known.select("kind", "ref_id", bit_vector("tokens").alias("w")).select("*", F.explode(_chunks("w")).alias("c")).select("kind", "ref_id", "w", "c", near)
-    b = b.select("kind", "ref_id", "w", F.col("c.at").alias("at"), F.col("c.bits").bitwiseXOR(F.col("mask")).alias("bits"))
-    j = a.join(b, ["kind", "at", "bits"]).where(F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= radius)
-    return j.select("kind", "value", "variant", "ref_id").distinct()
+    if radius >= CHUNKS:
+        raise ValueError("the radius must be below CHUNKS, so that some chunk is equal")
+
+    def indexed(df: DataFrame, ids: list[str], v: str) -> DataFrame:
+        d = df.select(*ids, bit_vector("tokens").alias(v), F.col("ending").alias(f"{v}_e"), F.col("phase").alias(f"{v}_p"))
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), _chunk(v, i).alias("bits")) for i in range(CHUNKS)])).alias("c")
+        return d.select("*", each).select(*d.columns, F.col("c.at").alias("at"), F.col("c.bits").alias("bits"))
+
+    a, b = indexed(typed, ["kind", "value", "variant"], "v"), indexed(known, ["kind", "ref_id"], "w")
+    j = a.join(b, ["kind", "at", "bits"]).where((F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= radius) & (F.col("v_p") == F.col("w_p")) & ((F.col("v_e") == "") | (F.col("v_e") == F.col("w_e"))))
+    first = F.coalesce(*[F.when(_chunk("v", i) == _chunk("w", i), i) for i in range(CHUNKS)])
+    return j.where(F.col("at") == first).select("kind", "value", "variant", "ref_id")
 
 
 # Words for homes of one room.
