@@ -43,7 +43,9 @@ def distribution_stats(df: DataFrame, keys: list[str], value: str, dp: int = 2)
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     s = nearest_rank(c, keys, value, "_w", {"p25": 0.25, "p75": 0.75})
     r = lambda x: F.round(F.col(x).cast("double"), dp)
-    return s.select(*keys, "n", r("min").alias("min"), r("p25").alias("p25"), r("median").alias("median"), r("p75").alias("p75"), r("max").alias("max"), F.round((F.col("p75") - F.col("p25")).cast("double"), dp).alias("iqr"))
+    # the mean of two decimals may end in a half that isn't exact in binary; it is rounded up as a decimal
+    mid = F.coalesce(F.round(F.col("median").try_cast("decimal(28,6)"), dp).cast("double"), r("median"))
+    return s.select(*keys, "n", r("min").alias("min"), r("p25").alias("p25"), mid.alias("median"), r("p75").alias("p75"), r("max").alias("max"), F.round((F.col("p75") - F.col("p25")).cast("double"), dp).alias("iqr"))
 
 
 def percentile_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from rookery.functions.geo import haversine_m
 from rookery.functions.text import all_ints, clean_text, dashed, epoch_time, first_int, head_and_rest, iso_time, layout_parts, price_bounds, trailing_id
 from rookery.operators import distributions as dist, history as hist, layers, location as loc, quality as qual, store
 from rookery.operators.near import near_pairs
+from rookery.plans.listings_sql import ORACLE
 from rookery.rules import Rules
 from rookery.sources import pages, table
 
@@ -453,4 +454,4 @@ QUERIES = {f.__name__: f for f in (
     constraint_violations, map_layers, map_visibility, dashboard_metrics, confidence_mean, crawl_totals, event_counts, page_cards, page_ld_detail, page_ld_list, page_summary, page_hash, api_items, times_parsed, order_price_stats, point_distances,
 )}
 
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]
