@@ -133,7 +133,8 @@ def _across(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     chunks = rows.groupBy(*keys, "_c").agg(F.min(seq).alias("least"), *[F.max_by(f"st_{c}", "v").alias(f"end_{c}") for c in values])
     w = Window.partitionBy(*keys).orderBy("_c")  # one row per chunk of an entity
     chunks = cut(chunks.select(*keys, "_c", "least", F.min("least").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("later"), (F.row_number().over(w) == 1).alias("opens"), *[F.last(f"end_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"in_{c}") for c in values]))
-    r = rows.join(chunks.select(*keys, "_c", "later", "opens", *[f"in_{c}" for c in values]), [*keys, "_c"])
+    more = ["later", "opens", *[f"in_{c}" for c in values]]
+    r = rows.alias("r").join(chunks.alias("k"), _same("r", "k", keys) & (F.col("r._c") == F.col("k._c"))).select("r.*", *[f"k.{c}" for c in more])
     r = r.withColumns({f"{p}_{c}": F.coalesce(f"{p}_{c}", f"in_{c}") for p in ("st", "pv") for c in values} | {"_first": F.col("_first") & F.col("opens")}).drop("opens", *[f"in_{c}" for c in values])
     r = cut(r)
 

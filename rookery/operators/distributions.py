@@ -49,7 +49,9 @@ def distribution_stats(df: DataFrame, keys: list[str], value: str, dp: int = 2)
 
 
 def percentile_ranks(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds (rows with a value up to this one - 1) / (n - 1), 4 places, ties share the highest; 0 in a group of one."""
+    """Adds (rows with a value up to this one - 1) / (n - 1), 4 places, ties share the highest; 0 in a group of one.
+    Rows with a null key or value get null.
+    """
     c = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
     w = Window.partitionBy(*keys)
     c = c.withColumns({"_u": F.sum("_w").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_n": F.sum("_w").over(w)})

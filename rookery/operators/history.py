@@ -25,10 +25,13 @@ def price_history(df: DataFrame, keys: list[str], at: str, price: str, tie: list
     ends = df.where(F.col(at).isNotNull() & F.col(price).isNotNull()).withColumn("_span", F.date_trunc(span, at))
     order = F.struct(F.col(at), *[t.alias(f"_t{i}") for i, t in enumerate(tie)])
     ends = ends.groupBy(*keys, "_span").agg(F.max_by(price, order).alias("_last"), F.min_by(price, order).alias("_start"), F.min(price).alias("_min"))
-    all_spans = d.select(*keys, "_span").distinct().join(ends, [*keys, "_span"], "left")
+    all_spans = d.select(*keys, "_span", F.lit(None).alias("_last"), F.lit(None).alias("_start"), F.lit(None).alias("_min")).unionByName(ends).groupBy(*keys, "_span").agg(*[F.max(c).alias(c) for c in ("_last", "_start", "_min")])
     c = Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)  # one row per span
     carry = all_spans.select(*keys, "_span", F.last("_last", ignorenulls=True).over(c).alias("_cl"), F.first("_start", ignorenulls=True).over(c).alias("_cs"), F.min("_min").over(c).alias("_cm"))
-    d = d.join(carry, [*keys, "_span"])
+    same = F.col("d._span") == F.col("c._span")
+    for k in keys:
+        same = same & F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}"))
+    d = d.alias("d").join(carry.alias("c"), same).select("d.*", "c._cl", "c._cs", "c._cm")
     prev, first, low = F.coalesce("_prev", "_cl"), F.coalesce("_cs", "_first"), F.least("_low", "_cm")
     p = F.col(price)
     d = d.withColumns({"previous_price": prev, "first_price": first, "lowest_price": low})
