@@ -26,14 +26,19 @@ def words(text: str | None) -> list[str]:
 
 
 def longest_run(errors: np.ndarray, rate: float) -> int:
-    """Length of the longest stretch of ``errors`` (0 or 1 per word) with at most ``rate`` errors per word."""
-    if not len(errors):
+    """Length of the longest stretch of ``errors`` (0 or 1 per word) with at most ``rate`` errors per word.
+
+    A stretch begins and ends with a word that is right, so that an overlap isn't lengthened by what lies beside it.
+    """
+    right = errors == 0
+    if not right.any():
         return 0
     s = np.concatenate([[0.0], np.cumsum(errors - rate)])
     # for each end the first start with s[start] >= s[end]: starts are where s reaches a new maximum
-    top = np.maximum.accumulate(s)
-    first = np.searchsorted(top, s - 1e-9, side="left")
-    return int(np.max(np.arange(len(s)) - first))
+    top = np.maximum.accumulate(np.where(right, s[:-1], -np.inf))
+    ends = np.nonzero(right)[0] + 1
+    first = np.searchsorted(top, s[ends] - 1e-9, side="left")
+    return int(np.max(np.where(first < ends, ends - first, 0)))
 
 
 def aligned_errors(item: np.ndarray, window: np.ndarray, band: int) -> np.ndarray:
