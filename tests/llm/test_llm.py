@@ -169,7 +169,7 @@ def test_runs_and_alignment():
 
 
 PROSE = "We liked the window, though the hidden shelf was cleaned two weeks ago. It is a quiet place near the canal."
-JUNK = ["a / b", "- odd gate\n- dry lamp\n- old sofa\n- big sink", "★★★ ||| $$$", "WRbQBzx0WTgM556OJfc6HrgTQGq", "", "lamp lamp sofa lamp sofa lamp sofa sofa", "水龙头: —\n地毯: 老旧\n厨房: 精致", None, "\n\n"]
+JUNK = ["a / b", "- odd gate\n- dry lamp\n- old sofa\n- big sink", "★★★ ||| $$$", "WRbQBzx0WTgM556OJfc6HrgTQGq", "", "lamp lamp sofa lamp sofa lamp sofa sofa", "水龙头: —\n地毯: 老旧\n厨房: 精致", None, "\n\n", "APP | Log in | Sell | 下一页 | Log in | Log in | Help | Log in"]
 
 
 def test_not_prose(spark):
