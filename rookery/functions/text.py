@@ -85,3 +85,34 @@ def epoch_time(c: Column) -> Column:
 def non_empty(*cs: Column) -> Column:
     """The first of the texts that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cs])
+
+
+def subway_text(c: Column) -> Column:
+    """Subway stations of a JSON list as "name(lines, Nm); …"; text that isn't such a list stays as it is."""
+    stops = F.from_json(c, "array<struct<name:string,lines:array<string>,distance:double>>")
+    one = lambda x: F.concat(x["name"], F.lit("("), F.concat_ws("/", x["lines"]), F.lit(", "), F.format_string("%.0f", x["distance"]), F.lit("m)"))
+    text = F.concat_ws("; ", F.transform(F.filter(stops, lambda x: x["name"].isNotNull()), one))
+    return F.when(F.nullif(text, F.lit("")).isNotNull(), text).otherwise(strip(c))
+
+
+def translated_prefix(c: Column, names: dict[str, str]) -> Column:
+    """The text with the first of ``names`` that it begins with replaced by its translation; curly quotes made plain."""
+    c = F.translate(c, "‘’“”", "''\"\"")
+    out = c
+    for k, v in names.items():
+        out = F.when(c.startswith(k), F.concat(F.lit(v), F.substr(c, F.lit(len(k) + 1)))).otherwise(out)
+    return out
+
+
+def area_guess(c: Column, endings: str = "路|街|大道|弄|号|小区|公寓") -> Column:
+    """Struct of an area name and a confidence from a free title, for titles that no dictionary knows.
+
+    A title that begins with digits names none; one in brackets is a weak guess; otherwise what is left when numbers and
+    an ending are taken off the first word, less sure the shorter it is.
+    """
+    head = F.regexp_extract(strip(c), r"^([^\s(（,，]+)", 1)
+    inside = F.regexp_extract(c, r"[(（]([^)）]+)[)）]", 1)
+    left = F.regexp_replace(head, rf"(?:[0-9]+|{endings})+$", "")
+    name = F.when(head.rlike("^[0-9]"), F.lit(None)).when(F.length(left) >= 2, left).when(inside != "", inside)
+    sure = F.when(name.isNull(), 0.0).when(F.length(left) < 2, 0.1).when(left == head, 0.7).when(F.length(left) >= 4, 0.5).when(F.length(left) == 3, 0.4).otherwise(0.3)
+    return F.struct(name.alias("name"), sure.alias("confidence"))

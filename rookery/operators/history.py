@@ -11,7 +11,7 @@ def direction(delta: Column) -> Column:
     return F.when(delta < 0, "down").when(delta > 0, "up").when(delta == 0, "unchanged").otherwise("first_or_unknown")
 
 
-def price_history(df: DataFrame, keys: list[str], at: str, price: str, tie: list[Column], span: str = "week") -> DataFrame:
+def price_history(df: DataFrame, keys: list[str], at: str, price: str, tie: list[Column], span: str = "day") -> DataFrame:
     """Each observation with the last known, first known and least known price up to it, deltas, share and direction.
 
     The order is ``at``, then ``tie``. Running values are computed inside spans of time and carried from span to span,

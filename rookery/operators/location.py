@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from rookery.operators.distributions import distribution_stats
 from rookery.operators.near import near_pairs
+from rookery.operators.ranks import global_order
 from rookery.rules import Rules
 from rookery.session import cut
 
@@ -85,7 +86,7 @@ def density_clusters(df: DataFrame, id_col: str, rules: Rules = Rules()) -> Data
     core = deg.where("is_core").select("id")
     ce = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi").where("a < b")
     roots = cut(components(ce, core))
-    names = roots.select("root").distinct().withColumn("no", F.row_number().over(Window.orderBy("root")))  # one row per cluster
+    names = global_order(roots.select("root").distinct(), [F.col("root")]).select("root", (F.col("_pos") + 1).alias("no"))
     of_core = cut(roots.join(names, "root").select("id", "no"))
     border = pairs.join(of_core.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("no").alias("bno"))
     d = deg.join(of_core, "id", "left").join(border, "id", "left").withColumn("no", F.when(F.col("is_core"), F.col("no")).otherwise(F.col("bno"))).drop("bno")

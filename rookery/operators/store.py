@@ -61,3 +61,15 @@ def longest_prefix(values: DataFrame, value: str, table: DataFrame, prefix: str,
     e = v.where(F.length(value) > 0).select(value, F.explode(F.sequence(F.lit(1), F.least(F.length(value), F.lit(longest)))).alias("_k")).withColumn(prefix, F.expr(f"substring({value}, 1, _k)"))
     best = e.join(t, prefix).groupBy(value).agg(F.max_by(name, "_k").alias(name))
     return v.join(best, value, "left")
+
+
+def observations_or_listings(observations: DataFrame, listings: DataFrame) -> DataFrame:
+    """The observation log; only if it holds nothing at all, one observation per listing at its last sighting.
+
+    ``listings`` has first_seen_at and last_seen_at; the status is then active and the age the days between them.
+    """
+    days = F.datediff("last_seen_at", "first_seen_at")
+    made = {"observed_at": F.col("last_seen_at"), "availability_status": F.lit("active"), "days_on_market": days}
+    stand_in = listings.select(*[(made[c] if c in made else F.col(c) if c in listings.columns else F.lit(None)).cast(t).alias(c) for c, t in observations.dtypes])
+    empty = observations.agg((F.count(F.lit(1)) == 0).alias("_empty"))  # one row
+    return observations.unionByName(stand_in.crossJoin(F.broadcast(empty)).where("_empty").drop("_empty"))

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
     """The Parquet table ``name`` in ``folder``; only ``columns`` if any are named."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def typed_csv(spark: SparkSession, path: str, schema: str, flags: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """A CSV with a header as ``schema``: whole numbers may be written as decimals, flags are true for the word true of any
+    case and false otherwise, rows with a blank ``key`` are dropped, texts that don't fit are null.
+    """
+    want = [f.strip().split(" ", 1) for f in schema.split(",")]
+    raw = spark.read.option("header", True).schema(", ".join(f"{n} string" for n, _ in want)).csv(path)
+    out = []
+    for n, t in want:
+        c = F.col(n)
+        if n in flags:
+            c = F.coalesce(F.lower(F.trim(c)) == "true", F.lit(False))
+        elif t in ("int", "bigint", "long"):
+            c = c.try_cast("double").try_cast(t)
+        elif t != "string":
+            c = c.try_cast(t)
+        out.append(c.alias(n))
+    d = raw.select(*out)
+    return d.where(F.coalesce(F.trim(key), F.lit("")) != "") if key else d
+
+
+def missing_layers(layers: dict[str, DataFrame]) -> list[str]:
+    """Names of the layers without rows, one look at each."""
+    return [n for n, df in layers.items() if df.isEmpty()]

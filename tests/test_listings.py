@@ -143,6 +143,26 @@ def test_text_functions(spark):
     assert one(epoch_time(F.lit("1767225600"))) == one(epoch_time(F.lit(1767225600))) and one(epoch_time(F.lit("x"))) is None
 
 
+def test_more_text_and_sources(spark, tmp_path):
+    from rookery.functions.text import area_guess, subway_text, translated_prefix
+    from rookery.sources import missing_layers, typed_csv
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(subway_text(F.lit('[{"name":"A","lines":["2","7"],"distance":350.4}]'))) == "A(2/7, 350m)" and one(subway_text(F.lit(" near A "))) == "near A"
+    assert one(translated_prefix(F.lit("East ‘x’"), {"East": "东"})) == "东 'x'"
+    assert [tuple(one(area_guess(F.lit(t)))) for t in ("12 rd", "荷柳路88号", "三林", "")] == [(None, 0.0), ("荷柳", 0.3), ("三林", 0.7), (None, 0.0)]
+    (tmp_path / "a.csv").write_text("id,n,ok,x\n1,3.0,True,1.5\n,4,true,2\n2,bad,no,\n")
+    assert [tuple(r) for r in typed_csv(spark, str(tmp_path / "a.csv"), "id string, n int, ok boolean, x double", ("ok",), "id").collect()] == [("1", 3, True, 1.5), ("2", None, False, None)]
+    df = spark.range(1)
+    assert missing_layers({"a": df, "b": df.limit(0)}) == ["b"]
+    t = datetime(2026, 5, 1, tzinfo=UTC)
+    li = spark.createDataFrame([("s", "1", 5, t, t + timedelta(days=3))], "source string, source_listing_id string, rent_price int, first_seen_at timestamp, last_seen_at timestamp")
+    ob = spark.createDataFrame([("s", "9", t, 1, "offline", 0)], "source string, source_listing_id string, observed_at timestamp, rent_price int, availability_status string, days_on_market int")
+    assert [r["source_listing_id"] for r in store.observations_or_listings(ob, li).collect()] == ["9"]
+    got = store.observations_or_listings(ob.limit(0), li).first()
+    assert (got["source_listing_id"], got["availability_status"], got["days_on_market"]) == ("1", "active", 3)
+
+
 def test_pages(spark):
     body = '<title> T </title><span>户型</span> <span>2室</span><span>户型</span><span>3室</span><a href="/a">x</a><a href="/a">y</a><a href="b">z</a><script type="application/ld+json">[1]</script><script type="application/ld+json">{bad</script>'
     df = spark.createDataFrame([(1, body, "https://h.example/l/"), (2, None, None)], "k int, body string, base string")
