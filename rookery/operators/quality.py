@@ -28,7 +28,11 @@ def duplicate_flag(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataF
     d = df.withColumns({f"_k_{k}": F.nullif(v.cast("string"), F.lit("")) for k, v in keys.items()})
     names = [f"_k_{k}" for k in keys]
     many = d.dropna(subset=names).groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return d.join(many, names, "left").withColumn("possible_duplicate", F.col("_n").isNotNull()).drop(*names, "_n")
+    # rows without a key match nothing; a salt keeps them from meeting in one task
+    null = F.greatest(*[F.col(n).isNull().cast("int") for n in names]) == 1
+    d = d.withColumn("_salt", F.when(null, F.xxhash64(id_col)).otherwise(F.lit(0).cast("long")))
+    out = d.join(many.withColumn("_salt", F.lit(0).cast("long")), [*names, "_salt"], "left")
+    return out.withColumn("possible_duplicate", F.col("_n").isNotNull()).drop(*names, "_n", "_salt")
 
 
 def quality_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
