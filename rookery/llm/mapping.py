@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
@@ -164,8 +165,13 @@ def map_values(values: DataFrame, ref: DataFrame, pinyin: dict[str, str], candid
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
-    """Join to a side with few rows a key when one key may hold a third of ``left``: the right side is repeated per salt."""
-    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    """Join to a side with few rows a key when one key may hold a third of ``left``: the right side is repeated per salt.
+
+    Rows with a null key match nothing and are spread over very many salts, so that they don't meet in a few tasks.
+    """
+    null = reduce(lambda x, k: x | F.col(k).isNull(), keys, F.lit(False))
+    h = F.xxhash64(*left.columns)
+    a = left.withColumn("_salt", F.when(null, F.pmod(h, F.lit(1 << 20))).otherwise(F.pmod(h, F.lit(salts))).cast("int"))
     b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return a.join(b, [*keys, "_salt"], how).drop("_salt")
 
