@@ -14,6 +14,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rookery.operators.blocks import with_blocks
 from rookery.session import cut
 
 #: Bits of a vector, bits that a q-gram sets, chunks the vector is cut into, and the radius of the search: one q-gram
@@ -23,7 +24,8 @@ BITS, HASHES, CHUNKS, RADIUS = 64, 2, 5, 4
 AREA_RATIO, RENT_RATIO = 1.04, 1.08
 #: Share of each field in the score.
 WEIGHTS = {"name": 0.4, "rooms": 0.2, "area": 0.2, "rent": 0.2}
-SALTS = 8
+#: Left records of a place that are joined as one unit; a place with more is dealt to blocks of this size.
+PLACE_ROWS = 20_000
 
 
 def bit_vector(tokens: str) -> Column:
@@ -79,8 +81,8 @@ def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataF
 
     Both sides have ``place``, ``rooms``, ``area`` and ``rent``. Four indexes are looked up, one for each choice of fields
     that both records have (all three, or two of them); areas and rents are cut into ranges as wide as the tolerance, and
-    the right side looks into three. A pair is taken from one index only. The left side is dealt to salts, so that a
-    place with a third of all rows is spread. Adds the right side's fields with the ending ``_r``.
+    the right side looks into three. A pair is taken from one index only. A place with very many left records is dealt to
+    blocks, and only its right records are repeated per block. Adds the right side's fields with the ending ``_r``.
     """
     fields_of = ("rooms", "area", "rent", "name_dice")
     area_bin = F.floor(F.log("area") / math.log(AREA_RATIO)).cast("int")
@@ -104,15 +106,18 @@ def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataF
                     entries.append(F.when(present(fields), entry))
         return d.withColumn("_e", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull()))).select(*df.columns, "_e.k", "_e.ko", "_e.ka", "_e.kr")
 
-    a = keys(left.select("lid", *place, *fields_of), False).withColumn("_s", F.pmod(F.xxhash64("lid"), F.lit(SALTS)).cast("int"))
-    b = keys(right.select("rid", *place, *fields_of), True).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = with_blocks(left.select("lid", *place, *fields_of), place, "lid", PLACE_ROWS)
+    big = dealt.where("_blocks > 1").select(*place, F.col("_blocks").alias("_nb")).distinct()
+    each = F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1)).alias("_block")
+    a = keys(dealt.drop("_blocks"), False)
+    b = keys(right.select("rid", *place, *fields_of).join(big, place, "left").select("rid", *place, *fields_of, each), True)
     b = b.withColumnsRenamed({f: f"{f}_r" for f in fields_of})
-    j = a.join(b, [*place, "k", "ko", "ka", "kr", "_s"])
+    j = a.join(b, [*place, "k", "ko", "ka", "kr", "_block"])
     both = {f: F.col(f).isNotNull() & F.col(f"{f}_r").isNotNull() for f in ("rooms", "area", "rent")}
     index = F.when(both["rooms"] & both["area"] & both["rent"], 0).when(both["rooms"] & both["area"], 1).when(both["rooms"] & both["rent"], 2).otherwise(3)
     ratio = lambda f: F.greatest(f, f"{f}_r") / F.least(f, f"{f}_r")
     ok = (~both["area"] | (ratio("area") <= AREA_RATIO)) & (~both["rent"] | (ratio("rent") <= RENT_RATIO))
-    return j.where((F.col("k") == index) & ok).drop("k", "ko", "ka", "kr", "_s")
+    return j.where((F.col("k") == index) & ok).drop("k", "ko", "ka", "kr", "_block")
 
 
 def field_dice(a: str, b: str, step: float, reach: int) -> Column:
