@@ -51,9 +51,12 @@ def shingles(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
 
 
 def least_shared(n: int, share: float = SHARE, changed: float = CHANGED, k: int = SHINGLE) -> int:
-    """Shingles of an item of n words that survive in any run of its share with the allowed changes; 1 at least."""
-    m = int(np.ceil(share * n - 1e-9))
-    return max(1, m - k + 1 - k * int(np.floor(m * changed + 1e-9)))
+    """Shingles of an item of n words that survive in any run of its share or more with the allowed changes; 1 at least.
+
+    A longer run may hold one change more and share less, so all lengths count.
+    """
+    run = np.arange(int(np.ceil(share * n - 1e-9)), n + 1)
+    return max(1, int(np.min(run - k + 1 - k * np.floor(run * changed + 1e-9), initial=n)))
 
 
 def _block(docs: DataFrame, items: list[tuple], item_type: str, share: float, changed: float) -> DataFrame:
@@ -61,8 +64,9 @@ def _block(docs: DataFrame, items: list[tuple], item_type: str, share: float, ch
     doc_type = dict(docs.dtypes)["doc"]
     hashed = [(i, word_hashes(t)) for i, t in items]
     all_sh = np.unique(np.concatenate([shingles(h) for _, h in hashed] or [np.zeros(0, np.uint64)]))
-    rows = [(i, int(len(h)), p, int(np.int64(s))) for i, h in hashed for p, s in enumerate(shingles(h).astype(np.int64))]
-    index = spark.createDataFrame(pd.DataFrame(rows, columns=["item", "n", "at", "sh"]), f"item {item_type}, n int, at int, sh long")
+    least_of = {i: least_shared(len(h), share, changed) for i, h in hashed}
+    rows = [(i, int(len(h)), least_of[i], p, int(np.int64(s))) for i, h in hashed for p, s in enumerate(shingles(h).astype(np.int64))]
+    index = spark.createDataFrame(pd.DataFrame(rows, columns=["item", "n", "t", "at", "sh"]), f"item {item_type}, n int, t int, at int, sh long")
 
     def hit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -86,17 +90,15 @@ def _block(docs: DataFrame, items: list[tuple], item_type: str, share: float, ch
     rarity = hits.select("doc", "sh").distinct().groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
     # the rarest S - t + 1 shingles of each item; an item's shingles are few
     k = index.join(rarity, "sh", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    ranked = k.groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sh", "at"))).alias("s"))
-    m = F.ceil(F.lit(share) * F.col("n") - 1e-9)
-    t = F.greatest(F.lit(1), m - SHINGLE + 1 - SHINGLE * F.floor(m * changed + 1e-9))
-    prefix = ranked.select("item", "n", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(1), F.size("s") - t + 1).cast("int"))).alias("s")).select("item", "n", F.col("s.at").alias("at"), F.col("s.sh").alias("sh"))
+    ranked = k.groupBy("item", "n", "t").agg(F.sort_array(F.collect_list(F.struct("df", "sh", "at"))).alias("s"))
+    prefix = ranked.select("item", "n", F.explode(F.slice("s", F.lit(1), F.greatest(F.lit(1), F.size("s") - F.col("t") + 1).cast("int"))).alias("s")).select("item", "n", F.col("s.at").alias("at"), F.col("s.sh").alias("sh"))
     j = hits.join(prefix, "sh").withColumn("diagonal", F.col("pos") - F.col("at"))
     # length and position: the text must have room for the run around this place
     room = F.least(F.col("n"), F.col("size") - F.col("diagonal") + BAND) - F.greatest(F.lit(0), -F.col("diagonal") - BAND)
     j = j.where(room >= F.ceil(F.lit(share) * F.col("n") - 1e-9))
     near = j.groupBy("doc", "item").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals"))
     near = near.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonals")).alias("near"))
-    words_of = {i: (h, shingles(h), least_shared(len(h), share, changed)) for i, h in hashed}
+    words_of = {i: (h, shingles(h), least_of[i]) for i, h in hashed}
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

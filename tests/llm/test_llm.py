@@ -154,6 +154,31 @@ def test_leaks_against_planted_passages(spark):
     assert leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
 
+def spread_changes(run, count):
+    """The run with so many words changed, as far apart as can be: then the fewest shingles survive."""
+    at = {round((j + 1) * len(run) / (count + 1)) for j in range(count)}
+    return [f"changed{i}" if i in at else w for i, w in enumerate(run)]
+
+
+def test_least_shared_against_brute_force():
+    for n in range(66, 214):
+        item = [f"w{i}" for i in range(n)]
+        own = shingles(word_hashes(" ".join(item)))
+        left = [int(np.isin(own, shingles(word_hashes(" ".join(spread_changes(item[:m], m // 10))))).sum()) for m in range(-(-4 * n // 10), n + 1)]
+        assert min(left) == least_shared(n), n
+
+
+def test_leaks_with_one_change_more_in_a_longer_run(spark):
+    cases = {66: 30, 72: 30, 96: 40, 147: 60, 199: 80}  # words of the item, and of the run in the text
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in cases}
+    docs = [(n, " ".join(["before"] * 9 + spread_changes(items[n][5 : 5 + run], run // 10) + ["after"] * 9)) for n, run in cases.items()]
+    # the same runs with too many changes
+    docs += [(1000 * c + n, " ".join(spread_changes(items[n][5 : 5 + run], run // 5))) for n, run in cases.items() for c in range(1, 4)]
+    i = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {tuple(r) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", i, "item_id", "text").collect()}
+    assert got == {(n, n) for n in cases}
+
+
 def test_runs_and_alignment():
     rnd = random.Random(7)
     for _ in range(200):
