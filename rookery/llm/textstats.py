@@ -32,8 +32,6 @@ RUN_EN, RUN_ZH = 0.14, 0.05
 RUN_WORDS = 4
 #: Words between two bars that running text has on average at least.
 BAR_WORDS = 4
-#: Smallest score (sum of negative logarithms of tail probabilities) that is looked at.
-LEAST_SCORE = 2.0
 
 # name, and the tail that is unusual: low, high or both
 STATISTICS = {"words": "low", "mean_word_len": "both", "symbol_share": "high", "punct_line_share": "low", "common_share": "low", "running_share": "low"}
@@ -109,11 +107,11 @@ def outlier_scores(stats: DataFrame) -> DataFrame:
     return stats.join(score, ["id", "lang"])
 
 
-def not_prose(df: DataFrame, id_col: str, text: str, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``id`` of texts that aren't natural prose: unusual by score, and half or more of their characters aren't in running
-    sentences, or they hold no words at all.
+def not_prose(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``id`` of texts that aren't natural prose: half or more of their characters aren't in running sentences, or they hold
+    no words at all.
+
+    The test is absolute, whatever else the texts hold; outlier scores depend on the mix of texts and decide nothing.
     """
-    stats = cut(text_statistics(df, id_col, text))
-    none = stats.where("words = 0").select("id")
-    s = outlier_scores(stats.where("words > 0"))
-    return s.where((F.col("score") >= least_score) & (F.col("running_share") <= 0.5)).select("id").unionByName(none).distinct()
+    stats = text_statistics(df, id_col, text)
+    return stats.where((F.col("words") == 0) | (F.col("running_share") <= 0.5)).select("id").distinct()

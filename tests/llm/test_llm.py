@@ -205,6 +205,15 @@ def test_not_prose(spark):
     assert not_prose(df.limit(0), "k", "text").count() == 0
 
 
+def test_not_prose_whatever_the_mix(spark):
+    junk = ["- odd gate\n- dry lamp\n- old sofa\n- big sink"] * 40 + [f"- gate {i}\n- lamp {i} x {i}\n- sofa {i}" for i in range(20)]
+    rows = list(enumerate([PROSE] * 10)) + [(1000 + i, t) for i, t in enumerate(junk)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    assert {r["id"] for r in not_prose(df, "k", "text").collect()} == {1000 + i for i in range(len(junk))}
+    assert {r["id"] for r in not_prose(df.where("k >= 1000"), "k", "text").collect()} == {1000 + i for i in range(len(junk))}
+    assert not_prose(df.where("k < 1000"), "k", "text").count() == 0
+
+
 def test_scores_are_exact_ranks(spark):
     rnd = random.Random(8)
     rows = [(i, rnd.choice(["en", "zh"]), rnd.randrange(9), *[round(rnd.random(), 1) for _ in range(5)]) for i in range(150)]
