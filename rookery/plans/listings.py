@@ -211,7 +211,7 @@ def _state(spark, d):
 def reconcile_partial(spark, d):
     """Listings in scope that the last snapshot lacks; it doesn't claim to be full."""
     scope = _listings(spark, d).where(F.col("rent_price").between(R.min_rent, R.max_rent) & F.col("district").isNotNull()).select(*hist.KEYS)
-    seen = table(spark, d, "listing_snapshots", "snapshot_date", *hist.KEYS).where("snapshot_date = date '2026-05-22'").select(*hist.KEYS)
+    seen = _dated(table(spark, d, "listing_snapshots", "snapshot_date", *hist.KEYS), F.max).where("snapshot_date = _date").select(*hist.KEYS)
     return hist.reconcile(scope, seen, _state(spark, d), hist.KEYS, None)[0]
 
 
@@ -324,22 +324,28 @@ def prefix_lookup(spark, d):
     return store.longest_prefix(table(spark, d, "rental_listings", "subdistrict"), "subdistrict", subs, "prefix", "mapped")
 
 
-def _snap(spark, d, day):
-    s = table(spark, d, "listing_snapshots", "snapshot_date", *hist.KEYS, "title", "rent_price", "last_seen_at", "delivered_at").where(F.col("snapshot_date") == day)
-    seq = F.struct(F.unix_micros("last_seen_at"), F.unix_micros("delivered_at"), F.coalesce("rent_price", F.lit(-1)), F.coalesce("title", F.lit("")))
-    return s.select(*hist.KEYS, "title", "rent_price", F.unix_micros("last_seen_at").alias("first_us"), seq.alias("seq"))
+def _snaps(spark, d):
+    """All snapshots; ``seq`` puts their dates first, so that one pass by it equals merging them date by date."""
+    s = table(spark, d, "listing_snapshots", "snapshot_date", *hist.KEYS, "title", "rent_price", "last_seen_at", "delivered_at")
+    seq = F.struct("snapshot_date", F.unix_micros("last_seen_at"), F.unix_micros("delivered_at"), F.coalesce("rent_price", F.lit(-1)), F.coalesce("title", F.lit("")))
+    return s.select("snapshot_date", *hist.KEYS, "title", "rent_price", F.unix_micros("last_seen_at").alias("first_us"), seq.alias("seq"))
+
+
+def _dated(snaps, bound):
+    """Snapshot rows with ``_date``, the first (F.min) or last (F.max) snapshot_date of the table."""
+    return snaps.crossJoin(F.broadcast(snaps.agg(bound("snapshot_date").alias("_date"))))  # one row
 
 
 def upsert_merge(spark, d):
-    one, two = _snap(spark, d, "2026-05-01"), _snap(spark, d, "2026-05-04")
-    cols = [*hist.KEYS, "title", "rent_price", "first_us"]
-    base = store.upsert(one.select(*cols).limit(0), one, hist.KEYS, "seq", "first_us")
-    return store.upsert(base, two, hist.KEYS, "seq", "first_us")
+    s = _snaps(spark, d)
+    return store.upsert(s.select(*hist.KEYS, "title", "rent_price", "first_us").limit(0), s, hist.KEYS, "seq", "first_us")
 
 
 def insert_or_ignore(spark, d):
-    one, two = _snap(spark, d, "2026-05-01"), _snap(spark, d, "2026-05-04")
-    return store.insert_or_ignore(one.select(*hist.KEYS, "title", "rent_price").distinct(), two, hist.KEYS, "seq")
+    """What the snapshots after the first add to a store that holds the first."""
+    s = _dated(_snaps(spark, d), F.min)
+    one = s.where("snapshot_date = _date").select(*hist.KEYS, "title", "rent_price").distinct()
+    return store.insert_or_ignore(one, s.where("snapshot_date > _date"), hist.KEYS, "seq")
 
 
 def first_gap(spark, d):

@@ -231,3 +231,56 @@ def test_queries_equal_sql(spark, name):
     norm = lambda v: None if v is None or v != v else round(v, 6) if isinstance(v, float) else v
     want = sorted(str([norm(r[names.index(c)]) for c in cols]) for r in rel.fetchall())
     assert sorted(str([norm(r[c]) for c in cols]) for r in df.collect()) == want
+
+
+def snapshots(tmp_path, rows):
+    """A folder with listing_snapshots of (date, id, title, rent, last_seen_at, delivered_at), times as full hours."""
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    con.execute("create table s(snapshot_date date, source varchar, source_listing_id varchar, title varchar, community_name varchar, district varchar, rent_price int, status varchar, last_seen_at timestamptz, delivered_at timestamptz)")
+    for day, i, title, rent, seen, delivered in rows:
+        con.execute("insert into s values (?, 's', ?, ?, null, null, ?, null, ?, ?)", [day, i, title, rent, f"{day} {seen:02d}:00:00+00", f"{day} {delivered:02d}:00:00+00"])
+    con.execute(f"copy s to '{tmp_path}/listing_snapshots.parquet' (format parquet)")
+    return str(tmp_path)
+
+
+# dates that no query names; a stale row delivered late, a listing that comes back, and listings that come late
+SNAPSHOTS = [
+    ("2027-01-02", "1", "a", 10, 5, 6), ("2027-01-02", "1", "a2", 11, 4, 9), ("2027-01-02", "2", "b", 20, 5, 6),
+    ("2027-01-09", "1", "a3", 12, 5, 6), ("2027-01-09", "3", "c", 30, 7, 8), ("2027-01-09", "3", "c0", 29, 6, 9),
+    ("2027-02-01", "2", "b2", 21, 5, 6), ("2027-02-01", "3", "c2", 31, 5, 6), ("2027-02-01", "4", "d", 40, 5, 6),
+]
+
+
+def test_merges_take_all_snapshots(spark, tmp_path):
+    import __spark_entry__ as e
+
+    d = snapshots(tmp_path, SNAPSHOTS)
+    us = lambda day, hour: int(datetime.fromisoformat(f"{day}T{hour:02d}:00:00+00:00").timestamp()) * 1_000_000
+    # row by row in order, as the storage does it
+    kept, added = {}, {}
+    for day, i, title, rent, seen, _ in sorted(SNAPSHOTS, key=lambda r: (r[0], r[4], r[5])):
+        first = kept[i][2] if i in kept else us(day, seen)
+        kept[i] = (title, rent, first)
+        if day > SNAPSHOTS[0][0] and i not in "12":
+            added.setdefault(i, (title, rent))
+    assert len(kept) == 4 and set(added) == {"3", "4"}
+    assert {r["source_listing_id"]: (r["title"], r["rent_price"], r["first_us"]) for r in e.queries()["upsert_merge"](spark, d).collect()} == kept
+    assert {r["source_listing_id"]: (r["title"], r["rent_price"]) for r in e.queries()["insert_or_ignore"](spark, d).collect()} == added
+
+
+def test_partial_reconciliation_takes_the_last_snapshot(spark, tmp_path):
+    import os
+
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    for f in os.listdir(d):
+        os.symlink(f"{d}/{f}", tmp_path / f)
+    # the same tables, all snapshots a year later
+    os.remove(tmp_path / "listing_snapshots.parquet")
+    duckdb.execute(f"copy (select * replace (cast(snapshot_date + interval 1 year as date) as snapshot_date) from '{d}/listing_snapshots.parquet') to '{tmp_path}/listing_snapshots.parquet' (format parquet)")
+    got, want = (sorted(map(str, e.queries()["reconcile_partial"](spark, x).collect())) for x in (str(tmp_path), d))
+    assert got == want
