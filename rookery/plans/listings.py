@@ -354,7 +354,7 @@ def first_gap(spark, d):
 
 def union_marker(spark, d):
     m = spark.range(1).select(F.lit("origin").alias("listing_id"), F.lit(ORIGIN[0]).alias("longitude"), F.lit(ORIGIN[1]).alias("latitude"))
-    return _listings(spark, d).where("source = 'ugc_d'").select("listing_id", "rent_price", "longitude", "latitude").unionByName(m, allowMissingColumns=True)
+    return _listings(spark, d).select("listing_id", "rent_price", "longitude", "latitude").unionByName(m, allowMissingColumns=True)
 
 
 def constraint_violations(spark, d):

@@ -284,3 +284,16 @@ def test_partial_reconciliation_takes_the_last_snapshot(spark, tmp_path):
     duckdb.execute(f"copy (select * replace (cast(snapshot_date + interval 1 year as date) as snapshot_date) from '{d}/listing_snapshots.parquet') to '{tmp_path}/listing_snapshots.parquet' (format parquet)")
     got, want = (sorted(map(str, e.queries()["reconcile_partial"](spark, x).collect())) for x in (str(tmp_path), d))
     assert got == want
+
+
+def test_marker_stands_beside_all_listings(spark):
+    import os
+
+    import __spark_entry__ as e
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    want = {r[0] for r in duckdb.execute(f"select distinct listing_id::varchar from '{d}/rental_listings.parquet' where listing_id is not null").fetchall()}
+    got = [r["listing_id"] for r in e.queries()["union_marker"](spark, d).collect()]
+    assert set(got) - {None} == want | {"origin"} and got.count("origin") == 1
