@@ -55,34 +55,46 @@ def least_shared(n: int, share: float = SHARE, changed: float = CHANGED, k: int
 
     A longer run may hold one change more and share less, so all lengths count.
     """
+    return max(1, _survivors(n, share, changed, k))
+
+
+def _survivors(n: int, share: float, changed: float, k: int) -> int:
     run = np.arange(int(np.ceil(share * n - 1e-9)), n + 1)
-    return max(1, int(np.min(run - k + 1 - k * np.floor(run * changed + 1e-9), initial=n)))
+    return int(np.min(run - k + 1 - k * np.floor(run * changed + 1e-9), initial=n))
+
+
+def shingle_length(n: int, share: float = SHARE, changed: float = CHANGED) -> int:
+    """The most words, SHINGLE or fewer, of which a shingle is sure to survive in any such run."""
+    return next((k for k in range(SHINGLE, 1, -1) if _survivors(n, share, changed, k) >= 1), 1)
 
 
 def _block(docs: DataFrame, items: list[tuple], item_type: str, share: float, changed: float) -> DataFrame:
     spark = docs.sparkSession
     doc_type = dict(docs.dtypes)["doc"]
     hashed = [(i, word_hashes(t)) for i, t in items]
-    all_sh = np.unique(np.concatenate([shingles(h) for _, h in hashed] or [np.zeros(0, np.uint64)]))
-    least_of = {i: least_shared(len(h), share, changed) for i, h in hashed}
-    rows = [(i, int(len(h)), least_of[i], p, int(np.int64(s))) for i, h in hashed for p, s in enumerate(shingles(h).astype(np.int64))]
+    k_of = {i: shingle_length(len(h), share, changed) for i, h in hashed}
+    all_sh = {k: np.unique(np.concatenate([shingles(h, k) for i, h in hashed if k_of[i] == k])) for k in set(k_of.values())}
+    least_of = {i: least_shared(len(h), share, changed, k_of[i]) for i, h in hashed}
+    rows = [(i, int(len(h)), least_of[i], p, int(np.int64(s))) for i, h in hashed for p, s in enumerate(shingles(h, k_of[i]).astype(np.int64))]
     index = spark.createDataFrame(pd.DataFrame(rows, columns=["item", "n", "t", "at", "sh"]), f"item {item_type}, n int, t int, at int, sh long")
 
     def hit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, size, pos, sh = [], [], [], []
             for d, t in zip(pdf["doc"], pdf["text"]):
-                s = shingles(word_hashes(t))
-                if not len(s) or not len(all_sh):
-                    continue
-                k = np.searchsorted(all_sh, s)
-                k[k == len(all_sh)] = 0
-                got = np.nonzero(all_sh[k] == s)[0]
-                if len(got):
-                    ids += [d] * len(got)
-                    size.append(np.full(len(got), len(s) + SHINGLE - 1))
-                    pos.append(got)
-                    sh.append(s[got].astype(np.int64))
+                h = word_hashes(t)
+                for length, known in all_sh.items():
+                    s = shingles(h, length)
+                    if not len(s) or not len(known):
+                        continue
+                    k = np.searchsorted(known, s)
+                    k[k == len(known)] = 0
+                    got = np.nonzero(known[k] == s)[0]
+                    if len(got):
+                        ids += [d] * len(got)
+                        size.append(np.full(len(got), len(h)))
+                        pos.append(got)
+                        sh.append(s[got].astype(np.int64))
             if ids:
                 yield pd.DataFrame({"doc": ids, "size": np.concatenate(size), "pos": np.concatenate(pos), "sh": np.concatenate(sh)})
 
@@ -98,17 +110,17 @@ def _block(docs: DataFrame, items: list[tuple], item_type: str, share: float, ch
     j = j.where(room >= F.ceil(F.lit(share) * F.col("n") - 1e-9))
     near = j.groupBy("doc", "item").agg(F.sort_array(F.collect_set("diagonal")).alias("diagonals"))
     near = near.groupBy("doc").agg(F.collect_list(F.struct("item", "diagonals")).alias("near"))
-    words_of = {i: (h, shingles(h), least_of[i]) for i, h in hashed}
+    words_of = {i: (h, shingles(h, k_of[i]), k_of[i], least_of[i]) for i, h in hashed}
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for d, t, cases in zip(pdf["doc"], pdf["text"], pdf["near"]):
                 h = word_hashes(t)
-                s = shingles(h)
+                own = {k: shingles(h, k) for k in {words_of[c["item"]][2] for c in cases}}
                 for c in cases:
-                    item, item_sh, least = words_of[c["item"]]
-                    if contains(item, h, item_sh, s, list(c["diagonals"]), share, changed, least, BAND):
+                    item, item_sh, k, least = words_of[c["item"]]
+                    if contains(item, h, item_sh, own[k], list(c["diagonals"]), share, changed, least, BAND):
                         out.append((d, c["item"]))
             yield pd.DataFrame(out, columns=["doc", "item"])
 
@@ -119,8 +131,7 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     """``doc``, ``item`` for each text that holds at least ``share`` of an item in one run with at most ``changed`` changes.
 
     Null ids, null and empty texts match nothing; repeated rows count once; texts are read whole, whatever their length.
-    Items of fewer than 13 words are found where five of their words stand unchanged in a row at least. Items are searched
-    for in blocks of ``item_chars`` characters, so that what workers hold stays bounded.
+    Items too short for five words in a row to be sure are searched for by shorter shingles. Items are searched for in blocks of ``item_chars`` characters, so that what workers hold stays bounded.
     """
     d = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     i = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).dropDuplicates(["item"])

@@ -13,7 +13,7 @@ from rookery.llm import names as N
 from rookery.llm.address_parts import parse
 from rookery.llm.addresses import buildings, same_building
 from rookery.llm.entities import RADIUS, agreeing_pairs, bit_vector, calibration, hamming_candidates, match_records, rooms
-from rookery.llm.leakage import leaks, least_shared, shingles, word_hashes
+from rookery.llm.leakage import leaks, least_shared, shingle_length, shingles, word_hashes
 from rookery.llm.mapping import edits, map_rows, read_values
 from rookery.llm.packing import bucket_bounds, fill_plan, pack, token_counts
 from rookery.llm.passages import aligned_errors, longest_run, words
@@ -179,6 +179,22 @@ def test_leaks_with_one_change_more_in_a_longer_run(spark):
     assert got == {(n, n) for n in cases}
 
 
+def test_leaks_of_short_items_equal_brute_force(spark):
+    assert [shingle_length(n) for n in (1, 2, 3, 5, 6, 7, 8, 10, 11, 12, 13, 100)] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 5, 5]
+    rnd = random.Random(8)
+    items = {n: [rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)] for n in range(1, 13)}
+    docs = {k: [rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(0, 60))] for k in range(60)}
+    for n, w in items.items():  # pieces of just enough and of one too few words
+        m = -(-4 * n // 10)
+        docs[100 + n], docs[200 + n] = ["#x", *w[n - m :], "#y"], w[: m - 1] + ["#z"]
+    # so few words allow no change that leaves less than enough words in a row beside it
+    grams = lambda w, m: {tuple(w[j : j + m]) for j in range(len(w) - m + 1)}
+    clean = {k: [x.strip("#") for x in w] for k, w in docs.items()}
+    want = {(k, n) for k, d in clean.items() for n, w in items.items() if grams(w, -(-4 * n // 10)) & grams(d, -(-4 * n // 10))}
+    frame = lambda x, c: spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{c} long, text string")
+    assert {tuple(r) for r in leaks(frame(docs, "doc_id"), "doc_id", "text", frame(items, "item_id"), "item_id", "text").collect()} == want
+
+
 def test_runs_and_alignment():
     rnd = random.Random(7)
     for _ in range(200):
