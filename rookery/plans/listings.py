@@ -404,6 +404,20 @@ def _pages(spark, d):
     return r.select(F.col("n_nationkey").alias("page_id"), F.replace(F.lit(_PAGE), F.lit("{0}"), F.col("n_nationkey").cast("string")).alias("body"), F.lit("https://h.example/list/").alias("base"))
 
 
+def _listing_pages(spark, d):
+    """A page for each row of rental_listings, with its own texts and numbers; the parsers that have SQL take _pages."""
+    text = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    r = table(spark, d, "rental_listings", "listing_id", "title", "description", "rent_price", "area_sqm", "layout", "longitude", "latitude", "image_urls")
+    ld = F.to_json(F.struct(F.lit("RealEstateListing").alias("@type"), F.col("title").alias("name"), F.struct(F.col("rent_price").cast("string").alias("price")).alias("offers"), F.struct(F.col("area_sqm").cast("string").alias("value")).alias("floorSize"), F.struct("latitude", "longitude").alias("geo"), F.col("image_urls").alias("image")))
+    images = F.transform(F.coalesce("image_urls", F.array().cast("array<string>")), lambda u: F.concat(F.lit('<a href="'), text(u), F.lit('"></a>')))
+    body = F.concat_ws(
+        "", F.lit("<html><head><title>"), text(F.col("title")), F.lit('</title></head><body><div class="item" data-code="'), "listing_id", F.lit('"><a href="/x/'), "listing_id", F.lit('">'), text(F.col("title")),
+        F.lit('</a><p class="desc">'), F.concat_ws(" / ", text(F.col("layout")), F.concat(F.col("area_sqm").cast("string"), F.lit("㎡"))), F.lit('</p><b class="price">'), F.col("rent_price").cast("string"), F.lit("</b></div>"),
+        images, F.lit("<p>"), text(F.col("description")), F.lit('</p><script type="application/ld+json">'), F.replace(ld, F.lit("</"), F.lit("<\\/")), F.lit("</script></body></html>"),
+    )
+    return r.select(F.col("listing_id").alias("page_id"), body.alias("body"), F.lit("https://h.example/list/").alias("base"))
+
+
 def page_cards(spark, d):
     c = pages.html_cards(_pages(spark, d), "body")
     return c.select("page_id", "position", "item_id", "href", "rent", "area", F.col("layout.rooms").alias("rooms"))
@@ -418,11 +432,11 @@ def page_ld_list(spark, d):
 
 
 def page_summary(spark, d):
-    return pages.page_summary(_pages(spark, d), "page_id", "body", "base").select("page_id", "title", F.concat_ws(" ", "links").alias("links"), "bytes")
+    return pages.page_summary(_listing_pages(spark, d), "page_id", "body", "base").select("page_id", "title", F.concat_ws(" ", "links").alias("links"), "bytes")
 
 
 def page_hash(spark, d):
-    return _pages(spark, d).select("page_id", pages.content_hash(F.col("body")).alias("hash"))
+    return _listing_pages(spark, d).select("page_id", pages.content_hash(F.col("body")).alias("hash"))
 
 
 def api_items(spark, d):

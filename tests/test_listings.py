@@ -297,3 +297,22 @@ def test_marker_stands_beside_all_listings(spark):
     want = {r[0] for r in duckdb.execute(f"select distinct listing_id::varchar from '{d}/rental_listings.parquet' where listing_id is not null").fetchall()}
     got = [r["listing_id"] for r in e.queries()["union_marker"](spark, d).collect()]
     assert set(got) - {None} == want | {"origin"} and got.count("origin") == 1
+
+
+def test_pages_of_all_listings(spark):
+    import os
+
+    import __spark_entry__ as e
+    from rookery.plans.listings import _listing_pages
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    rows = duckdb.execute(f"select listing_id, title, rent_price, area_sqm, longitude, latitude, image_urls from '{d}/rental_listings.parquet'").fetchall()
+    links = lambda i, urls: " ".join(dict.fromkeys([f"https://h.example/x/{i}", *(urls or [])]))
+    want = sorted(str((i, " ".join((t or "").split()) or None, links(i, u))) for i, t, *_, u in rows)
+    assert sorted(str((r["page_id"], r["title"], r["links"])) for r in e.queries()["page_summary"](spark, d).collect()) == want
+    assert sorted(r["page_id"] for r in e.queries()["page_hash"](spark, d).collect()) == sorted(r[0] for r in rows)
+    p = _listing_pages(spark, d)
+    assert {(r["page_id"], r["rent"]) for r in pages.html_cards(p, "body").collect()} == {(r[0], r[2]) for r in rows if (r[1] or "").strip()}
+    assert {r["page_id"] for r in pages.ld_detail(p, "body", ["page_id"]).collect()} == {r[0] for r in rows}
