@@ -8,9 +8,11 @@ import unicodedata
 
 import numpy as np
 
-# A word is a run of Latin letters or digits, or one Chinese character; all else is spacing, punctuation or markup.
+# A word is a run of Latin letters or digits, or one Chinese character; all else is spacing, punctuation or markup. Single
+# digits with blanks between them are one number, as in a text with a blank after each character.
 _WORD = re.compile(r"[^\W_㐀-鿿豈-﫿぀-ヿ]+|[㐀-鿿豈-﫿぀-ヿ]")
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,300}>")
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
+_SPACED = re.compile(r"(?<!\w)\d(?:\s+\d(?!\w))+")
 _SKIP = re.compile("[​-‏⁠﻿­̀-ͯ]")
 
 
@@ -22,7 +24,8 @@ def words(text: str | None) -> list[str]:
         text = html.unescape(text)
     if "<" in text:
         text = _TAG.sub(" ", text)
-    return _WORD.findall(_SKIP.sub("", unicodedata.normalize("NFKC", text)).lower())
+    text = _SKIP.sub("", unicodedata.normalize("NFKC", text)).lower()
+    return _WORD.findall(_SPACED.sub(lambda m: "".join(m[0].split()), text))
 
 
 def longest_run(errors: np.ndarray, rate: float) -> int:
@@ -84,18 +87,25 @@ def aligned_errors(item: np.ndarray, window: np.ndarray, band: int) -> np.ndarra
     return errors
 
 
-def contains(item: np.ndarray, doc: np.ndarray, item_sh: np.ndarray, doc_sh: np.ndarray, diagonals: list[int], share: float, rate: float, least: int, band: int = 12) -> bool:
+def drift_of(n: int, rate: float) -> int:
+    """Words by which the place of a run of an item of n words can shift within it: one for each change."""
+    return int(np.floor(n * rate + 1e-9)) + 1
+
+
+def contains(item: np.ndarray, doc: np.ndarray, item_sh: np.ndarray, doc_sh: np.ndarray, diagonals: list[int], share: float, rate: float, least: int) -> bool:
     """Whether the text holds at least ``share`` of the item's words in one run, at most ``rate`` of them changed.
 
     ``diagonals`` are places (text position less item position) where they share words. A place is looked at only if the
     window around it shares ``least`` shingles with the item, which any such run does. Replaced words are tried first;
-    where they don't suffice, words may also be missing or added.
+    where they don't suffice, words may also be missing or added, as many as the item may have changed.
     """
     n = len(item)
+    drift = drift_of(n, rate)
+    band = 2 * drift  # from the middle of a group of places, which lies at most a drift from any of them
     need = int(np.ceil(share * n - 1e-9))
     groups: list[list[int]] = []
     for d in sorted(diagonals):
-        if groups and d - groups[-1][0] <= band // 2:
+        if groups and d - groups[-1][0] <= drift:
             groups[-1].append(d)
         else:
             groups.append([d])

@@ -16,7 +16,7 @@ from rookery.llm.entities import RADIUS, agreeing_pairs, bit_vector, calibration
 from rookery.llm.leakage import leaks, least_shared, shingle_length, shingles, word_hashes
 from rookery.llm.mapping import edits, map_rows, read_values
 from rookery.llm.packing import bucket_bounds, fill_plan, pack, token_counts
-from rookery.llm.passages import aligned_errors, longest_run, words
+from rookery.llm.passages import aligned_errors, contains, longest_run, words
 from rookery.llm.set_join import jaccard_join
 from rookery.llm.sketches import decode, encode, merge, percentiles, sketch
 from rookery.llm.textstats import STATISTICS, not_prose, outlier_scores, statistics_of, text_statistics
@@ -126,7 +126,7 @@ def test_agreeing_pairs_and_confidence(spark):
     assert [r["r"] for r in x] == [2, 1, 1, 3, 2, None, None]
 
 
-def test_leaks_against_planted_passages(spark):
+def test_leaks_against_planted_passages(spark, monkeypatch):
     rnd = random.Random(6)
     vocab = [f"w{i}" for i in range(400)]
     items = {i: [rnd.choice(vocab) for _ in range(100)] for i in range(8)}
@@ -150,7 +150,10 @@ def test_leaks_against_planted_passages(spark):
     d = spark.createDataFrame(list(docs.items()) + [(0, docs[0]), (None, docs[0])], "doc_id long, text string").withColumn("item", F.lit("clash"))
     i = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()] + [(99, None), (98, ""), (None, "x")], "item_id long, text string")
     assert {tuple(r) for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == want
-    assert {tuple(r) for r in leaks(d, "doc_id", "text", i, "item_id", "text", item_chars=900).collect()} == want  # in blocks
+    # hot shingles in blocks, a full filter, and texts that are shuffled
+    for name, value in (("SHINGLE_ROWS", 1), ("BLOOM_BITS", 1 << 6), ("BLOOM_EACH", 0), ("FEW_TEXTS", 0), ("ITEM_MEMORY", 1)):
+        monkeypatch.setattr(f"rookery.llm.leakage.{name}", value)
+    assert {tuple(r) for r in leaks(d, "doc_id", "text", i, "item_id", "text").collect()} == want
     assert leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
 
 
@@ -205,6 +208,11 @@ def test_runs_and_alignment():
     window = np.concatenate([np.zeros(12, np.uint64), np.delete(item, 10), np.zeros(12, np.uint64)])
     assert aligned_errors(item, window, 12).sum() == 1
     assert words("<b>Ａb-c&amp;D</b> 12号楼") == ["ab", "c", "d", "12", "号", "楼"]
+    assert words("第 ９ 8\n0 份 12 3") == ["第", "980", "份", "12", "3"] and words(f'<img src="data:{"x" * 2000}">a') == ["a"]
+    # more words added than replaced words could shift by, spread over a long run
+    long = np.arange(1, 301, dtype=np.uint64)
+    text = np.concatenate([np.concatenate([long[k : k + 12], [np.uint64(9999)]]) for k in range(0, 300, 12)])
+    assert contains(long, text, shingles(long), shingles(text), [0], 0.9, 0.1, 1)
     assert least_shared(100) == 16 and least_shared(5) == 1
     assert len(shingles(word_hashes("a b c d"))) == 0
 
