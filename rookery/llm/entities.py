@@ -1,63 +1,109 @@
 """Records of two sources that describe the same thing, without a shared key.
 
-Names are encoded as bit vectors of their q-grams (syllables); all reference names within a Hamming radius are found
-exactly by multi-index hashing: the vector is cut into chunks, two vectors within the radius agree in some chunk up to
-a few bits, and those few bits are enumerated on one side, so that the search is an equi-join. A record is then indexed
-by its place and by each combination of its remaining fields that a match must agree in. The pairs found get a Dice
-score for each field from the same kind of bit vectors, weighted by field, and a confidence that is calibrated against
-the pairs that chance alone gives.
+Attributes become q-grams and these set bits of vectors of fixed length: syllables of a name, the number of rooms, and for
+an area or a rent the ranges of relative width around it, which lie on a ring of bits, so that two numbers differ in two
+bits for each range that lies between them. Pairs within a Hamming radius are found exactly by multi-index hashing: bits
+are dealt to more chunks than may differ, so that some chunks of such a pair are equal, and the search is an equi-join on
+hashes of chunks. It is used twice: typed names find their entry in the reference list, and records, with their place,
+find records, once for each choice of fields that both have. The pairs found get a Dice score for each field from finer
+vectors. The weighted sum decides, and its confidence is calibrated against the pairs that chance alone gives.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rookery.llm.mapping import THRESHOLD
 from rookery.operators.blocks import with_blocks
 from rookery.session import cut
 
-#: Bits of a vector, bits that a q-gram sets, chunks the vector is cut into, and the radius of the search: one q-gram
-#: exchanged for another, or one and an ending missing.
-BITS, HASHES, CHUNKS, RADIUS = 64, 2, 5, 4
+#: Names: bits that a q-gram sets in a vector of two words, chunks, and the radius: one q-gram exchanged for another, or two
+#: missing. Of six chunks at least two are equal, so two are looked up at once.
+HASHES, NAME_CHUNKS, RADIUS = 2, 6, 4
+#: Least Dice of a typed name and its entry: one wrong syllable of three and an ending has 0.75, two of five 0.67.
+LEAST_NAME = 0.7
+#: Records: chunks, and the radius: one range between two areas and one between two rents, or two between either.
+CHUNKS = 5
 #: Largest ratio of two areas and of two rents of one home.
 AREA_RATIO, RENT_RATIO = 1.04, 1.08
+#: Fine ranges within such a ratio, ranges that a number sets in the fine and in the coarse vector.
+STEPS, FINE, COARSE = 16, 40, 7
 #: Share of each field in the score.
-WEIGHTS = {"name": 0.4, "rooms": 0.2, "area": 0.2, "rent": 0.2}
-#: Left records of a place that are joined as one unit; a place with more is dealt to blocks of this size.
+WEIGHTS = {"place": 0.4, "rooms": 0.2, "area": 0.2, "rent": 0.2}
+#: Dice from which a field agrees; one below it counts nothing. Numbers at the largest ratio share FINE - STEPS of FINE ranges.
+FLOORS = {"place": 1.0, "rooms": 1.0, "area": 1 - STEPS / FINE, "rent": 1 - STEPS / FINE}
+#: Records of a place, and entries of one chunk, that are joined as one unit; more are dealt to blocks.
 PLACE_ROWS = 20_000
+#: Bins of the score for the calibration.
+BINS = 40
+#: Fields that both records of a pair have, as bits: rooms 4, area 2, rent 1; one of the three may be missing.
+PATTERNS = (7, 6, 5, 3)
+FIELD_BITS = {"rooms": 4, "area": 2, "rent": 1}
 
 
-def bit_vector(tokens: str) -> Column:
-    """64-bit vector of an array of q-grams; each sets HASHES bits."""
-    one = " | ".join(f"shiftleft(1L, cast(pmod(shiftright(xxhash64(x), {k * 16}), {BITS}) as int))" for k in range(HASHES))
-    return F.expr(f"aggregate({tokens}, 0L, (a, x) -> a | {one})")
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _chunk(vector: str, i: int) -> Column:
-    width = -(-BITS // CHUNKS)
-    return F.expr(f"cast(shiftrightunsigned({vector}, {i * width}) & {(1 << width) - 1}L as int)")
+def _mask(chunk: int, chunks: int, offset: int = 0) -> int:
+    """Bits of a word that belong to a chunk: every so many-th, so that neighbours on a ring go to different chunks."""
+    return _signed(sum(1 << b for b in range(64) if (b + offset) % chunks == chunk))
 
 
-def hamming_candidates(typed: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs ``kind``, ``value``, ``variant``, ``ref_id`` whose vectors differ in at most ``radius`` bits: all of them that agree
-    in phase and, where both have one, in ending.
+def name_vector(tokens: str) -> Column:
+    """Vector of an array of q-grams, as a struct of two words; each sets HASHES bits."""
+    one = lambda k, word: f"if(pmod(shiftright(h, {k * 16}), 128) div 64 = {word}, shiftleft(1L, cast(pmod(shiftright(h, {k * 16}), 64) as int)), 0L)"
+    each = lambda word: " | ".join(one(k, word) for k in range(HASHES))
+    return F.expr(f"aggregate(transform({tokens}, t -> xxhash64(t)), named_struct('lo', 0L, 'hi', 0L), (a, h) -> named_struct('lo', a.lo | {each(0)}, 'hi', a.hi | {each(1)}))")
 
-    With m chunks some chunk differs in at most radius / m bits, so with fewer bits than chunks some chunk is equal, and the
-    search is an equi-join on chunks; a pair is taken from the first chunk that it agrees in.
-    """
-    if radius >= CHUNKS:
-        raise ValueError("the radius must be below CHUNKS, so that some chunk is equal")
 
-    def indexed(df: DataFrame, ids: list[str], v: str) -> DataFrame:
-        d = df.select(*ids, bit_vector("tokens").alias(v), F.col("ending").alias(f"{v}_e"), F.col("phase").alias(f"{v}_p"))
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), _chunk(v, i).alias("bits")) for i in range(CHUNKS)])).alias("c")
-        return d.select("*", each).select(*d.columns, F.col("c.at").alias("at"), F.col("c.bits").alias("bits"))
+def hamming_candidates(typed: DataFrame, known: DataFrame, radius: int = RADIUS, least: float = LEAST_NAME) -> DataFrame:
+    """Pairs ``kind``, ``value``, ``variant``, ``ref_id``, ``r_variant`` whose vectors of ``syllables`` differ in at most ``radius``
+    bits and have a Dice similarity of at least ``least``: all of them, with ``similarity``. Values whose vector is an entry's
+    have that one only.
 
-    a, b = indexed(typed, ["kind", "value", "variant"], "v"), indexed(known, ["kind", "ref_id"], "w")
-    j = a.join(b, ["kind", "at", "bits"]).where((F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) <= radius) & (F.col("v_p") == F.col("w_p")) & ((F.col("v_e") == "") | (F.col("v_e") == F.col("w_e"))))
-    first = F.coalesce(*[F.when(_chunk("v", i) == _chunk("w", i), i) for i in range(CHUNKS)])
-    return j.where(F.col("at") == first).select("kind", "value", "variant", "ref_id")
+    With NAME_CHUNKS chunks at least NAME_CHUNKS - radius are equal; every choice of so many is an index, and a pair is
+    taken from the first in which it agrees. Entries of one index hash with very many typed values are dealt to blocks.
+    """
+    together = NAME_CHUNKS - radius
+    if together < 1:
+        raise ValueError("the radius must be below NAME_CHUNKS, so that some chunk is equal")
+    words = [(_mask(c, NAME_CHUNKS), _mask(c, NAME_CHUNKS, 64)) for c in range(NAME_CHUNKS)]
+    picks = [tuple(sum(words[c][w] for c in pick) for w in (0, 1)) for pick in combinations(range(NAME_CHUNKS), together)]
+
+    def vectors(df: DataFrame, ids: list[str], v: str) -> DataFrame:
+        return df.select("kind", *ids, name_vector("syllables").alias("_v")).select("kind", *ids, F.col("_v.lo").alias(f"{v}_lo"), F.col("_v.hi").alias(f"{v}_hi"))
+
+    def indexed(df: DataFrame, v: str) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(i).alias("at"), F.xxhash64(F.lit(i), F.expr(f"{v}_lo & {lo}L"), F.expr(f"{v}_hi & {hi}L")).alias("h")) for i, (lo, hi) in enumerate(picks)])
+        return df.select("*", F.explode(each).alias("c")).select(*df.columns, F.col("c.at").alias("at"), F.col("c.h").alias("h"))
+
+    a, b = vectors(typed, ["value", "variant"], "v"), vectors(known.withColumnRenamed("variant", "r_variant"), ["ref_id", "r_variant"], "w")
+    out = ["kind", "value", "variant", "ref_id", "r_variant"]
+    same = cut(a.join(b, (a["kind"] == b["kind"]) & (F.col("v_lo") == F.col("w_lo")) & (F.col("v_hi") == F.col("w_hi"))).select(a["kind"], *out[1:], F.lit(1.0).alias("similarity")))
+    rest = a.join(same.select("kind", "value").distinct(), ["kind", "value"], "left_anti").withColumn("_id", F.xxhash64("value", "variant"))
+    left = cut(with_blocks(indexed(rest, "v"), ["kind", "h"], "_id", PLACE_ROWS).drop("_id"))
+    big = left.where("_blocks > 1").select("kind", "h", F.col("_blocks").alias("_nb")).distinct()
+    right = indexed(b, "w").drop("at").join(big, ["kind", "h"], "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1))).drop("_nb")
+    ones = lambda x, y: F.bit_count(x) + F.bit_count(y)
+    lo, hi = F.col("v_lo").bitwiseXOR(F.col("w_lo")), F.col("v_hi").bitwiseXOR(F.col("w_hi"))
+    dice = 2 * ones(F.col("v_lo").bitwiseAND(F.col("w_lo")), F.col("v_hi").bitwiseAND(F.col("w_hi"))) / (ones(F.col("v_lo"), F.col("v_hi")) + ones(F.col("w_lo"), F.col("w_hi")))
+    j = left.drop("_blocks").join(right, ["kind", "h", "_block"]).where(ones(lo, hi) <= radius)
+    first = F.coalesce(*[F.when((lo.bitwiseAND(F.lit(x)) == 0) & (hi.bitwiseAND(F.lit(y)) == 0), i) for i, (x, y) in enumerate(picks)])
+    j = j.where(F.col("at") == first).select(*out, dice.alias("similarity")).where(F.col("similarity") >= least)
+    return same.unionByName(j)
+
+
+def entry_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
+    """The Hamming search for names, with an exact check of the order of syllables, which the vectors don't have."""
+    j = hamming_candidates(typed, known).join(typed.select("kind", "value", "variant", "tokens"), ["kind", "value", "variant"])
+    j = j.join(known.select("kind", "ref_id", F.col("variant").alias("r_variant"), F.col("tokens").alias("_t")), ["kind", "ref_id", "r_variant"])
+    common = F.size(F.array_intersect("tokens", "_t"))
+    return j.where(common / (F.size("tokens") + F.size("_t") - common) >= THRESHOLD).drop("tokens", "_t")
 
 
 # Words for homes of one room.
@@ -76,90 +122,121 @@ def positive(c: str) -> Column:
     return F.when((x > 0) & ~F.isnan(x) & (x < float("inf")), x)
 
 
-def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
-    """Pairs of ``lid`` and ``rid`` at the same place that agree in rooms, area and rent, of which one may be missing.
 
-    Both sides have ``place``, ``rooms``, ``area`` and ``rent``. Four indexes are looked up, one for each choice of fields
-    that both records have (all three, or two of them); areas and rents are cut into ranges as wide as the tolerance, and
-    the right side looks into three. A pair is taken from one index only. A place with very many left records is dealt to
-    blocks, and only its right records are repeated per block. Adds the right side's fields with the ending ``_r``.
+def ring(index: str, ones: int) -> str:
+    """SQL: a word in which ``ones`` neighbouring bits are set from ``index`` on, around the ring of 64 bits."""
+    m, p = _signed((1 << ones) - 1), f"cast(pmod({index}, 64) as int)"
+    return f"(shiftleft({m}L, {p}) | if({p} = 0, 0L, shiftrightunsigned({m}L, 64 - {p})))"
+
+
+def ring128(index: str, ones: int) -> tuple[str, str]:
+    """SQL: the same around a ring of 128 bits, as two words."""
+    m, p = (1 << ones) - 1, f"cast(pmod({index}, 128) as int)"
+    lo = f"case when {p} < 64 then shiftleft({m}L, {p}) when {p} > {128 - ones} then shiftrightunsigned({m}L, 128 - {p}) else 0L end"
+    hi = f"case when {p} >= 64 then shiftleft({m}L, {p} - 64) when {p} > {64 - ones} then shiftrightunsigned({m}L, 64 - {p}) else 0L end"
+    return f"({lo})", f"({hi})"
+
+
+def _range(c: str, ratio: float) -> Column:
+    return F.floor(F.log(c) * (STEPS / math.log(ratio))).cast("int")
+
+
+def _coarse(index: str) -> str:
+    return f"cast(floor({index} / {STEPS}) as int)"
+
+
+def search_words(side: str = "") -> list[str]:
+    """SQL of the words of a record's search vector: area (two), rent and rooms; a field that isn't compared is 0.
+
+    Place and rooms are dense words, so records that differ in them are further apart than the radius.
     """
-    fields_of = ("rooms", "area", "rent", "name_dice")
-    area_bin = F.floor(F.log("area") / math.log(AREA_RATIO)).cast("int")
-    rent_bin = F.floor(F.log("rent") / math.log(RENT_RATIO)).cast("int")
-    none = F.lit(-(1 << 30))
-    kinds = {0: ("rooms", "area", "rent"), 1: ("rooms", "area"), 2: ("rooms", "rent"), 3: ("area", "rent")}
-
-    def present(fields: tuple[str, ...]) -> Column:
-        out = F.lit(True)
-        for f in fields:
-            out = out & F.col(f).isNotNull()
-        return out
-
-    def keys(df: DataFrame, probe: bool) -> DataFrame:
-        d = df.withColumns({"_a": area_bin, "_r": rent_bin})
-        entries = []
-        for k, fields in kinds.items():
-            for da in (-1, 0, 1) if probe and "area" in fields else (0,):
-                for dr in (-1, 0, 1) if probe and "rent" in fields else (0,):
-                    entry = F.struct(F.lit(k).alias("k"), (F.col("rooms") if "rooms" in fields else none).cast("int").alias("ko"), (F.col("_a") + da if "area" in fields else none).cast("int").alias("ka"), (F.col("_r") + dr if "rent" in fields else none).cast("int").alias("kr"))
-                    entries.append(F.when(present(fields), entry))
-        return d.withColumn("_e", F.explode(F.filter(F.array(*entries), lambda x: x.isNotNull()))).select(*df.columns, "_e.k", "_e.ko", "_e.ka", "_e.kr")
-
-    dealt = with_blocks(left.select("lid", *place, *fields_of), place, "lid", PLACE_ROWS)
-    big = dealt.where("_blocks > 1").select(*place, F.col("_blocks").alias("_nb")).distinct()
-    each = F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1)).alias("_block")
-    a = keys(dealt.drop("_blocks"), False)
-    b = keys(right.select("rid", *place, *fields_of).join(big, place, "left").select("rid", *place, *fields_of, each), True)
-    b = b.withColumnsRenamed({f: f"{f}_r" for f in fields_of})
-    j = a.join(b, [*place, "k", "ko", "ka", "kr", "_block"])
-    both = {f: F.col(f).isNotNull() & F.col(f"{f}_r").isNotNull() for f in ("rooms", "area", "rent")}
-    index = F.when(both["rooms"] & both["area"] & both["rent"], 0).when(both["rooms"] & both["area"], 1).when(both["rooms"] & both["rent"], 2).otherwise(3)
-    ratio = lambda f: F.greatest(f, f"{f}_r") / F.least(f, f"{f}_r")
-    ok = (~both["area"] | (ratio("area") <= AREA_RATIO)) & (~both["rent"] | (ratio("rent") <= RENT_RATIO))
-    return j.where((F.col("k") == index) & ok).drop("k", "ko", "ka", "kr", "_block")
-
-
-def field_dice(a: str, b: str, step: float, reach: int) -> Column:
-    """Dice similarity of two numbers as sets of q-grams: each sets ``reach`` neighbouring ranges of relative width ``step``.
-
-    Null where one of the numbers is missing. Equal to the Dice of the two bit vectors, in which the ranges are bits.
+    a, r, o = (f"{f}{side}" for f in ("area", "rent", "rooms"))
+    lo, hi = ring128(_coarse(a), COARSE)
+    return [lo, hi, ring(_coarse(r), COARSE), f"xxhash64('rooms', {o})"]
+
+
+_WORD_FIELD = ("area", "area", "rent", "rooms")
+
+
+def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
+    """Pairs of ``lid`` and ``rid`` whose search vectors differ in less than CHUNKS bits over the fields that both have, of
+    which one of three may be missing; with ``have`` (the fields as bits) and the Dice of each field.
+
+    Both sides have ``place``, ``rooms``, ``area`` and ``rent``; columns of the right side named ``chance`` are kept. There
+    is an index for each choice of fields of either side, and in each for every chunk of the vectors. Places, and then
+    chunks, with very many left records are dealt to blocks.
     """
-    shift = F.abs(F.floor(F.log(a) / math.log1p(step)) - F.floor(F.log(b) / math.log1p(step)))
-    return F.greatest(F.lit(0.0), (F.lit(reach) - shift) / reach)
+    kept = [c for c in ("chance",) if c in right.columns]
+
+    def coded(df: DataFrame, i: str) -> DataFrame:
+        has = reduce(lambda x, f: x + F.when(F.col(f).isNotNull(), FIELD_BITS[f]).otherwise(0), FIELD_BITS, F.lit(0))
+        d = df.withColumn("has", has).where(F.col("has").isin(*PATTERNS))
+        return d.select(i, *place, *([c for c in kept if c in d.columns]), "has", F.xxhash64(*place).alias("p"), F.xxhash64(F.lit("2"), *place).alias("p2"), "rooms", _range("area", AREA_RATIO).alias("area"), _range("rent", RENT_RATIO).alias("rent"))
+
+    def entries(df: DataFrame, mine: str) -> DataFrame:
+        """An entry per choice of fields of the other side and per chunk; the key is a hash of all that must be equal."""
+        d = df.select("*", *[F.expr(w).alias(f"_w{k}") for k, w in enumerate(search_words())])
+        each = []
+        for other in PATTERNS:
+            common = F.col("has").bitwiseAND(F.lit(other))
+            for c in range(CHUNKS):
+                words = [F.expr(f"{w} & {_mask(c, CHUNKS)}L") for w in ("p", "p2")]
+                words += [F.when(common.bitwiseAND(F.lit(FIELD_BITS[f])) != 0, F.expr(f"_w{k} & {_mask(c, CHUNKS, 64 if k == 1 else 0)}L")).otherwise(F.lit(0).cast("long")) for k, f in enumerate(_WORD_FIELD)]
+                sides = [F.col("has"), F.lit(other)] if mine == "l" else [F.lit(other), F.col("has")]
+                each.append(F.when(F.bit_count(common) >= 2, F.struct(F.xxhash64(F.lit(c), *sides, *words).alias("key"), F.lit(c).alias("at"), common.alias("have"))))
+        e = F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_e")
+        return d.select(*[c for c in df.columns if c not in ("p2", "has", *place)], e).select("*", "_e.key", "_e.at", "_e.have").drop("_e")
+
+    a = with_blocks(coded(left, "lid"), place, "lid", PLACE_ROWS).withColumn("_hot", F.col("_blocks") > 1).drop("_block", "_blocks")
+    a = cut(entries(a, "l"))
+    hot = cut(with_blocks(a.where("_hot"), ["key"], "lid", PLACE_ROWS))
+    a = a.where("not _hot").withColumn("_block", F.lit(0)).unionByName(hot.drop("_blocks")).drop("_hot")
+    big = hot.where("_blocks > 1").select("key", F.col("_blocks").alias("_nb")).distinct()
+    b = entries(coded(right, "rid"), "r").drop("at", "have").join(big, "key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1))).drop("_nb")
+    b = b.withColumnsRenamed({f: f"{f}_r" for f in ("p", "rooms", "area", "rent")})
+    j = a.join(b, ["key", "_block"])
+    on = lambda f: f"have & {FIELD_BITS[f]} <> 0"
+    x = [f"if({on(f)}, {u} ^ {v}, 0L)" for f, u, v in zip(_WORD_FIELD, search_words(), search_words("_r"))]
+    j = j.where("p = p_r").where(F.expr(" + ".join(f"bit_count({w})" for w in x) + f" < {CHUNKS}"))
+    # numbers of different laps around a ring, more than a hundredfold apart, are no neighbours
+    j = j.where(F.expr(" and ".join(f"not ({on(f)} and abs({f} - {f}_r) >= {32 * STEPS})" for f in ("area", "rent"))))
+    # rooms of a pair within the radius are equal, so its chunks differ by area and rent only
+    equal = lambda c: " and ".join(f"({w}) & {_mask(c, CHUNKS, 64 if k == 1 else 0)}L = 0L" for k, w in enumerate(x[:3]))
+    j = j.where(F.expr("at = case " + " ".join(f"when {equal(c)} then {c}" for c in range(CHUNKS)) + " end"))
+    fine = lambda f: f"if({on(f)}, bit_count({ring(f, FINE)} & {ring(f + '_r', FINE)}) / {FINE}.0D, null)"
+    return j.select("lid", "rid", *kept, "have", F.lit(1.0).alias("place"), F.expr(f"if({on('rooms')}, cast(rooms = rooms_r as double), null)").alias("rooms"), F.expr(fine("area")).alias("area"), F.expr(fine("rent")).alias("rent"))
+
+
+def least_score(have: int) -> float:
+    """Score of a pair all of whose fields just agree; one field that doesn't costs more than all others can lack."""
+    fields = ["place", *[f for f, b in FIELD_BITS.items() if have & b]]
+    return sum(WEIGHTS[f] * FLOORS[f] for f in fields) / sum(WEIGHTS[f] for f in fields)
 
 
 def scored(pairs: DataFrame) -> DataFrame:
-    """Adds ``score``, the weighted Dice over the fields that both records have, and ``have``, which these are."""
-    parts = {
-        "name": F.col("name_dice") * F.col("name_dice_r"),
-        "rooms": F.when(F.col("rooms").isNotNull() & F.col("rooms_r").isNotNull(), (F.col("rooms") == F.col("rooms_r")).cast("double")),
-        "area": field_dice("area", "area_r", 0.01, 8),
-        "rent": field_dice("rent", "rent_r", 0.01, 16),
-    }
-    total = sum((F.when(p.isNotNull(), F.lit(WEIGHTS[f])).otherwise(0.0) for f, p in parts.items()), F.lit(0.0))
-    hit = sum((F.coalesce(p * WEIGHTS[f], F.lit(0.0)) for f, p in parts.items()), F.lit(0.0))
-    have = F.concat(*[F.when(parts[f].isNotNull(), f[0]).otherwise("-") for f in ("rooms", "area", "rent")])
-    return pairs.withColumn("score", hit / total).withColumn("have", have)
+    """Adds ``score``, the weighted Dice over the fields that both records have, and keeps the pairs that reach the least score.
 
-
-def _binned(pairs: DataFrame) -> dict[tuple[str, int], int]:
-    """Pairs by fields and twentieth of the score: at most 4 x 21 rows reach the driver."""
-    return {(r["have"], r["b"]): r["n"] for r in pairs.groupBy("have", F.floor(F.col("score") * 20).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    A Dice below its field's floor counts 0.
+    """
+    total = sum((F.when(F.col(f).isNotNull(), w).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
+    hit = sum((F.when(F.col(f) >= FLOORS[f] - 1e-9, F.col(f) * w).otherwise(0.0) for f, w in WEIGHTS.items()), F.lit(0.0))
+    least = F.coalesce(*[F.when(F.col("have") == p, least_score(p)) for p in PATTERNS])
+    return pairs.withColumn("score", hit / total).where(F.col("score") >= least - 1e-9)
 
 
-def calibration(found: dict[tuple[str, int], int], chance: dict[tuple[str, int], int]) -> dict[tuple[str, int], float]:
-    """Confidence of a pair by fields and score: one less the share that chance alone would give, never falling with the score.
+def calibration(found: dict[tuple[int, int], int], chance: dict[tuple[int, int], int], scale: float = 1.0) -> dict[tuple[int, int], float]:
+    """Confidence of a pair by fields and bin of the score: one less the share that chance alone would give, never falling.
 
-    ``found`` counts the pairs found, ``chance`` those found when every place is exchanged for another.
+    ``found`` counts the pairs found, ``chance`` those found when every place is exchanged for another, ``scale`` how many
+    more pairs of records stand at one place than after the exchange.
     """
-    out: dict[tuple[str, int], float] = {}
+    out: dict[tuple[int, int], float] = {}
     for have in sorted({h for h, _ in found}):
         least = 0.0
-        for b in range(21):
+        for b in range(BINS + 1):
             if (have, b) in found:
-                above = lambda d: sum(n for (h, x), n in d.items() if h == have and x >= b)  # noqa: E731, B023
-                least = max(least, 1 - min(1.0, (above(chance) + 0.5) / (above(found) + 1)))
+                # a bin alone says what its pairs are worth; where it is empty of chance pairs, half a pair is assumed
+                least = max(least, 1 - min(1.0, (chance.get((have, b), 0) * scale + 0.5) / (found[have, b] + 1)))
                 out[have, b] = round(least, 4)
     return out
 
@@ -167,19 +244,25 @@ def calibration(found: dict[tuple[str, int], int], chance: dict[tuple[str, int],
 def match_records(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
     """Matched pairs ``lid``, ``rid`` with ``score`` and ``confidence``.
 
-    Both sides have ``place`` (null: no match), ``name_dice`` (similarity of the typed name to its entry), ``rooms``, ``area``
-    and ``rent`` (null: missing). Repeated rows count once; an id with several values is paired by each and keeps its best
-    score. Confidences are calibrated against a second search in which the last column of ``place`` of the right side is
-    exchanged for the next one that occurs with the same others.
+    Both sides have ``place`` (null: no match), ``rooms``, ``area`` and ``rent`` (null: missing; two of them are needed).
+    Repeated rows count once; an id with several values is paired by each and keeps its best score. Confidences are
+    calibrated against the same search in places where a record can't belong: the last column of ``place`` of the right side
+    is exchanged for the next one that occurs with the same others. At most 2 x 4 x (BINS + 1) + 2 counts reach the driver.
     """
     left, right = left.dropna(subset=place).distinct(), right.dropna(subset=place).distinct()
-    pairs = cut(scored(agreeing_pairs(left, right, place)).select("lid", "rid", "score", "have"))
     w = Window.partitionBy(*place[:-1]).orderBy(place[-1])  # distinct places only
     spots = right.select(*place).distinct().select(*place, F.coalesce(F.lead(place[-1]).over(w), F.min(place[-1]).over(Window.partitionBy(*place[:-1]))).alias("_next"))
     moved = right.join(spots.where(F.col("_next") != F.col(place[-1])), place).drop(place[-1]).withColumnRenamed("_next", place[-1])
-    by = calibration(_binned(pairs), _binned(scored(agreeing_pairs(left, moved, place))))
+    both = right.withColumn("chance", F.lit(False)).unionByName(moved.withColumn("chance", F.lit(True)))
+    pairs = cut(scored(agreeing_pairs(left, both, place)).select("lid", "rid", "chance", "have", "score"))
+    bin_of = F.floor(F.col("score") * BINS + 1e-9).cast("int")
+    counts = pairs.groupBy("chance", "have", bin_of.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()
+    per = lambda df, *c: df.groupBy(*place, *c).agg(F.count(F.lit(1)).alias(f"n{len(c)}"))
+    chances = {r["chance"]: r["n"] for r in per(left).join(per(both, "chance"), place).groupBy("chance").agg(F.sum(F.col("n0") * F.col("n1")).alias("n")).collect()}
+    scale = chances.get(False, 0) / max(1, chances.get(True, 0))
+    by = calibration(*({(r["have"], r["b"]): r["n"] for r in counts if r["chance"] == side} for side in (False, True)), scale)
+    pairs = pairs.where("not chance")
     if not by:
         return pairs.select("lid", "rid", "score", F.lit(None).cast("double").alias("confidence"))
-    lookup = F.create_map(*[F.lit(x) for (h, b), v in by.items() for x in (f"{h}{b}", v)])
-    conf = lookup[F.concat("have", F.floor(F.col("score") * 20).cast("string"))]
-    return pairs.groupBy("lid", "rid").agg(F.max("score").alias("score"), F.max(conf).alias("confidence"))
+    lookup = F.create_map(*[F.lit(x) for (h, b), v in by.items() for x in (h * 100 + b, v)])
+    return pairs.groupBy("lid", "rid").agg(F.max("score").alias("score"), F.max(lookup[F.col("have") * 100 + bin_of]).alias("confidence"))

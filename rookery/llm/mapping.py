@@ -1,8 +1,9 @@
 """Free-typed values mapped to the entries of a reference list, with the unmatched reported.
 
-Distinct typed values are cleaned of decorations and read as sets of syllables (so that a name in characters, in
-pinyin or with a homophone is the same), ending and phase. Candidates come from the prefix-filtered Jaccard join with
-the reference sets; the best candidate is kept if it differs by one slip at most.
+Distinct typed values are cleaned of decorations and read as sets of q-grams: syllables (so that a name in characters, in
+pinyin or with a homophone is the same) and pairs of neighbouring syllables. Grams carry kind, ending and phase, so that
+names that differ in them share nothing; an entry is also known without its ending. Values and entries meet in the
+prefix-filtered Jaccard join; a value means the entry with the highest Jaccard similarity that reaches the threshold.
 """
 
 from __future__ import annotations
@@ -18,10 +19,9 @@ from rookery.llm import names as N
 from rookery.llm.set_join import jaccard_join
 from rookery.session import cut
 
-#: Jaccard similarity of syllable sets from which a reference entry is a candidate.
-THRESHOLD = 0.5
-#: Slips (one character missing, added, doubled, replaced, or two swapped) that a typed name may have.
-SLIPS = 1
+#: Jaccard similarity of q-gram sets from which a value means an entry. A name of two syllables of which one is wrong
+#: has 1/3 with its entry, two different names of which half the syllables are equal have at most 1/4.
+THRESHOLD = 0.3
 
 
 def edits(a: list[str], b: list[str]) -> int:
@@ -38,28 +38,10 @@ def edits(a: list[str], b: list[str]) -> int:
     return prev[-1]
 
 
-def _readings(stem: str, syllables: set[str]) -> list[list[str]]:
-    """Ways to read a romanized stem as known syllables."""
-    if not stem:
-        return [[]]
-    out = []
-    for n in range(6, 0, -1):
-        if stem[:n] in syllables and len(stem) >= n:
-            out += [[stem[:n], *r] for r in _readings(stem[n:], syllables)]
-    return out[:16]
-
+Reading = tuple[list[str], str, str, str]  # syllables, characters, ending, phase
 
-def _tokens(syl: list[str], ending: str, phase: str) -> list[str]:
-    out, seen = [], {}
-    for s in syl:
-        if s in N.UNKNOWN:
-            continue
-        seen[s] = seen.get(s, 0) + 1
-        out.append(s if seen[s] == 1 else f"{s}+{seen[s]}")
-    return out + ([f"#{ending}"] if ending else []) + ([f"@{phase}"] if phase else [])
 
-
-def estate_variants(value: str, pinyin: dict[str, str], syllables: set[str]) -> list[tuple[list[str], str, str, str]]:
+def estate_variants(value: str, pinyin: dict[str, str], syllables: set[str]) -> list[Reading]:
     """(syllables, characters, ending, phase) of each way to read a typed estate name."""
     out = []
     folded = N.fold(value)
@@ -77,7 +59,7 @@ def estate_variants(value: str, pinyin: dict[str, str], syllables: set[str]) ->
 _AROUND = re.compile(r"办事处$|\((?:镇区|城区|街道)\)$|^[一-鿿]{2}区(?=[一-鿿]{2})|[。.,，、]+$")
 
 
-def subdistrict_variants(value: str, pinyin: dict[str, str], syllables: set[str]) -> list[tuple[list[str], str, str, str]]:
+def subdistrict_variants(value: str, pinyin: dict[str, str], syllables: set[str]) -> list[Reading]:
     """As estate_variants, for a typed subdistrict name."""
     s = N.fold(value)
     s = re.sub(r"[【】\[\]]", "", s)
@@ -88,36 +70,64 @@ def subdistrict_variants(value: str, pinyin: dict[str, str], syllables: set[str]
     return _read(s, "", N.DISTRICT_ENDINGS, pinyin, syllables)
 
 
-def _read(name: str, phase: str, endings: dict[str, str], pinyin: dict[str, str], syllables: set[str]) -> list[tuple[list[str], str, str, str]]:
+def _read(name: str, phase: str, endings: dict[str, str], pinyin: dict[str, str], syllables: set[str]) -> list[Reading]:
     if re.search(r"[一-鿿]", name):
         stem, ending = N.split_ending(name, endings)
         return [([pinyin.get(c, c) for c in stem], stem, ending, phase)] if stem else []
     stem, ending = N.split_latin(name, endings)
-    out = [(r, "", ending, phase) for r in _readings(stem, syllables) if r]
+    out = [(N.segment(stem, syllables), "", ending, phase)] if stem else []
     if ending:  # the ending may be part of the name
-        out += [(r, "", "", phase) for r in _readings(re.sub(r"[^a-z]", "", name), syllables) if r]
+        out.append((N.segment(re.sub(r"[^a-z]", "", name), syllables), "", "", phase))
     return out
 
 
+def entry_readings(readings: list[Reading], syllables: set[str]) -> list[Reading]:
+    """A reference name as it may be typed: with and without its ending, and as its letters are read."""
+    out: dict[tuple, Reading] = {}
+    for syl, han, ending, phase in readings[:1]:
+        for s in (syl, N.segment("".join(syl), syllables)):
+            for e in (ending, ""):
+                out.setdefault((tuple(s), e), (s, han, e, phase))
+    return list(out.values())
+
+
+def grams_of(kind: str, reading: Reading) -> tuple[list[str], list[str]]:
+    """(q-grams, syllables alone) of a reading as sets; repeated syllables are told apart, unreadable ones left out."""
+    syl, _, ending, phase = reading
+    space = f"{kind[0]}{phase}{ending}:"
+    seen: dict[str, int] = {}
+    ones = []
+    for s in syl:
+        if s not in N.UNKNOWN:
+            seen[s] = seen.get(s, 0) + 1
+            ones.append(space + (s if seen[s] == 1 else f"{s}+{seen[s]}"))
+    if not ones:
+        return [], []
+    if ending:
+        ones.append(space + "#")
+    return list(dict.fromkeys(ones + [f"{space}{a}_{b}" for a, b in zip(["^", *syl], [*syl, "$"])])), ones
+
+
 _READERS = {"estate": estate_variants, "subdistrict": subdistrict_variants}
-_VARIANT = "kind string, value string, variant int, syl array<string>, han string, ending string, phase string, tokens array<string>"
+_VARIANT = "kind string, value string, variant int, syl array<string>, han string, tokens array<string>, syllables array<string>"
 
 
-def read_values(df: DataFrame, pinyin: dict[str, str]) -> DataFrame:
-    """Readings of each ``kind``, ``value``; a value that can't be read has none. Tokens of different kinds differ."""
+def read_values(df: DataFrame, pinyin: dict[str, str], entries: bool = False) -> DataFrame:
+    """Readings of each ``kind``, ``value``, or of entries; a value that can't be read has none. Values of any length have a handful."""
     syllables = set(pinyin.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for kind, v in zip(pdf["kind"], pdf["value"]):
+                found = _READERS[kind](v, pinyin, syllables)
                 seen = set()
-                for k, (syl, han, ending, phase) in enumerate(_READERS[kind](v, pinyin, syllables)):
-                    toks = [f"{kind[0]}:{t}" for t in _tokens(syl, ending, phase)]
-                    if toks and (tuple(syl), han, ending, phase) not in seen:
-                        seen.add((tuple(syl), han, ending, phase))
-                        rows.append((kind, v, k, syl, han, ending, phase, toks))
-            yield pd.DataFrame(rows, columns=["kind", "value", "variant", "syl", "han", "ending", "phase", "tokens"])
+                for k, r in enumerate(entry_readings(found, syllables) if entries else found):
+                    grams, ones = grams_of(kind, r)
+                    if grams and (tuple(r[0]), *r[1:]) not in seen:
+                        seen.add((tuple(r[0]), *r[1:]))
+                        rows.append((kind, v, k, r[0], r[1], grams, ones))
+            yield pd.DataFrame(rows, columns=["kind", "value", "variant", "syl", "han", "tokens", "syllables"])
 
     return df.select("kind", "value").mapInPandas(run, _VARIANT)
 
@@ -132,35 +142,36 @@ def _slips(a: pd.Series, b: pd.Series, ha: pd.Series, hb: pd.Series) -> pd.DataF
 
 
 def jaccard_candidates(typed: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs ``kind``, ``value``, ``variant``, ``ref_id`` whose token sets are similar."""
-    j = jaccard_join(typed, known, ["kind", "value", "variant"], ["ref_id"], THRESHOLD)
-    return j.select(F.col("l_kind").alias("kind"), F.col("l_value").alias("value"), F.col("l_variant").alias("variant"), F.col("r_ref_id").alias("ref_id"))
+    """Pairs ``kind``, ``value``, ``variant``, ``ref_id``, ``r_variant`` whose q-gram sets are similar, with ``similarity``."""
+    j = jaccard_join(typed, known, ["kind", "value", "variant"], ["ref_id", "variant"], THRESHOLD)
+    return j.select(F.col("l_kind").alias("kind"), F.col("l_value").alias("value"), F.col("l_variant").alias("variant"), F.col("r_ref_id").alias("ref_id"), F.col("r_variant").alias("r_variant"), F.col("jaccard").alias("similarity"))
 
 
-def map_values(values: DataFrame, ref: DataFrame, pinyin: dict[str, str], candidates: Callable[[DataFrame, DataFrame], DataFrame] = jaccard_candidates, slips: int = SLIPS) -> DataFrame:
-    """Best entries for each distinct ``kind``, ``value``: ``ref_id``, ``slips``, ``chars``, ``dice``, ``tie`` (1 if it is the only best).
+def map_values(values: DataFrame, ref: DataFrame, pinyin: dict[str, str], candidates: Callable[[DataFrame, DataFrame], DataFrame] = jaccard_candidates) -> DataFrame:
+    """Best entries for each distinct ``kind``, ``value``: ``ref_id``, ``similarity``, ``tie`` (1 if it is the only best).
 
     ``ref`` has ``kind``, ``ref_id`` and ``name``. A value that is a name of the list, character by character, maps to it. Nulls and
-    empty values aren't mapped. Entries that tie for the best come as several rows; a value with no entry has no row.
+    empty values aren't mapped. The entry with the highest similarity is best; of entries with the same one that with the
+    least edit distance, by syllables and then by characters. Entries that still tie come as several rows; a value without
+    an entry has no row. Of a name of which one syllable is left only the very name is an entry.
     """
     names = ref.select("kind", F.col("name").alias("value"), "ref_id")
     marked = values.where(F.col("value").isNotNull()).select("kind", "value").distinct().join(names, ["kind", "value"], "left")
     marked = cut(marked)
     typed = cut(read_values(marked.where("ref_id is null"), pinyin))
-    known = cut(read_values(names.select("kind", "value").distinct(), pinyin).where("variant = 0").join(names, ["kind", "value"]))
-    t = typed.select("kind", "value", "variant", "syl", "han", "ending", "phase", "tokens")
-    k = known.select("kind", "ref_id", F.col("syl").alias("r_syl"), F.col("han").alias("r_han"), F.col("ending").alias("r_ending"), F.col("phase").alias("r_phase"), F.col("tokens").alias("r_tokens"))
-    c = candidates(typed, known).join(k, ["kind", "ref_id"]).join(t, ["kind", "value", "variant"])
-    c = c.where((F.col("phase") == F.col("r_phase")) & ((F.col("ending") == "") | (F.col("ending") == F.col("r_ending"))))
-    c = c.withColumn("e", _slips("syl", "r_syl", "han", "r_han")).where(F.col("e.slips") <= slips)
-    # a slip in a name of which one character is left says nothing
-    c = c.where((F.col("e.slips") == 0) | (F.size("syl") >= 2))
-    dice = 2 * F.size(F.array_intersect("tokens", "r_tokens")) / (F.size("tokens") + F.size("r_tokens"))
-    c = c.groupBy("kind", "value", "ref_id").agg(F.min(F.struct("e.slips", "e.chars")).alias("e"), F.max(dice).alias("dice"))
-    best = F.rank().over(Window.partitionBy("kind", "value").orderBy("e"))  # a handful of candidates for each value
+    known = cut(read_values(names.select("kind", "value").distinct(), pinyin, True).join(names, ["kind", "value"]))
+    c = candidates(typed, known)
+    top = F.rank().over(Window.partitionBy("kind", "value").orderBy(F.desc(F.round("similarity", 9))))  # a handful of candidates for each value
+    c = c.withColumn("_r", top).where("_r = 1").drop("_r")
+    t = typed.select("kind", "value", "variant", "syl", "han")
+    k = known.select("kind", "ref_id", F.col("variant").alias("r_variant"), F.col("syl").alias("r_syl"), F.col("han").alias("r_han"))
+    c = c.join(k, ["kind", "ref_id", "r_variant"]).join(t, ["kind", "value", "variant"]).where((F.col("similarity") > 1 - 1e-9) | (F.size("syl") >= 2))
+    c = c.withColumn("e", _slips("syl", "r_syl", "han", "r_han"))
+    c = c.groupBy("kind", "value", "ref_id").agg(F.max("similarity").alias("similarity"), F.min("e").alias("e"))
+    best = F.rank().over(Window.partitionBy("kind", "value").orderBy("e"))
     c = c.withColumn("_r", best).where("_r = 1").withColumn("tie", F.count(F.lit(1)).over(Window.partitionBy("kind", "value")).cast("int"))
-    c = c.select("kind", "value", "ref_id", F.col("e.slips").alias("slips"), F.col("e.chars").alias("chars"), "tie", "dice")
-    exact = marked.where("ref_id is not null").select("kind", "value", "ref_id", F.lit(0).alias("slips"), F.lit(0).alias("chars"), F.lit(1).alias("tie"), F.lit(1.0).alias("dice"))
+    c = c.select("kind", "value", "ref_id", "tie", "similarity")
+    exact = marked.where("ref_id is not null").select("kind", "value", "ref_id", F.lit(1).alias("tie"), F.lit(1.0).alias("similarity"))
     return cut(exact.unionByName(c))
 
 
@@ -177,7 +188,7 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def map_rows(rows: DataFrame, ref: DataFrame, pinyin: dict[str, str], agree: tuple[str, ...] = (), candidates: Callable[[DataFrame, DataFrame], DataFrame] = jaccard_candidates) -> DataFrame:
-    """``rows`` (``id``, ``kind``, ``value``, ``agree`` …) with ``ref_id`` (-1: no entry is meant), ``slips``, ``dice`` and ``exact``.
+    """``rows`` (``id``, ``kind``, ``value``, ``agree`` …) with ``ref_id`` (-1: no entry is meant), ``similarity`` and ``exact``.
 
     Entries that tie for a value are ranked per row by how many of the columns ``agree``, which ``rows`` and ``ref`` both
     have, are equal (earlier ones first); what still ties goes to the least ``ref_id``. For kind ``estate`` an entry whose
@@ -190,6 +201,6 @@ def map_rows(rows: DataFrame, ref: DataFrame, pinyin: dict[str, str], agree: tup
     home = j.where("kind = 'subdistrict' and ref_id is not null").groupBy("id").agg(F.min("ref_id").alias("home"))
     tied = j.where("tie > 1").join(home, "id", "left")
     fit = F.array(*[F.coalesce(a != b, F.lit(True)).cast("int") for a, b in [(F.col("parent"), F.col("home")), *((F.col(c), F.col(f"_ref_{c}")) for c in agree)]])
-    tied = tied.groupBy("id", "kind", "value").agg(F.min(F.struct(fit, F.col("ref_id").alias("ref_id"), "slips", "ref_name", "dice")).alias("b")).select("id", "kind", "value", "b.ref_id", "b.slips", "b.ref_name", "b.dice")
-    plain = j.where("tie is null or tie = 1").select("id", "kind", "value", F.coalesce("ref_id", F.lit(-1).cast("long")).alias("ref_id"), "slips", "ref_name", "dice")
+    tied = tied.groupBy("id", "kind", "value").agg(F.min(F.struct(fit, F.col("ref_id").alias("ref_id"), "ref_name", "similarity")).alias("b")).select("id", "kind", "value", "b.ref_id", "b.ref_name", "b.similarity")
+    plain = j.where("tie is null or tie = 1").select("id", "kind", "value", F.coalesce("ref_id", F.lit(-1).cast("long")).alias("ref_id"), "ref_name", "similarity")
     return plain.unionByName(tied).withColumn("exact", F.coalesce(F.col("value") == F.col("ref_name"), F.lit(False))).drop("ref_name")

@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, functions as F
 
 # Traditional forms and their simplified ones, in pairs.
 TRADITIONAL = dict(
@@ -154,15 +154,46 @@ def learn_pinyin(pairs: list[tuple[str, str]]) -> dict[str, str]:
     return {c: v.most_common(1)[0][0] for c, v in votes.items()}
 
 
-#: Reference names from which the romanization is learned, at most; the syllables need a few hundred.
-PINYIN_ROWS = 50_000
+#: Reference names from which the syllable of one character is learned, at most. The number of characters bounds the sample.
+NAMES_OF_CHARACTER = 64
+#: Letters of a romanized name that is learned from, at most; longer ones are no names.
+LEARN_LETTERS = 64
 
 
-def pinyin_of(ref: DataFrame, name: str = "name", latin: str = "name_pinyin", rows: int = PINYIN_ROWS) -> dict[str, str]:
-    """Learn on a bounded sample of the reference list; the result has one entry per character."""
-    got = ref.where(f"{name} is not null and {latin} is not null").select(name, latin).limit(rows).collect()
+def pinyin_of(ref: DataFrame, name: str = "name", latin: str = "name_pinyin", each: int = NAMES_OF_CHARACTER) -> dict[str, str]:
+    """Learn from ``each`` names of every character, chosen by hash, so that no character is missed and row order doesn't matter.
+
+    The result has one entry per character. Names that are null or not romanized teach nothing.
+    """
+    n = ref.where(F.col(name).isNotNull() & (F.length(latin) <= LEARN_LETTERS)).select(F.col(name).alias("n"), F.col(latin).alias("l")).distinct()
+    chars = n.select("n", "l", F.explode(F.array_distinct(F.filter(F.split("n", ""), lambda c: c != ""))).alias("c"))
+    w = Window.partitionBy("c").orderBy(F.xxhash64("n", "l"), "n", "l")  # the limit is applied before the shuffle
+    got = chars.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= each).select("n", "l").distinct().collect()
     # Characters of endings and roads that a reference list may lack.
-    return {"东": "dong", "西": "xi", "南": "nan", "北": "bei", "中": "zhong"} | learn_pinyin([tuple(r) for r in got])
+    return {"东": "dong", "西": "xi", "南": "nan", "北": "bei", "中": "zhong"} | learn_pinyin(sorted(tuple(r) for r in got))
+
+
+def segment(letters: str, syllables: set[str]) -> list[str]:
+    """One way to read letters as syllables: the fewest letters that are in none, then the fewest syllables, then the longest last.
+
+    The same letters are always read alike, whatever their number, in one pass.
+    """
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]  # letters in no syllable, syllables, length of the last one
+    for i in range(1, len(letters) + 1):
+        ways = []
+        for n in range(min(6, i), 0, -1):
+            known = letters[i - n : i] in syllables
+            if known or n == 1:
+                loose, count, _ = best[i - n]
+                ways.append((loose + (not known), count + 1, -n))
+        loose, count, n = min(ways)
+        best.append((loose, count, -n))
+    out, i = [], len(letters)
+    while i:
+        n = best[i][2]
+        out.append(letters[i - n : i])
+        i -= n
+    return out[::-1]
 
 
 def romanize(s: str, pinyin: dict[str, str]) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rookery.llm.addresses import same_building
-from rookery.llm.entities import hamming_candidates, match_records, positive, rooms
+from rookery.llm.entities import entry_candidates, match_records, positive, rooms
 from rookery.llm.leakage import leaks
 from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
@@ -50,9 +50,9 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = spark.read.parquet(f"{sf_dir}/rental_listings.parquet").select(F.struct(F.lit("l").alias("side"), F.col("listing_id").alias("key")).alias("id"), *fields)
     two = spark.read.parquet(f"{sf_dir}/partner_listings.parquet").select(F.struct(F.lit("r").alias("side"), F.col("partner_id").alias("key")).alias("id"), *fields)
     both = one.unionByName(two).where("city is not null and community_name is not null").distinct()
-    named = map_rows(both.select("id", F.lit("estate").alias("kind"), F.col("community_name").alias("value"), "district"), _reference(spark, sf_dir, False), pinyin, ("district",), hamming_candidates)
-    named = named.where("ref_id >= 0").select("id", F.col("value").alias("community_name"), "ref_id", F.col("dice").alias("name_dice"))
-    d = cut(both.join(named, ["id", "community_name"]).select("id.side", "id.key", "city", "ref_id", "name_dice", "rooms", "area", "rent"))
+    named = map_rows(both.select("id", F.lit("estate").alias("kind"), F.col("community_name").alias("value"), "district"), _reference(spark, sf_dir, False), pinyin, ("district",), entry_candidates)
+    named = named.where("ref_id >= 0").select("id", F.col("value").alias("community_name"), "ref_id")
+    d = cut(both.join(named, ["id", "community_name"]).select("id.side", "id.key", "city", "ref_id", "rooms", "area", "rent"))
     left = d.where("side = 'l'").drop("side").withColumnRenamed("key", "lid")
     right = d.where("side = 'r'").drop("side").withColumnRenamed("key", "rid")
     return match_records(left, right, ["city", "ref_id"])

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from rookery.llm import names as N
 from rookery.llm.address_parts import parse
 from rookery.llm.addresses import buildings, same_building
-from rookery.llm.entities import RADIUS, agreeing_pairs, bit_vector, calibration, hamming_candidates, match_records, rooms
+from rookery.llm import entities as E
+from rookery.llm.entities import RADIUS, agreeing_pairs, calibration, entry_candidates, hamming_candidates, match_records, name_vector, rooms, scored
 from rookery.llm.leakage import leaks, least_shared, shingle_length, shingles, word_hashes
 from rookery.llm.mapping import edits, map_rows, read_values
 from rookery.llm.packing import bucket_bounds, fill_plan, pack, token_counts
@@ -66,6 +67,30 @@ def test_jaccard_join_equals_brute_force(spark):
         jaccard_join(df, df, ["i"], ["i"], 0)
 
 
+def test_jaccard_join_of_hot_tokens(spark):
+    rnd = random.Random(12)
+    sets = [["hot", *{f"t{rnd.randrange(6)}" for _ in range(3)}] for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(sets)), "i int, tokens array<string>")
+    got = [(r["l_i"], r["r_k"]) for r in jaccard_join(df, df.withColumnRenamed("i", "k"), ["i"], ["k"], 0.4, token_rows=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.4}
+
+
+def test_letters_are_read_in_one_pass():
+    known = {"xi", "an", "xian", "fang", "fan", "gan", "mu"}
+    assert N.segment("xianfang", known) == ["xian", "fang"] and N.segment("", known) == []
+    assert N.segment("fangan", known) == ["fan", "gan"] or N.segment("fangan", known) == ["fang", "an"]
+    assert N.segment("muqmu", known) == ["mu", "q", "mu"]
+    assert N.segment("mu" * 1500, known) == ["mu"] * 1500
+
+
+def test_pinyin_covers_every_character(spark):
+    rows = [("荷柳家园", "heliu jiayuan")] * 3 + [(f"荷{c}家园", f"he{y} jiayuan") for c, y in (("柳", "liu"), ("星", "xing"), ("竹", "zhu"))] + [(None, "x"), ("长" * 300, "chang" * 300)]
+    d = spark.createDataFrame(rows, "name string, name_pinyin string")
+    got = N.pinyin_of(d, each=1)
+    assert all(got[c] == y for c, y in (("荷", "he"), ("柳", "liu"), ("星", "xing"), ("竹", "zhu")))
+    assert got == N.pinyin_of(d.orderBy(F.desc("name")), each=1)
+
+
 def test_edits():
     assert [edits(list(a), list(b)) for a, b in (("abcd", "abcd"), ("abcd", "acbd"), ("abcd", "abd"), ("abcd", "abxd"), ("", "ab"), ("abcd", "abccd"))] == [0, 1, 1, 1, 2, 1]
 
@@ -81,11 +106,11 @@ CASES = {
 
 @pytest.mark.parametrize("way", ["jaccard", "hamming"])
 def test_map_rows(spark, way):
-    rows = [(i, "estate", v, "d") for i, v in enumerate(CASES)] + [(100, "estate", None, "d"), (None, "estate", "荷柳星家园", "d"), (0, "estate", "荷柳星家园", "d"), (101, "estate", "长" * 3000, "d")]
+    rows = [(i, "estate", v, "d") for i, v in enumerate(CASES)] + [(100, "estate", None, "d"), (None, "estate", "荷柳星家园", "d"), (0, "estate", "荷柳星家园", "d"), (101, "estate", "长" * 3000, "d"), (102, "estate", "mu" * 1500, "d"), (103, "estate", "heliuxing" * 333 + " homes", "d")]
     df = spark.createDataFrame(rows, "id long, kind string, value string, district string").withColumn("ref_name", F.lit(1))
-    more = {"candidates": hamming_candidates} if way == "hamming" else {}
+    more = {"candidates": entry_candidates} if way == "hamming" else {}
     got = {r["id"]: r["ref_id"] for r in map_rows(df, _ref(spark), PINYIN, ("district",), **more).collect()}
-    assert got == dict(enumerate(CASES.values())) | {101: -1}
+    assert got == dict(enumerate(CASES.values())) | {101: -1, 102: -1, 103: -1}
     tied = spark.createDataFrame([(1, "estate", "渡怡菲真公寓", "d")], "id long, kind string, value string, district string")
     assert map_rows(tied, _ref(spark), PINYIN, ("district",)).first()["ref_id"] == 3
     assert map_rows(df.limit(0), _ref(spark), PINYIN, ("district",)).count() == 0
@@ -93,35 +118,99 @@ def test_map_rows(spark, way):
 
 def test_hamming_candidates_are_exact(spark):
     rnd = random.Random(3)
-    rows = [("k", f"v{i}", 0, [f"t{rnd.randrange(25)}" for _ in range(rnd.randrange(2, 5))], "", "") for i in range(150)]
-    a = spark.createDataFrame(rows, "kind string, value string, variant int, tokens array<string>, ending string, phase string")
-    b = a.select("kind", F.substring("value", 2, 9).cast("long").alias("ref_id"), "tokens", "ending", "phase")
-    got = [(r["value"], r["ref_id"]) for r in hamming_candidates(a, b).collect()]
-    v = {r["value"]: r["x"] & (2**64 - 1) for r in a.select("value", bit_vector("tokens").alias("x")).collect()}
-    want = {(x, int(y[1:])) for x in v for y in v if bin(v[x] ^ v[y]).count("1") <= RADIUS}
-    assert len(got) == len(set(got)) and set(got) == want
+    rows = [("k", f"v{i}", 0, sorted({f"t{rnd.randrange(25)}" for _ in range(rnd.randrange(2, 5))})) for i in range(150)]
+    a = spark.createDataFrame(rows, "kind string, value string, variant int, syllables array<string>")
+    b = a.select("kind", F.substring("value", 2, 9).cast("long").alias("ref_id"), "variant", "syllables")
+    got = [(r["value"], r["ref_id"]) for r in hamming_candidates(a, b, least=0.0).collect()]
+    v = {r["value"]: (r["x"]["lo"] & (2**64 - 1)) | (r["x"]["hi"] & (2**64 - 1)) << 64 for r in a.select("value", name_vector("syllables").alias("x")).collect()}
+    # every vector is an entry's here, so each finds its equals only; without them, all in the radius
+    assert len(got) == len(set(got)) and set(got) == {(x, int(y[1:])) for x in v for y in v if v[x] == v[y]}
+    others = a.withColumn("syllables", F.array_append("syllables", F.concat(F.lit("own"), "value")))
+    u = {r["value"]: (r["x"]["lo"] & (2**64 - 1)) | (r["x"]["hi"] & (2**64 - 1)) << 64 for r in others.select("value", name_vector("syllables").alias("x")).collect()}
+    want = {(x, int(y[1:])) for x in u for y in v if 0 < bin(u[x] ^ v[y]).count("1") <= RADIUS} | {(x, int(y[1:])) for x in u for y in v if u[x] == v[y]}
+    alike = {x for x in u for y in v if u[x] == v[y]}
+    want = {(x, y) for x, y in want if x not in alike or u[x] == v[f"v{y}"]}
+    for rows_a_block in (E.PLACE_ROWS, 2):
+        E_rows, E.PLACE_ROWS = E.PLACE_ROWS, rows_a_block
+        got = [(r["value"], r["ref_id"]) for r in hamming_candidates(others, b, least=0.0).collect()]
+        E.PLACE_ROWS = E_rows
+        assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    with pytest.raises(ValueError):
+        hamming_candidates(a, b, E.NAME_CHUNKS)
 
 
-def test_agreeing_pairs_and_confidence(spark):
+def records(rnd, n, key, areas=(None, 50.0, 51.9, 52.5, 80.0), rents=(None, 3000.0, 3230.0, 3300.0)):
+    return [(i, "c", rnd.choice([1, 2]), rnd.choice([None, 1, 2]), rnd.choice(areas), rnd.choice(rents)) for i in range(n)]
+
+
+def fields(k):
+    return f"{k} long, city string, ref_id int, rooms int, area double, rent double"
+
+
+@pytest.mark.parametrize("rows_a_block", [20_000, 4])
+def test_agreeing_pairs_equal_brute_force(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(E, "PLACE_ROWS", rows_a_block)
     rnd = random.Random(4)
-    pick = lambda *v: rnd.choice(v)
-    rec = lambda i: (i, "c", pick(1, 2), 1.0, pick(None, 1, 2), pick(None, 50.0, 51.9, 52.5, 80.0), pick(None, 3000.0, 3230.0, 3250.0))
-    left, right = [rec(i) for i in range(60)], [rec(i) for i in range(60)]
-    names = lambda k: f"{k} long, city string, ref_id int, name_dice double, rooms int, area double, rent double"
-    a, b = spark.createDataFrame(left, names("lid")), spark.createDataFrame(right, names("rid"))
-    got = [(r["lid"], r["rid"]) for r in agreeing_pairs(a, b, ["city", "ref_id"]).collect()]
+    left, right = records(rnd, 60, "lid"), records(rnd, 60, "rid")
+    a, b = spark.createDataFrame(left, fields("lid")), spark.createDataFrame(right, fields("rid"))
+    got = [(r["lid"], r["rid"]) for r in scored(agreeing_pairs(a, b, ["city", "ref_id"])).collect()]
 
     def ok(x, y):
-        both = [(p, q) for p, q in zip(x[4:], y[4:])]
-        known = [(k, p, q) for k, (p, q) in enumerate(both) if p is not None and q is not None]
+        known = [(k, p, q) for k, (p, q) in enumerate(zip(x[3:], y[3:])) if p is not None and q is not None]
         return x[1:3] == y[1:3] and len(known) >= 2 and all(p == q if k == 0 else max(p, q) / min(p, q) <= (1.04 if k == 1 else 1.08) for k, p, q in known)
 
     assert sorted(got) == sorted((x[0], y[0]) for x in left for y in right if ok(x, y))
     m = match_records(a, b, ["city", "ref_id"])
     assert m.count() == len(got) and m.where("confidence is null or confidence < 0 or confidence > 1").count() == 0
     assert match_records(a.limit(0), b, ["city", "ref_id"]).count() == 0
-    cal = calibration({("ram", 20): 100, ("ram", 12): 10}, {("ram", 12): 9})
-    assert cal["ram", 20] > 0.99 > cal["ram", 12]
+
+
+def test_search_is_exact_in_the_radius(spark):
+    """All numbers in two ranges of each other are found, and the Dice tells apart what lies within the ratio."""
+    rnd = random.Random(5)
+    num = lambda: math.exp(rnd.uniform(math.log(3), math.log(40_000)))
+    left = [(i, "c", 1, 2, num(), num()) for i in range(300)]
+    right = [(i, "c", 1, 2, left[i][4] * math.exp(rnd.uniform(-0.12, 0.12)), left[i][5] * math.exp(rnd.uniform(-0.2, 0.2))) for i in range(300)]
+    idx = lambda x, ratio: math.floor(math.log(x) * (E.STEPS / math.log(ratio)))
+    shifts = lambda x, y: (abs(idx(x[4], E.AREA_RATIO) // E.STEPS - idx(y[4], E.AREA_RATIO) // E.STEPS), abs(idx(x[5], E.RENT_RATIO) // E.STEPS - idx(y[5], E.RENT_RATIO) // E.STEPS))
+    want = {(x[0], y[0]) for x in left for y in right if sum(shifts(x, y)) <= 2}
+    p = agreeing_pairs(spark.createDataFrame(left, fields("lid")), spark.createDataFrame(right, fields("rid")), ["city", "ref_id"]).collect()
+    assert len(p) == len(want) and {(r["lid"], r["rid"]) for r in p} == want and len(want) > 100
+    for r in p:
+        d = abs(idx(left[r["lid"]][4], E.AREA_RATIO) - idx(right[r["rid"]][4], E.AREA_RATIO))
+        assert r["area"] == pytest.approx((max(0, E.FINE - d) + max(0, E.FINE - 64 + d)) / E.FINE)  # around the ring of 64
+        assert (r["area"] >= E.FLOORS["area"] - 1e-9) == (d <= E.STEPS)
+    for have in E.PATTERNS:  # one field that disagrees costs more than all others can lack
+        names = ["place", *[f for f, b in E.FIELD_BITS.items() if have & b]]
+        assert all(1 - E.WEIGHTS[f] / sum(E.WEIGHTS[g] for g in names) < E.least_score(have) - 1e-9 for f in names)
+
+
+def test_confidence_on_planted_pairs(spark):
+    """Homes with a noisy double, among strangers of crowded and of empty places: confidence is near the share that is right."""
+    rnd = random.Random(6)
+    left, right = [], []
+    for i in range(9000):
+        place = rnd.randrange(10) if rnd.random() < 0.5 else 10 + rnd.randrange(1500)
+        rooms_, area, rent = rnd.randrange(1, 4), rnd.uniform(30, 120), rnd.uniform(2000, 9000)
+        left.append((i, "c", place, rooms_, area, rent))
+        if i % 2:
+            right.append((i, "c", place, None if rnd.random() < 0.2 else rooms_, area * rnd.uniform(0.97, 1.03), rent * rnd.uniform(0.95, 1.05)))
+        else:
+            right.append((i, "c", place, rnd.randrange(1, 4), rnd.uniform(30, 120), rnd.uniform(2000, 9000)))
+    m = match_records(spark.createDataFrame(left, fields("lid")), spark.createDataFrame(right, fields("rid")), ["city", "ref_id"]).collect()
+    assert {r["lid"] for r in m if r["lid"] == r["rid"]} >= {i for i in range(1, 9000, 2)}
+    by = {}
+    for r in m:
+        by.setdefault(min(int(r["confidence"] * 5), 4), []).append((r["confidence"], r["lid"] == r["rid"] and r["lid"] % 2 == 1))
+    for rows in by.values():
+        if len(rows) >= 100:
+            assert abs(sum(c for c, _ in rows) / len(rows) - sum(t for _, t in rows) / len(rows)) < 0.12
+    assert max(by) == 4
+
+
+def test_calibration_and_rooms(spark):
+    cal = calibration({(7, 40): 100, (7, 34): 10}, {(7, 34): 9})
+    assert cal[7, 40] > 0.99 > cal[7, 34]
     x = spark.createDataFrame([("２室１厅",), ("一室户",), ("studio",), ("3R1L2B",), ("两房",), ("?",), (None,)], "layout string").select(rooms("layout").alias("r")).collect()
     assert [r["r"] for r in x] == [2, 1, 1, 3, 2, None, None]
 
