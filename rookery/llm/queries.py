@@ -11,7 +11,7 @@ from rookery.llm.mapping import map_rows
 from rookery.llm.names import pinyin_of
 from rookery.llm.packing import pack, token_counts
 from rookery.llm.sketches import merge, percentiles, sketch
-from rookery.llm.textstats import not_prose, outlier_scores, text_statistics
+from rookery.llm.textstats import limit_scores, not_prose, outlier_scores, text_statistics
 from rookery.session import cut
 from rookery.sources import table
 
@@ -76,12 +76,13 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that aren't natural prose."""
-    return not_prose(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+    return not_prose(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang").select(F.col("id").alias("doc_id"))
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics and outlier score of every document."""
-    return outlier_scores(cut(text_statistics(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text"))).withColumnRenamed("id", "doc_id")
+    """The statistics and outlier scores of every document."""
+    stats = cut(text_statistics(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", "text", "lang"))
+    return outlier_scores(stats).join(limit_scores(stats), "id").withColumnRenamed("id", "doc_id")
 
 
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

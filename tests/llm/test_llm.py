@@ -20,7 +20,7 @@ from rookery.llm.packing import bucket_bounds, fill_plan, pack, token_counts
 from rookery.llm.passages import aligned_errors, contains, longest_run, words
 from rookery.llm.set_join import jaccard_join
 from rookery.llm.sketches import decode, encode, merge, percentiles, sketch
-from rookery.llm.textstats import STATISTICS, not_prose, outlier_scores, statistics_of, text_statistics
+from rookery.llm.textstats import STATISTICS, limit_scores, not_prose, outlier_scores, statistics_of, text_statistics
 
 PAIRS = [("暮荫真栖苑二期", "muyinzhenqi yuan erqi"), ("暮荫真栖苑三期", "muyinzhenqi yuan sanqi"), ("远渡宁麦公寓", "yuanduningmai gongyu"), ("东渡怡菲真公寓", "dongduyifeizhen gongyu"), ("西渡怡菲真公寓", "xiduyifeizhen gongyu"), ("荷柳星家园", "heliuxing jiayuan"), ("萍竹月小区", "pingzhuyue xiaoqu"), ("葵罗苏里", "kuiluosu li")]
 PINYIN = {"东": "dong", "西": "xi"} | N.learn_pinyin(PAIRS)
@@ -343,6 +343,22 @@ def test_scores_are_exact_ranks(spark):
     assert text_statistics(spark.createDataFrame([(1, "x" * 300_000)], "i long, t string"), "i", "t").first()["mean_word_len"] == 300_000
 
 
+def test_limits_are_ranks(spark):
+    rnd = random.Random(13)
+    rows = [(i, "en" if i < 200 else "zh", rnd.randrange(3), 1.0, 0.0, 0.0, round(rnd.random(), 2), rnd.choice([0.0, 0.3, 0.5, 0.51, 1.0])) for i in range(300)]
+    rows += [(1000 + i, "none", 0, 0.0, 0.0, 0.0, 0.0, 0.0) for i in range(3)] + [(2000 + i, "xx", 5, 1.0, 0.0, 0.0, 0.9, 0.9) for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, lang string, " + ", ".join(f"{k} {'long' if k == 'words' else 'double'}" for k in STATISTICS))
+    got = {r["id"]: r["beyond"] for r in limit_scores(df).collect()}
+    at = list(STATISTICS)
+    for r in rows:
+        same = sorted(x[2 + at.index("common_share")] for x in rows if x[1] == r[1])
+        usual = same[math.ceil(0.9 * len(same)) - 1]
+        over = r[2] <= 0 or r[2 + at.index("running_share")] <= 0.5 or r[2 + at.index("common_share")] <= usual / 4
+        assert (got[r[0]] >= 1 - 1e-9) == over, r
+    assert {r["id"] for r in limit_scores(df, 1.0).collect()} == {i for i, b in got.items() if b >= 1 - 1e-9}
+    assert limit_scores(df.limit(0)).count() == 0
+
+
 def test_packing(spark):
     rnd = random.Random(9)
     sizes = [(i, int(rnd.expovariate(1 / 60)) + 1) for i in range(400)] + [(900, 250), (901, 100), (902, 0), (903, None), (None, 5), (0, None)]
