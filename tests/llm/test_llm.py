@@ -19,7 +19,7 @@ from rookery.llm.mapping import edits, map_rows, read_values
 from rookery.llm.packing import bucket_bounds, fill_plan, pack, token_counts
 from rookery.llm.passages import aligned_errors, contains, longest_run, words
 from rookery.llm.set_join import jaccard_join
-from rookery.llm.sketches import decode, encode, merge, percentiles, sketch
+from rookery.llm.sketches import BITS, decode, encode, merge, percentiles, sketch, value_error
 from rookery.llm.textstats import STATISTICS, limit_scores, not_prose, outlier_scores, statistics_of, text_statistics
 
 PAIRS = [("暮荫真栖苑二期", "muyinzhenqi yuan erqi"), ("暮荫真栖苑三期", "muyinzhenqi yuan sanqi"), ("远渡宁麦公寓", "yuanduningmai gongyu"), ("东渡怡菲真公寓", "dongduyifeizhen gongyu"), ("西渡怡菲真公寓", "xiduyifeizhen gongyu"), ("荷柳星家园", "heliuxing jiayuan"), ("萍竹月小区", "pingzhuyue xiaoqu"), ("葵罗苏里", "kuiluosu li")]
@@ -415,9 +415,26 @@ def test_sketches(spark):
     assert left.exceptAll(only).count() == 0 and only.exceptAll(left).count() == 0
     assert percentiles(merge(daily.unionByName(daily.withColumn("c", -F.col("c"))), ["g"]), ["g"]).count() == 0
     assert percentiles(sketch(df.limit(0), ["g"], ["v"]), ["g"]).count() == 0
-    codes = spark.createDataFrame([(x,) for x in (-5.0, -1e-3, 0.0, 1e-3, 1.0, 4500.0, 1e18)], "x double").select("x", encode(F.col("x")).alias("c")).collect()
+    far = (-1.7e308, -1e30, -5.0, -1e-3, -5e-324, 0.0, 5e-324, 1e-300, 1e-19, 1e-18, 1e-3, 1.0, 4500.0, 1e18, 1e19, 1.7e308)
+    codes = spark.createDataFrame([(x,) for x in far], "x double").select("x", encode(F.col("x")).alias("c")).collect()
     assert [r["c"] for r in codes] == sorted(r["c"] for r in codes)
-    assert all(decode(r["c"]) == pytest.approx(r["x"], rel=1e-4) for r in codes)
+    assert all(0 <= r["c"] < 1 << BITS and (r["x"] == decode(r["c"]) == 0 or abs(decode(r["c"]) / r["x"] - 1) <= value_error(r["c"]) + 1e-12 or abs(r["x"]) < 1e-307) for r in codes)
+    assert all(value_error(r["c"]) < 1e-4 for r in codes if 1e-18 <= abs(r["x"]) <= 1e18)
+
+
+def test_counts_become_sketches_when_they_grow(spark, monkeypatch):
+    rnd = random.Random(11)
+    monkeypatch.setattr("rookery.llm.sketches.FEW", 50)
+    df = spark.createDataFrame([("a", d, rnd.uniform(1, 9)) for d in range(20) for _ in range(40)] + [("b", 0, float(x)) for x in range(1, 11)], "g string, d int, v double")
+    daily = sketch(df, ["g", "d"], ["v"])
+    assert {r["level"] for r in daily.select("level").distinct().collect()} == {-1}
+    whole = merge(daily, ["g"])
+    assert whole.where("g = 'a' and level = -1").count() == 0 and whole.where("g = 'b' and level <> -1").count() == 0
+    # the same counters, whichever way they were merged
+    again = merge(merge(daily.where("d < 10"), ["g"]).unionByName(merge(daily.where("d >= 10"), ["g"])), ["g"])
+    assert whole.exceptAll(again).count() == 0 and again.exceptAll(whole).count() == 0
+    got = {(r["g"], r["q"]): r for r in percentiles(whole, ["g"]).collect()}
+    assert got["b", 0.5]["rank_error"] == 0 and got["b", 0.5]["value"] == pytest.approx(5, rel=1e-4) and got["a", 0.5]["rank_error"] > 0
 
 
 def test_read_values_keeps_kinds_apart(spark):
