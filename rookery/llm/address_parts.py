@@ -7,10 +7,16 @@ from typing import NamedTuple
 
 from rookery.llm.names import ENDINGS, clean_estate, fold, han_number, romanize, undouble
 
-# Kinds of road in Chinese, English and pinyin, and the kind that each stands for.
+# Kinds of road by locale, and the kind that each stands for.
 ROAD_KINDS = {
-    "路": "lu", "街": "jie", "大道": "dadao", "road": "lu", "rd": "lu", "lu": "lu", "street": "jie", "st": "jie", "jie": "jie",
-    "avenue": "dadao", "ave": "dadao", "dadao": "dadao",
+    "zh": {"路": "lu", "街": "jie", "大道": "dadao"},
+    "en": {"road": "lu", "rd": "lu", "street": "jie", "st": "jie", "avenue": "dadao", "ave": "dadao"},
+    "pinyin": {"lu": "lu", "jie": "jie", "dadao": "dadao"},
+}
+# Words for a lane, a building and a room by locale.
+PART_WORDS = {
+    "en": {"lane": ("lane", "ln"), "building": ("building", "bldg", "no"), "room": ("room", "rm")},
+    "pinyin": {"lane": ("nong",), "building": ("hao",), "room": ()},
 }
 _HAN = "一-鿿"
 _NUM = r"[零〇一二三四五六七八九十百千两]+"
@@ -18,7 +24,9 @@ _BUILDING_END = r"(?:号楼|号|幢|栋|座|#)"
 _NUMERAL = re.compile(rf"({_NUM})(?=弄|号|幢|栋|座|室)")
 _ADMIN = re.compile(rf"^[{_HAN}]*?(?:市|街道|新区|度假区|工业园|[^小]区|镇|乡)(?=.)")
 _ROAD = re.compile(rf"([{_HAN}]+?)(路|街(?!道)|大道)")
-_LATIN_ROAD = re.compile(r"([a-z]+(?: (?:dong|xi|nan|bei|zhong))?) (road|rd|avenue|ave|street|st|lu|jie|dadao)\b\.?")
+_KINDS = "|".join([*ROAD_KINDS["en"], *ROAD_KINDS["pinyin"]])
+_LATIN_ROAD = re.compile(rf"([a-z]+(?: (?:dong|xi|nan|bei|zhong))?) ({_KINDS})\b\.?")
+_LATIN_WORD = re.compile(rf"\b(?:{'|'.join([w for p in PART_WORDS.values() for ws in p.values() for w in ws] + [_KINDS])})\b")
 _ESTATE = re.compile(rf"([{_HAN}]{{2,}}?(?:{'|'.join(sorted(ENDINGS, key=len, reverse=True))})(?:[一二三四1-4]期)?)(?![{_HAN}]*(?:路|街|大道))")
 _REMARK = re.compile(r"附近|近地铁站?|可短租|电梯房|靠河边|进门右转|\d+\s*楼(?=$|[\s,、])")
 
@@ -52,7 +60,7 @@ def _latin(s: str, pinyin: dict[str, str]) -> Parts:
         if name.split()[0] in ("lane", "ln"):
             name = " ".join(name.split()[1:])
         if name:
-            road, kind = name.replace(" ", ""), ROAD_KINDS[m[2]]
+            road, kind = name.replace(" ", ""), ROAD_KINDS["en"].get(m[2]) or ROAD_KINDS["pinyin"][m[2]]
             break
     m = re.search(r"\b(?:lane|ln)\.? ?(\d+)", s) or re.search(r"(\d+) ?(?:lane|ln|nong)\b", s)
     b = re.search(r"\b(?:building|bldg)\.? ?(\d+)", s) or re.search(r"\bno\.? ?(\d+)", s) or re.search(r"(\d+) ?hao\b", s)
@@ -66,7 +74,7 @@ def parse(address: str | None, pinyin: dict[str, str]) -> Parts:
     if not address:
         return NOTHING
     s = fold(address)
-    if len(re.findall(r"\b(?:room|no|lane|ln|bldg|building|nong|hao|rm|road|rd|avenue|ave|street|st)\b", s)) >= 2:
+    if len(_LATIN_WORD.findall(s)) >= 2:
         return _latin(s, pinyin)
     s = _NUMERAL.sub(lambda m: str(han_number(m[1])), s)
     s = re.sub(r"【[^】]*】", " ", s)
@@ -89,7 +97,7 @@ def parse(address: str | None, pinyin: dict[str, str]) -> Parts:
         seg = _admin_off(re.sub(r"^(?:弄内?|号楼?|幢|栋|室)+", "", seg))
         m = _ROAD.search(seg)
         if m:
-            road, kind = undouble(m[1]), ROAD_KINDS[m[2]]
+            road, kind = undouble(m[1]), ROAD_KINDS["zh"][m[2]]
             break
     if lane and not road:
         m = re.search(rf"([{_HAN}]{{2,4}})\s*{lane}\s*弄", s)

@@ -86,7 +86,9 @@ def buildings(df: DataFrame, id_col: str, city: str, address: str, estate: str,
     kinds = full.groupBy("city", "road", "lane").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind2"))
     # road unknown: a known or more frequent road with the same lane number, one slip away
     odd = graded.where("not known").select("city", "lane", F.col("road").alias("r0"), F.col("kind").alias("k0"), F.col("han").alias("h0"), F.col("n").alias("n0"))
-    near = odd.join(full, ["city", "lane"]).where((F.col("road") != F.col("r0")) & ((F.col("k0") == "") | (F.col("kind") == F.col("k0"))) & (F.col("known") | (F.col("n") > F.col("n0"))) & _one_slip(F.col("h0"), F.col("han")))
+    # two names one slip apart share one of their variants with at most one character less
+    variants = lambda df, h: df.withColumn("_h", F.col(h)).where(F.length("_h") > 0).withColumn("_v", F.explode(F.expr("array_distinct(transform(sequence(0, length(_h)), k -> if(k = 0, _h, concat(substring(_h, 1, k - 1), substring(_h, k + 1)))))"))).drop("_h")
+    near = variants(odd, "h0").join(variants(full, "han"), ["city", "lane", "_v"]).where((F.col("road") != F.col("r0")) & ((F.col("k0") == "") | (F.col("kind") == F.col("k0"))) & (F.col("known") | (F.col("n") > F.col("n0"))) & _one_slip(F.col("h0"), F.col("han")))
     near = near.groupBy("city", F.col("r0").alias("road"), F.col("k0").alias("kind"), "lane").agg(F.max(F.struct("known", "n", "road", "kind")).alias("m"))
     fixed = graded.join(kinds, ["city", "road", "lane"], "left").join(near, lane_of, "left")
     fixed = fixed.select(
@@ -119,6 +121,13 @@ def buildings(df: DataFrame, id_col: str, city: str, address: str, estate: str,
     return d.select("id", F.concat_ws("|", "city", place).alias("place"), place.alias("_p"), "building").where("_p is not null").drop("_p").distinct()
 
 
+def building_classes(df: DataFrame, id_col: str, city: str, address: str, estate: str, pinyin: dict[str, str]) -> DataFrame:
+    """``id``, ``class`` of the building and ``links``, the other ids there: one row for each row that denotes a building."""
+    b = cut(buildings(df, id_col, city, address, estate, pinyin))
+    n = b.groupBy("place", "building").agg((F.count_distinct("id") - 1).alias("links"))
+    return salted_join(b, n, ["place", "building"], "inner").select("id", F.concat_ws("|", "place", "building").alias("class"), "links")
+
+
 def same_building(df: DataFrame, id_col: str, city: str, address: str, estate: str, pinyin: dict[str, str]) -> DataFrame:
     """Pairs ``a`` < ``b`` of different ids in the same building; a huge building is paired by blocks."""
     return pairs_in_groups(cut(buildings(df, id_col, city, address, estate, pinyin)), ["place", "building"], "id").distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rookery.llm.addresses import same_building
+from rookery.llm.addresses import building_classes, same_building
 from rookery.llm.entities import entry_candidates, match_records, positive, rooms
 from rookery.llm.leakage import leaks
 from rookery.llm.mapping import map_rows
@@ -43,6 +43,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_building(rows, "listing_id", "city", "address_text", "community_name", pinyin).select(F.col("a").alias("listing_id_a"), F.col("b").alias("listing_id_b"))
 
 
+def p3_buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The building of each listing, as a class, and how many others stand in it."""
+    pinyin = pinyin_of(table(spark, sf_dir, "ref_communities", "name", "name_pinyin"))
+    rows = table(spark, sf_dir, "rental_listings", "listing_id", "city", "address_text", "community_name")
+    return building_classes(rows, "listing_id", "city", "address_text", "community_name", pinyin).withColumnRenamed("id", "listing_id")
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings and partner records of the same home: lid, rid, score, confidence."""
     pinyin = pinyin_of(table(spark, sf_dir, "ref_communities", "name", "name_pinyin"))
@@ -111,5 +118,5 @@ def p2_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(percentiles(merge(week, ["distance_bucket", "week"]), ["distance_bucket", "week"]))
 
 
-QUERIES = {"p2_percentiles": p2_percentiles, "p2_weekly": p2_weekly, "p8_containers": p8_containers, "p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
+QUERIES = {"p2_percentiles": p2_percentiles, "p2_weekly": p2_weekly, "p8_containers": p8_containers, "p10_found": p10_found, "p10_statistics": p10_statistics, "p9_found": p9_found, "p3_found": p3_found, "p3_buildings": p3_buildings, "p4_found": p4_found, "p4_matches": p4_matches, "p6_found": p6_found}
 ORACLE: dict[str, str] = {}

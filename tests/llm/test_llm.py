@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rookery.llm import names as N
 from rookery.llm.address_parts import parse
-from rookery.llm.addresses import buildings, same_building
+from rookery.llm.addresses import building_classes, buildings, same_building
 from rookery.llm import entities as E
 from rookery.llm.entities import RADIUS, agreeing_pairs, calibration, entry_candidates, hamming_candidates, match_records, name_vector, rooms, scored
 from rookery.llm.leakage import leaks, least_shared, shingle_length, shingles, word_hashes
@@ -54,6 +54,8 @@ def test_same_building(spark):
     same = [1, 2, 3, 6, 10]
     assert got == {(a, b) for a in same for b in same if a < b} | {(11, 12)}
     assert buildings(df.limit(0), "i", "city", "a", "e", PINYIN).count() == 0
+    links = {r["id"]: r["links"] for r in building_classes(df, "i", "city", "a", "e", PINYIN).collect()}
+    assert links == dict.fromkeys(same, 4) | {4: 0, 5: 0, 11: 1, 12: 1}
 
 
 def test_jaccard_join_equals_brute_force(spark):
