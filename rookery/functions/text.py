@@ -116,3 +116,9 @@ def area_guess(c: Column, endings: str = "路|街|大道|弄|号|小区|公寓")
     name = F.when(head.rlike("^[0-9]"), F.lit(None)).when(F.length(left) >= 2, left).when(inside != "", inside)
     sure = F.when(name.isNull(), 0.0).when(F.length(left) < 2, 0.1).when(left == head, 0.7).when(F.length(left) >= 4, 0.5).when(F.length(left) == 3, 0.4).otherwise(0.3)
     return F.struct(name.alias("name"), sure.alias("confidence"))
+
+
+def joined_notes(notes: list[tuple[Column, str]], default: str = "") -> Column:
+    """The names whose condition holds, in order, with "; " between them; ``default`` if none does."""
+    text = F.concat_ws("; ", *[F.when(c, F.lit(n)) for c, n in notes])
+    return F.when(text == "", F.lit(default)).otherwise(text)

@@ -1,4 +1,4 @@
-"""Pairs within groups, by blocks of bounded size, so that one huge group spreads over the cluster."""
+"""Work on groups of any size: pairs by blocks, and joins in which one key may hold a third of all rows."""
 
 from __future__ import annotations
 
@@ -40,3 +40,15 @@ def pairs_in_groups(df: DataFrame, keys: list[str], id_col: str, block_rows: int
     j = left.join(right, [*keys, "_lo", "_hi"])
     j = j.where((F.col("_x") != F.col("_y")) & ((F.col("_lo") != F.col("_hi")) | (F.col("_x") < F.col("_y"))))
     return j.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", salts: int = 16) -> DataFrame:
+    """Join by ``keys``, null being a value like others, to a side with one row a key: that side is repeated per salt, so that
+    a key with very many rows on the left isn't joined in one task. ``right`` has the keys and columns that ``left`` lacks.
+    """
+    rest = [c for c in right.columns if c not in keys]
+    # a hash of the row, so that a task that runs again gives rows the same salt
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*[c for c, t in left.dtypes if "map<" not in t]), F.lit(salts)).cast("int"))
+    b = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *rest, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt2"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_salt") == F.col("_salt2")]
+    return a.join(b, on, how).select(*left.columns, *rest)

@@ -7,13 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rookery.functions.text import non_empty
 
 
-def merge_layers(base: DataFrame, layers: list[tuple[DataFrame, list[str]]], key: str) -> DataFrame:
-    """Left joins by ``key``; of each layer only the named columns that it has and the result lacks."""
+def merge_layers(base: DataFrame, layers: list[tuple[DataFrame, list[str]]], key: str, fill: dict[str, str] | None = None) -> DataFrame:
+    """Left joins by ``key``; of each layer only the named columns that it has and the result lacks. ``fill`` names columns that
+    the result may lack in the end and the layer columns to take them from.
+    """
     out = base
     for df, columns in layers:
         take = [c for c in columns if c in df.columns and c != key and c not in out.columns]
         out = out.join(df.select(key, *take), key, "left")
-    return out
+    return out.withColumns({c: F.col(f) for c, f in (fill or {}).items() if c not in out.columns and f in out.columns})
 
 
 def facet_filter(df: DataFrame, ranges: dict[str, tuple[float, float]], members: dict[str, list[str]] | None = None, strict: dict[str, list[str]] | None = None, without: tuple[str, ...] = (), only: tuple[str, ...] = ()) -> DataFrame:

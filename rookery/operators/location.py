@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from rookery.functions.geo import haversine_m_int
+from rookery.functions.text import joined_notes
+from rookery.operators.blocks import spread_join
 from rookery.operators.distributions import distribution_stats
 from rookery.operators.near import near_pairs
 from rookery.operators.ranks import global_order
@@ -16,9 +19,13 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 
 
 def neighbour_stats(df: DataFrame, id_col: str, values: tuple[str, ...], radius_m: float) -> DataFrame:
-    """Per id the stats of its neighbours' ``values`` (itself excluded); ids without neighbours have no row."""
+    """Per id the stats of its neighbours' ``values`` (itself excluded); ids without neighbours have no row.
+
+    A point's neighbours are counted by value before they are brought together, and their ranks are found by sorting all
+    neighbourhoods by range, so that a crowded point fits into no single task.
+    """
     p = both_ways(near_pairs(df, id_col, "longitude", "latitude", radius_m))
-    n = cut(p.join(df.select(F.col(id_col).alias("b"), *values), "b"))
+    n = cut(spread_join(p, df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("b")).agg(*[F.min(v).alias(v) for v in values]), ["b"], "inner"))
     out = None
     for v in values:
         s = distribution_stats(n, ["a"], v).select(F.col("a").alias(id_col), F.col("n").alias(f"{v}_n"), F.col("median").alias(f"{v}_median"), F.col("p75").alias(f"{v}_p75"))
@@ -40,16 +47,32 @@ def location_value(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "below_nearby_median": sure(F.col("rent_price") < F.col("nearby_price_median")), "nearby_good_value": sure(F.col("rent_per_sqm") < F.col("nearby_rps_median")),
         "nearby_expensive": sure(F.col("rent_per_sqm") >= F.col("_p75")),
     })
-    named = df.where(F.col("community_name").isNotNull())
+    named = cut(df.where(F.col("community_name").isNotNull()))
     com = distribution_stats(named, ["community_name"], "rent_price").select("community_name", F.col("n").alias("community_n"), F.col("median").alias("_cm"), F.col("min").alias("_cmin"))
     rps = distribution_stats(named, ["community_name"], "rent_per_sqm").select("community_name", F.col("min").alias("_crmin"))
-    d = d.join(com, "community_name", "left").join(rps, "community_name", "left").withColumn("community_n", F.coalesce("community_n", F.lit(0)))
+    d = spread_join(spread_join(d, com, ["community_name"]), rps, ["community_name"]).withColumn("community_n", F.coalesce("community_n", F.lit(0)))
     many = F.col("community_n") >= rules.min_community
     best = lambda a, b: sure(many & (F.col(a) == F.col(b)))
     return d.withColumns({
         "community_price_median": F.when(many, F.col("_cm")), "below_community_median": sure(many & (F.col("rent_price") < F.col("_cm"))), "above_community_median": sure(many & (F.col("rent_price") > F.col("_cm"))),
         "best_price_in_community": best("rent_price", "_cmin"), "best_area_price_in_community": best("rent_per_sqm", "_crmin"),
-    }).drop("_cm", "_cmin", "_crmin", "_p75", "rent_price_n", "rent_price_median", "rent_price_p75", "rent_per_sqm_n", "rent_per_sqm_median", "rent_per_sqm_p75")
+    }).withColumn("notes", _value_notes(rules, df.columns)).drop("_cm", "_cmin", "_crmin", "_p75", "rent_price_n", "rent_price_median", "rent_price_p75", "rent_per_sqm_n", "rent_per_sqm_median", "rent_per_sqm_p75")
+
+
+def _value_notes(rules: Rules, columns: list[str]) -> Column:
+    enough, many = F.col("nearby_n") >= rules.min_nearby, F.col("community_n") >= rules.min_community
+    return joined_notes([
+        (~enough, "few_neighbours"), (enough & F.col("below_nearby_median"), "rent_below_neighbours"), (enough & F.col("nearby_good_value"), "area_rent_below_neighbours"), (enough & F.col("nearby_expensive"), "area_rent_at_or_above_neighbours_p75"),
+        (many & F.col("below_community_median"), "rent_below_community"), (many & F.col("best_price_in_community"), "least_rent_in_community"), (many & F.col("best_area_price_in_community"), "least_area_rent_in_community"),
+        *[(F.col(c), c) for c in ("apartment_like", "possible_duplicate") if c in columns],
+    ])
+
+
+def _mean_degrees(c: str) -> Column:
+    """Mean of a coordinate, 6 places, halves up: from sums of whole nanodegrees, so that it doesn't depend on their order."""
+    total, n = 2 * F.sum(F.round(F.col(c) * 1e9).cast("decimal(38,0)")), F.count(F.lit(1)).cast("decimal(20,0)") * 2000
+    shifted = total + n / 2
+    return ((shifted - F.pmod(shifted, n)) / n).cast("double") / 1e6
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -75,7 +98,8 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def density_clusters(df: DataFrame, id_col: str, rules: Rules = Rules()) -> DataFrame:
     """DBSCAN with names that don't depend on order: clusters are numbered by their least core id (as text), a border
-    point joins the lowest-numbered cluster next to it, noise has size 0 and no centroid.
+    point joins the lowest-numbered cluster next to it, noise has size 0 and no centroid. ``centroid_m`` is the distance to the
+    rounded centroid in whole metres.
     """
     if rules.eps_m <= 0 or rules.min_samples <= 0:
         raise ValueError("eps_m and min_samples must be positive")
@@ -90,11 +114,15 @@ def density_clusters(df: DataFrame, id_col: str, rules: Rules = Rules()) -> Data
     of_core = cut(roots.join(names, "root").select("id", "no"))
     border = pairs.join(of_core.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("no").alias("bno"))
     d = deg.join(of_core, "id", "left").join(border, "id", "left").withColumn("no", F.when(F.col("is_core"), F.col("no")).otherwise(F.col("bno"))).drop("bno")
-    size = d.where("no is not null").groupBy("no").agg(F.count(F.lit(1)).alias("size"), F.round(F.avg("longitude"), 6).alias("centroid_lon"), F.round(F.avg("latitude"), 6).alias("centroid_lat"))
-    d = d.join(size, "no", "left")
+    size = d.where("no is not null").groupBy("no").agg(F.count(F.lit(1)).alias("size"), _mean_degrees("longitude").alias("centroid_lon"), _mean_degrees("latitude").alias("centroid_lat"))
+    d = spread_join(d, size, ["no"])
+    noise = F.col("no").isNull()
+    notes = joined_notes([
+        (noise, "outside_all_clusters"), (~noise & F.col("is_core"), "core_point"), (~noise & ~F.col("is_core"), "border_point"),
+        (F.col("size") >= rules.dense_cluster, "dense_cluster"), (F.col("size") < min(rules.dense_cluster, 2 * rules.min_samples), "small_cluster"),
+    ])
     return d.select(
         F.col("id").alias(id_col), F.when(F.col("no").isNull(), "noise").otherwise(F.format_string("c%05d", F.col("no"))).alias("cluster"), F.coalesce("size", F.lit(0)).alias("cluster_size"),
         "is_core", F.col("neighbours").alias("neighbour_count"), "centroid_lon", "centroid_lat",
+        haversine_m_int("longitude", "latitude", "centroid_lon", "centroid_lat").alias("centroid_m"), notes.alias("notes"),
     )
-
-

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rookery.functions.text import strip
+from rookery.functions.text import joined_notes, strip
 from rookery.rules import Rules
 
-CAPABILITIES = ("can_analyze_price", "can_analyze_area_price", "can_analyze_map", "can_analyze_region", "can_analyze_freshness", "can_analyze_duplicates")
+HAS = ("has_price", "has_area", "has_location", "has_region", "has_layout", "has_images", "has_published_at", "has_listing_type", "has_duplicate_risk")
+CAPABILITIES = ("can_analyze_price", "can_analyze_area_price", "can_analyze_map", "can_analyze_commute", "can_analyze_region", "can_analyze_freshness", "can_analyze_duplicates")
 RISKS = ("area_outlier", "subdistrict_low_confidence", "apartment_like", "possible_duplicate", "missing_published_at", "coordinate_suspicious")
 
 
@@ -36,7 +37,13 @@ def duplicate_flag(df: DataFrame, id_col: str, keys: dict[str, Column]) -> DataF
 
 
 def quality_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per listing with flags; null fields give false flags, never null ones."""
+    """One row per listing with flags; null fields give false flags, never null ones.
+
+    Columns that ``df`` lacks (layout, image_urls, listing_type, source_listing_id, address_text) count as null.
+    """
+    optional = {"layout": "string", "image_urls": "array<string>", "listing_type": "string", "source_listing_id": "string", "address_text": "string"}
+    given = df.columns
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in df.columns})
     sure = lambda c: F.coalesce(c, F.lit(False))
     d = duplicate_flag(df, "listing_id", {"title": strip(F.col("title")), "rent": F.col("rent_price"), "community": strip(F.col("community_name"))})
     rps = rent_per_sqm()
@@ -52,21 +59,26 @@ def quality_rows(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "apartment_like": sure(text.rlike(rules.apartment)), "missing_published_at": F.col("published_at").isNull(),
         "can_analyze_price": sure(F.col("rent_price").between(rules.min_rent, rules.max_rent)),
         "can_analyze_region": F.col("district").isNotNull() & sure(F.col("community_name") != ""),
-        "can_analyze_freshness": F.col("published_at").isNotNull(), "can_analyze_duplicates": sure(F.col("community_name") != ""),
+        "can_analyze_freshness": F.col("published_at").isNotNull(), "can_analyze_duplicates": sure((F.col("community_name") != "") & (F.col("source_listing_id") != "")),
+        "has_price": F.col("rent_price").isNotNull(), "has_area": area.isNotNull(), "has_region": F.col("district").isNotNull(), "has_layout": F.col("layout").isNotNull(),
+        "has_images": sure(F.size("image_urls") > 0), "has_published_at": F.col("published_at").isNotNull(), "has_listing_type": sure(F.col("listing_type") != "unknown"), "has_duplicate_risk": F.col("possible_duplicate"),
+        "location_hint": sure(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("title", "address_text", "community_name", "subdistrict", "description")]).rlike(rules.place_hint)),
     })
     d = d.withColumns({
         "can_analyze_area_price": F.col("can_analyze_price") & area.isNotNull() & ~F.col("area_outlier"),
         "can_analyze_map": F.col("has_location") & ~F.col("coordinate_suspicious"),
+        "can_analyze_commute": F.col("has_location") & ~F.col("coordinate_suspicious"),
     })
     soft = F.col("area_outlier") | F.col("subdistrict_low_confidence") | F.col("possible_duplicate") | F.col("missing_published_at")
     blocked = ~F.col("can_analyze_price") | ~F.col("can_analyze_map") | F.col("coordinate_suspicious")
     notes = [
         (~F.col("can_analyze_price"), "rent_out_of_range"), (area.isNull(), "area_missing"), (F.col("area_outlier"), "area_outlier"),
-        (F.col("coordinate_suspicious"), "outside_area"), (~F.col("has_location"), "no_location"), (F.col("subdistrict_low_confidence"), "vague_subdistrict"),
+        (F.col("coordinate_suspicious") & F.col("location_hint"), "outside_area_but_named"), (F.col("coordinate_suspicious") & ~F.col("location_hint"), "outside_area"),
+        (~F.col("has_location"), "no_location"), (F.col("subdistrict_low_confidence"), "vague_subdistrict"),
         (F.col("apartment_like"), "apartment_like"), (F.col("possible_duplicate"), "possible_duplicate"), (F.col("missing_published_at"), "no_publication_date"),
     ]
-    text_notes = F.concat_ws("; ", *[F.when(c, F.lit(n)) for c, n in notes])
-    return d.withColumn("tier", F.when(blocked, "blocked").when(soft, "caution").otherwise("ready")).withColumn("notes", F.when(text_notes == "", "core_fields_usable").otherwise(text_notes))
+    d = d.withColumn("tier", F.when(blocked, "blocked").when(soft, "caution").otherwise("ready"))
+    return d.withColumn("notes", joined_notes(notes, "core_fields_usable")).drop(*[c for c in optional if c not in given])
 
 
 def quality_summary(rows: DataFrame) -> DataFrame:

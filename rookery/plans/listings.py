@@ -10,11 +10,14 @@ from rookery.operators import distributions as dist, history as hist, layers, lo
 from rookery.operators.near import near_pairs
 from rookery.plans.listings_sql import ORACLE
 from rookery.rules import Rules
+from rookery.session import cut
 from rookery.sources import pages, table
 
 R = Rules()
 ORIGIN = (112.42, 30.65)
 NOW = "2026-06-01 00:00:00"
+#: Wider radii for neighbours and neighbourhoods.
+WIDE_M, WIDE_EPS_M = 1000.0, 800.0
 
 
 def _tie():
@@ -26,7 +29,7 @@ def _listings(spark: SparkSession, d: str) -> DataFrame:
     num = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return table(spark, d, "rental_listings").select(
         F.col("listing_id").cast("string").alias("listing_id"), "source", "source_listing_id", "title", "description", "rent_price", num("area_sqm"), "layout", "district", "subdistrict",
-        "community_name", num("longitude"), num("latitude"), "published_at", "host_last_login_at", "first_seen_at", "city",
+        "community_name", num("longitude"), num("latitude"), "published_at", "host_last_login_at", "first_seen_at", "city", "image_urls", "listing_type", "address_text",
     ).distinct()
 
 
@@ -34,15 +37,16 @@ def _quality(spark: SparkSession, d: str) -> DataFrame:
     return qual.quality_rows(_listings(spark, d), R)
 
 
-QUALITY_COLS = ["listing_id", "rent_per_sqm", "has_location", *qual.CAPABILITIES, *qual.RISKS, "tier", "notes"]
+QUALITY_COLS = ["listing_id", "rent_per_sqm", *qual.HAS, *qual.CAPABILITIES, *qual.RISKS, "location_hint", "tier", "notes"]
 
 
-def _distances(spark, d):
-    return dist.origin_distances(_quality(spark, d).where("can_analyze_map"), *ORIGIN, R)
+def _distances(spark, d, q=None, origin=ORIGIN):
+    q = _quality(spark, d) if q is None else q
+    return dist.origin_distances(q.where("can_analyze_map"), *origin, R)
 
 
-def _candidates(spark, d):
-    q = _distances(spark, d).where("tier <> 'blocked' and can_analyze_price and can_analyze_area_price")
+def _candidates(spark, d, q=None, origin=ORIGIN):
+    q = _distances(spark, d, q, origin).where("tier <> 'blocked' and can_analyze_price and can_analyze_area_price")
     return q.select("listing_id", "community_name", "longitude", "latitude", "distance_bucket", "rent_price", "rent_per_sqm", "apartment_like", "possible_duplicate")
 
 
@@ -59,8 +63,9 @@ def quality_summary(spark, d):
 
 
 def duplicate_groups(spark, d):
-    x = _quality(spark, d).where("possible_duplicate")
-    return x.groupBy(qual.strip(F.col("title")).alias("title"), "rent_price", qual.strip(F.col("community_name")).alias("community")).agg(F.count(F.lit(1)).alias("n"))
+    """Groups of listings with one layout, rent and community: the flag with keys that occur more than once."""
+    x = qual.duplicate_flag(_listings(spark, d), "listing_id", {"layout": qual.strip(F.col("layout")), "rent": F.col("rent_price"), "community": qual.strip(F.col("community_name"))}).where("possible_duplicate")
+    return x.groupBy(qual.strip(F.col("layout")).alias("layout"), "rent_price", qual.strip(F.col("community_name")).alias("community")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def distance_rows(spark, d):
@@ -83,7 +88,7 @@ def price_percentile_rank(spark, d):
     return dist.percentile_ranks(_candidates(spark, d), ["distance_bucket"], "rent_price", "percentile").select("listing_id", "distance_bucket", "percentile")
 
 
-PA = ["listing_id", "distance_bucket", *[f"{s}_{x}" for s in ("price", "rps") for x in ("median", "percentile", "delta", "good", "expensive", "low_outlier", "high_outlier")], "community_n", "community_price_median", "community_rps_median"]
+PA = ["listing_id", "distance_bucket", *[f"{s}_{x}" for s in ("price", "rps") for x in ("median", "percentile", "delta", "good", "expensive", "low_outlier", "high_outlier")], "community_n", "community_price_median", "community_rps_median", "notes"]
 
 
 def price_area_rows(spark, d):
@@ -93,7 +98,7 @@ def price_area_rows(spark, d):
 def price_area_summary(spark, d):
     p = dist.price_area_rows(_candidates(spark, d), "distance_bucket", "community_name", R)
     labels = [f"{s}_{x}" for s in ("price", "rps") for x in ("good", "expensive", "low_outlier", "high_outlier")]
-    return p.groupBy("distance_bucket").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c) for c in labels])
+    return p.groupBy("distance_bucket").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c) for c in (*labels, "apartment_like", "possible_duplicate")])
 
 
 def nearby_pairs(spark, d):
@@ -101,46 +106,56 @@ def nearby_pairs(spark, d):
     return near_pairs(c, "listing_id", "longitude", "latitude", R.nearby_m)
 
 
-def nearby_stats(spark, d):
-    s = loc.neighbour_stats(_candidates(spark, d), "listing_id", ("rent_price",), R.nearby_m)
+def nearby_stats(spark, d, metres=R.nearby_m):
+    s = loc.neighbour_stats(cut(_candidates(spark, d)), "listing_id", ("rent_price",), metres)
     return s.select("listing_id", F.col("rent_price_n").alias("n"), F.col("rent_price_median").alias("median"), F.col("rent_price_p75").alias("p75"))
 
 
-LV = ["listing_id", "nearby_n", "nearby_price_median", "nearby_rps_median", "price_delta_from_nearby", "below_nearby_median", "nearby_good_value", "nearby_expensive", "community_n", "community_price_median", "below_community_median", "above_community_median", "best_price_in_community", "best_area_price_in_community"]
+def nearby_stats_wide(spark, d):
+    """The same within a kilometre."""
+    return nearby_stats(spark, d, WIDE_M)
+
+
+LV = ["listing_id", "nearby_n", "nearby_price_median", "nearby_rps_median", "price_delta_from_nearby", "below_nearby_median", "nearby_good_value", "nearby_expensive", "community_n", "community_price_median", "below_community_median", "above_community_median", "best_price_in_community", "best_area_price_in_community", "notes"]
 
 
 def location_value_rows(spark, d):
-    return loc.location_value(_candidates(spark, d), R).select(*LV)
+    return loc.location_value(cut(_candidates(spark, d)), R).select(*LV)
 
 
 def location_value_summary(spark, d):
     flags = [c for c in LV if c.startswith(("below", "above", "best")) or c in ("nearby_good_value", "nearby_expensive")]
-    v = loc.location_value(_candidates(spark, d), R)
+    v = loc.location_value(cut(_candidates(spark, d)), R)
     return v.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(c) for c in flags], F.count_if(F.col("nearby_n") >= R.min_nearby).alias("with_nearby"), F.count_if(F.col("community_n") >= R.min_community).alias("with_community"))
 
 
 def community_best(spark, d):
-    return loc.location_value(_candidates(spark, d), R).where("best_price_in_community").select("listing_id", "community_n")
+    return loc.location_value(cut(_candidates(spark, d)), R).where("best_price_in_community").select("listing_id", "community_n")
 
 
-def eps_neighborhood(spark, d):
-    q = _quality(spark, d).where("can_analyze_map")
-    p = loc.both_ways(near_pairs(q, "listing_id", "longitude", "latitude", R.eps_m))
+def eps_neighborhood(spark, d, metres=R.eps_m):
+    q = cut(_quality(spark, d).where("can_analyze_map").select("listing_id", "longitude", "latitude"))
+    p = loc.both_ways(near_pairs(q, "listing_id", "longitude", "latitude", metres))
     n = p.groupBy(F.col("a").alias("listing_id")).agg(F.count(F.lit(1)).alias("n"))
     return q.select("listing_id").join(n, "listing_id", "left").select("listing_id", (F.coalesce("n", F.lit(0)) + 1).alias("n_with_self"))
 
 
-def _clusters(spark, d):
-    return loc.density_clusters(_quality(spark, d).where("can_analyze_map"), "listing_id", R)
+def eps_neighborhood_wide(spark, d):
+    """The same within 800 m."""
+    return eps_neighborhood(spark, d, WIDE_EPS_M)
+
+
+def _clusters(spark, d, q=None):
+    q = _quality(spark, d) if q is None else q
+    return loc.density_clusters(cut(q.where("can_analyze_map").select("listing_id", "longitude", "latitude")), "listing_id", R)
 
 
 def geo_cluster_rows(spark, d):
-    c = _clusters(spark, d)
-    return c.withColumns({"centroid_lon": F.round("centroid_lon", 4), "centroid_lat": F.round("centroid_lat", 4)})
+    return _clusters(spark, d)
 
 
 def geo_cluster_summary(spark, d):
-    c = _clusters(spark, d)
+    c = cut(_clusters(spark, d))
     sizes = c.where("cluster <> 'noise'").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     s = sizes.agg(F.count(F.lit(1)).alias("clusters"), F.coalesce(F.max("n"), F.lit(0)).alias("largest"), F.coalesce(F.min("n"), F.lit(0)).alias("smallest"), F.coalesce(F.median("n"), F.lit(0.0)).alias("median_size"))
     return c.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("cluster") == "noise").alias("noise"), F.count_if("is_core").alias("core")).crossJoin(s)  # one row each
@@ -223,16 +238,22 @@ def reconcile_full(spark, d):
     return hist.reconcile(scope, seen, _state(spark, d), hist.KEYS, scope.distinct().count())[1]
 
 
-def _layers(spark, d):
-    q = _quality(spark, d).select("listing_id", "rent_price", "area_sqm", "rent_per_sqm", "tier", "apartment_like", "possible_duplicate", "notes")
-    dd = _distances(spark, d).select("listing_id", "distance_m", "distance_bucket", "longitude", "latitude")
-    pa = dist.price_area_rows(_candidates(spark, d), "distance_bucket", "community_name", R).select("listing_id", "rent_per_sqm", "price_good", "rps_good", "price_expensive")
-    lv = loc.location_value(_candidates(spark, d), R).select("listing_id", "nearby_n", "below_nearby_median", "nearby_good_value")
-    return layers.merge_layers(q, [(dd, ["distance_m", "distance_bucket"]), (pa, ["rent_per_sqm", "price_good", "rps_good", "price_expensive"]), (lv, ["nearby_n", "below_nearby_median", "nearby_good_value"])], "listing_id")
+def _layers(spark, d, clusters=False):
+    """Quality, distances, prices, neighbours and clusters as one table; the shared parts are built once."""
+    whole = cut(_quality(spark, d))
+    q = whole.select("listing_id", "rent_price", "area_sqm", "rent_per_sqm", "tier", "apartment_like", "possible_duplicate", "notes")
+    dd = _distances(spark, d, whole).select("listing_id", "distance_m", "distance_bucket", F.col("longitude").alias("listing_longitude"), F.col("latitude").alias("listing_latitude"))
+    c = cut(_candidates(spark, d, whole))
+    pa = dist.price_area_rows(c, "distance_bucket", "community_name", R).select("listing_id", "rent_per_sqm", "price_good", "rps_good", "price_expensive")
+    lv = loc.location_value(c, R).select("listing_id", "nearby_n", "below_nearby_median", "nearby_good_value")
+    parts = [(dd, ["distance_m", "distance_bucket", "listing_longitude", "listing_latitude"]), (pa, ["rent_per_sqm", "price_good", "rps_good", "price_expensive"]), (lv, ["nearby_n", "below_nearby_median", "nearby_good_value"])]
+    if clusters:
+        parts.append((_clusters(spark, d, whole), ["cluster", "cluster_size", "is_core", "neighbour_count", "centroid_lon", "centroid_lat"]))
+    return layers.merge_layers(q, parts, "listing_id", {"longitude": "listing_longitude", "latitude": "listing_latitude"})
 
 
 def merged_layers(spark, d):
-    return _layers(spark, d)
+    return _layers(spark, d, True).drop("listing_longitude", "listing_latitude")
 
 
 def _filtered(spark, d):
@@ -244,7 +265,7 @@ def faceted_filter(spark, d):
 
 
 def _scored(spark, d):
-    return layers.score_levels(layers.weighted_scores(_filtered(spark, d), {"area_sqm": 45.0}, {"distance_m": 35.0, "rent_price": 20.0}))
+    return layers.score_levels(layers.weighted_scores(cut(_filtered(spark, d)), {"area_sqm": 45.0}, {"distance_m": 35.0, "rent_price": 20.0}))
 
 
 def value_score(spark, d):
@@ -460,15 +481,15 @@ def order_price_stats(spark, d):
 
 
 def point_distances(spark, d):
-    p = near_pairs(_listings(spark, d), "listing_id", "longitude", "latitude", 60.0)
-    x = _listings(spark, d).select(F.col("listing_id"), "longitude", "latitude")
+    x = cut(_listings(spark, d).select("listing_id", "longitude", "latitude"))
+    p = near_pairs(x, "listing_id", "longitude", "latitude", 60.0)
     j = p.join(x.withColumnsRenamed({"listing_id": "a", "longitude": "x1", "latitude": "y1"}), "a").join(x.withColumnsRenamed({"listing_id": "b", "longitude": "x2", "latitude": "y2"}), "b")
     return j.select("a", "b", F.round(haversine_m("x1", "y1", "x2", "y2"), 2).alias("metres"))
 
 
 QUERIES = {f.__name__: f for f in (
     listing_scan_by_source, quality_rows, quality_summary, duplicate_groups, distance_rows, distance_bucket_summary, bucket_distribution_stats, community_distribution_stats, price_percentile_rank,
-    price_area_rows, price_area_summary, nearby_pairs, nearby_stats, location_value_rows, location_value_summary, community_best, eps_neighborhood, geo_cluster_rows, geo_cluster_summary, top_clusters, cluster_area_label,
+    price_area_rows, price_area_summary, nearby_pairs, nearby_stats, nearby_stats_wide, location_value_rows, location_value_summary, community_best, eps_neighborhood, eps_neighborhood_wide, geo_cluster_rows, geo_cluster_summary, top_clusters, cluster_area_label,
     price_history, price_history_summary, latest_status, latest_change, price_drops, price_rises, reconcile_partial, reconcile_full, merged_layers, faceted_filter, value_score, value_level, ranked_candidates, candidate_reasons,
     acceptance_filter, filter_reason_counts, staleness, text_numbers, text_layout, text_split, clean_texts, url_parts, props_json_parse, prefix_lookup, upsert_merge, insert_or_ignore, first_gap, union_marker,
     constraint_violations, map_layers, map_visibility, dashboard_metrics, confidence_mean, crawl_totals, event_counts, page_cards, page_ld_detail, page_ld_list, page_summary, page_hash, api_items, times_parsed, order_price_stats, point_distances,

@@ -21,7 +21,7 @@ def _hav(x1: str, y1: str, x2: str, y2: str, r: str = "6371008.8") -> str:
 L = """l AS (SELECT DISTINCT CAST(listing_id AS VARCHAR) AS listing_id, source, source_listing_id, title, description, rent_price,
   CASE WHEN NOT isnan(area_sqm) THEN area_sqm END AS area_sqm, layout, district, subdistrict, community_name,
   CASE WHEN NOT isnan(longitude) THEN longitude END AS longitude, CASE WHEN NOT isnan(latitude) THEN latitude END AS latitude,
-  published_at, host_last_login_at, first_seen_at, city FROM rental_listings)"""
+  published_at, host_last_login_at, first_seen_at, city, image_urls, listing_type, address_text FROM rental_listings)"""
 
 Q = L + rf""", k AS (SELECT {_strip('title')} AS kt, rent_price AS kr, {_strip('community_name')} AS kc, count(*) AS n FROM l
   WHERE {_strip('title')} <> '' AND rent_price IS NOT NULL AND {_strip('community_name')} <> '' GROUP BY ALL HAVING count(*) > 1),
@@ -29,7 +29,8 @@ q0 AS (SELECT l.*, CASE WHEN area_sqm > 0 THEN round(rent_price / area_sqm + 1e-
   (longitude IS NOT NULL AND latitude IS NOT NULL) AS has_location,
   coalesce(longitude BETWEEN {R.lon_range[0]} AND {R.lon_range[1]} AND latitude BETWEEN {R.lat_range[0]} AND {R.lat_range[1]}, false) AS inside,
   k.n IS NOT NULL AS possible_duplicate, {_strip('subdistrict')} AS sub,
-  concat_ws(' ', nullif(title, ''), nullif(community_name, ''), nullif(description, '')) AS txt
+  concat_ws(' ', nullif(title, ''), nullif(community_name, ''), nullif(description, '')) AS txt,
+  regexp_matches(concat_ws(' ', nullif(title, ''), nullif(address_text, ''), nullif(community_name, ''), nullif(subdistrict, ''), nullif(description, '')), '{R.place_hint}') AS location_hint
   FROM l LEFT JOIN k ON {_strip('title')} = kt AND rent_price = kr AND {_strip('community_name')} = kc),
 q1 AS (SELECT *, has_location AND NOT inside AS coordinate_suspicious,
   coalesce(NOT area_sqm BETWEEN {R.min_area} AND {R.max_area}, false) OR coalesce(NOT rent_per_sqm BETWEEN {R.min_rent_per_sqm} AND {R.max_rent_per_sqm}, false) AS area_outlier,
@@ -37,12 +38,14 @@ q1 AS (SELECT *, has_location AND NOT inside AS coordinate_suspicious,
   regexp_matches(txt, '{R.apartment}') AS apartment_like, published_at IS NULL AS missing_published_at,
   coalesce(rent_price BETWEEN {R.min_rent} AND {R.max_rent}, false) AS can_analyze_price,
   district IS NOT NULL AND coalesce(community_name <> '', false) AS can_analyze_region,
-  published_at IS NOT NULL AS can_analyze_freshness, coalesce(community_name <> '', false) AS can_analyze_duplicates FROM q0),
-q2 AS (SELECT *, can_analyze_price AND area_sqm IS NOT NULL AND NOT area_outlier AS can_analyze_area_price, has_location AND NOT coordinate_suspicious AS can_analyze_map FROM q1),
+  published_at IS NOT NULL AS can_analyze_freshness, coalesce(community_name <> '' AND source_listing_id <> '', false) AS can_analyze_duplicates,
+  rent_price IS NOT NULL AS has_price, area_sqm IS NOT NULL AS has_area, district IS NOT NULL AS has_region, layout IS NOT NULL AS has_layout, coalesce(len(image_urls) > 0, false) AS has_images,
+  published_at IS NOT NULL AS has_published_at, coalesce(listing_type <> 'unknown', false) AS has_listing_type, possible_duplicate AS has_duplicate_risk FROM q0),
+q2 AS (SELECT *, can_analyze_price AND area_sqm IS NOT NULL AND NOT area_outlier AS can_analyze_area_price, has_location AND NOT coordinate_suspicious AS can_analyze_map, has_location AND NOT coordinate_suspicious AS can_analyze_commute FROM q1),
 q AS (SELECT *, CASE WHEN NOT can_analyze_price OR NOT can_analyze_map OR coordinate_suspicious THEN 'blocked'
   WHEN area_outlier OR subdistrict_low_confidence OR possible_duplicate OR missing_published_at THEN 'caution' ELSE 'ready' END AS tier,
   coalesce(nullif(concat_ws('; ', CASE WHEN NOT can_analyze_price THEN 'rent_out_of_range' END, CASE WHEN area_sqm IS NULL THEN 'area_missing' END, CASE WHEN area_outlier THEN 'area_outlier' END,
-  CASE WHEN coordinate_suspicious THEN 'outside_area' END, CASE WHEN NOT has_location THEN 'no_location' END, CASE WHEN subdistrict_low_confidence THEN 'vague_subdistrict' END,
+  CASE WHEN coordinate_suspicious AND location_hint THEN 'outside_area_but_named' WHEN coordinate_suspicious THEN 'outside_area' END, CASE WHEN NOT has_location THEN 'no_location' END, CASE WHEN subdistrict_low_confidence THEN 'vague_subdistrict' END,
   CASE WHEN apartment_like THEN 'apartment_like' END, CASE WHEN possible_duplicate THEN 'possible_duplicate' END, CASE WHEN missing_published_at THEN 'no_publication_date' END), ''), 'core_fields_usable') AS notes FROM q2)"""
 
 D = Q + f""", dd AS (SELECT *, CASE WHEN distance_m < 4000 THEN 'near' WHEN distance_m < 8000 THEN 'middle' WHEN distance_m <= 12000 THEN 'far' ELSE 'beyond' END AS distance_bucket
@@ -73,7 +76,10 @@ PA = C + f""", price AS (SELECT distance_bucket, {_stats('rent_price')} FROM c G
 cp AS (SELECT community_name, {_stats('rent_price')} FROM c WHERE community_name IS NOT NULL GROUP BY 1), cr AS (SELECT community_name, {_stats('rent_per_sqm')} FROM c WHERE community_name IS NOT NULL GROUP BY 1),
 ranks AS (SELECT listing_id, {_rank('rent_price')} AS price_percentile, {_rank('rent_per_sqm')} AS rps_percentile FROM c),
 pa AS (SELECT c.listing_id, c.distance_bucket, {_labels('price', 'rent_price')}, {_labels('rps', 'rent_per_sqm')}, price_percentile, rps_percentile, coalesce(cp.n, 0) AS community_n,
-  CASE WHEN cp.n >= {R.min_community} THEN cp.median END AS community_price_median, CASE WHEN cr.n >= {R.min_community} THEN cr.median END AS community_rps_median
+  CASE WHEN cp.n >= {R.min_community} THEN cp.median END AS community_price_median, CASE WHEN cr.n >= {R.min_community} THEN cr.median END AS community_rps_median,
+  concat_ws('; ', CASE WHEN price_good THEN 'rent_at_or_below_p25' END, CASE WHEN rps_good THEN 'area_rent_at_or_below_p25' END, CASE WHEN price_expensive THEN 'rent_at_or_above_p75' END, CASE WHEN rps_expensive THEN 'area_rent_at_or_above_p75' END,
+  CASE WHEN price_low_outlier OR rps_low_outlier THEN 'low_outlier' END, CASE WHEN price_high_outlier OR rps_high_outlier THEN 'high_outlier' END,
+  CASE WHEN apartment_like THEN 'apartment_like' END, CASE WHEN possible_duplicate THEN 'possible_duplicate' END, CASE WHEN cp.n >= {R.min_community} THEN 'community_compared' END) AS notes
   FROM c JOIN price USING (distance_bucket) JOIN rps USING (distance_bucket) JOIN ranks USING (listing_id) LEFT JOIN cp USING (community_name) LEFT JOIN cr USING (community_name))"""
 
 
@@ -88,9 +94,18 @@ lv AS (SELECT c.listing_id, coalesce(nb.n, 0) AS nearby_n, CASE WHEN nb.n >= {R.
   coalesce(nb.n >= {R.min_nearby} AND rent_per_sqm < nr.median, false) AS nearby_good_value, coalesce(nb.n >= {R.min_nearby} AND rent_per_sqm >= nr.p75, false) AS nearby_expensive,
   coalesce(cm.n, 0) AS community_n, CASE WHEN cm.n >= {R.min_community} THEN cm.median END AS community_price_median, coalesce(cm.n >= {R.min_community} AND rent_price < cm.median, false) AS below_community_median,
   coalesce(cm.n >= {R.min_community} AND rent_price > cm.median, false) AS above_community_median, coalesce(cm.n >= {R.min_community} AND rent_price = cm.min, false) AS best_price_in_community,
-  coalesce(cm.n >= {R.min_community} AND rent_per_sqm = cs.least, false) AS best_area_price_in_community
+  coalesce(cm.n >= {R.min_community} AND rent_per_sqm = cs.least, false) AS best_area_price_in_community,
+  concat_ws('; ', CASE WHEN coalesce(nb.n, 0) < {R.min_nearby} THEN 'few_neighbours' END, CASE WHEN below_nearby_median THEN 'rent_below_neighbours' END, CASE WHEN nearby_good_value THEN 'area_rent_below_neighbours' END, CASE WHEN nearby_expensive THEN 'area_rent_at_or_above_neighbours_p75' END,
+  CASE WHEN below_community_median THEN 'rent_below_community' END, CASE WHEN best_price_in_community THEN 'least_rent_in_community' END, CASE WHEN best_area_price_in_community THEN 'least_area_rent_in_community' END,
+  CASE WHEN apartment_like THEN 'apartment_like' END, CASE WHEN possible_duplicate THEN 'possible_duplicate' END) AS notes
   FROM c LEFT JOIN nb USING (listing_id) LEFT JOIN nr USING (listing_id) LEFT JOIN cm USING (community_name) LEFT JOIN cs USING (community_name))"""
 
+def _mean(c: str) -> str:
+    """Mean of a coordinate, 6 places, halves up, from whole nanodegrees."""
+    top, n = f"(2 * CAST(sum(CAST(round({c} * 1e9) AS HUGEINT)) AS HUGEINT) + 1000 * count(*))", "(2000 * count(*))"
+    return f"CAST(({top} - ({top} % {n} + {n}) % {n}) // {n} AS DOUBLE) / 1e6"
+
+
 M = "m AS (SELECT * FROM q WHERE can_analyze_map)"
 # WITH RECURSIVE: the closure of core points under core neighbours
 G = Q + ", " + M + ", " + _pairs("m", R.eps_m) + f""", deg AS (SELECT m.listing_id, longitude, latitude, count(pr.b) AS nb, count(pr.b) + 1 >= {R.min_samples} AS is_core FROM m LEFT JOIN pr ON pr.a = m.listing_id GROUP BY ALL),
@@ -99,8 +114,10 @@ walk(id, root) AS (SELECT listing_id, listing_id FROM deg WHERE is_core UNION SE
 roots AS (SELECT id, min(root) AS root FROM walk GROUP BY 1), names AS (SELECT root, row_number() OVER (ORDER BY root) AS no FROM (SELECT DISTINCT root FROM roots)),
 corec AS (SELECT id, no FROM roots JOIN names USING (root)), bord AS (SELECT a AS id, min(no) AS no FROM pr JOIN corec ON corec.id = b GROUP BY 1),
 asg AS (SELECT deg.*, CASE WHEN is_core THEN corec.no ELSE bord.no END AS no FROM deg LEFT JOIN corec ON corec.id = listing_id LEFT JOIN bord ON bord.id = listing_id),
-sz AS (SELECT no, count(*) AS size, avg(longitude) AS lo, avg(latitude) AS la FROM asg WHERE no IS NOT NULL GROUP BY 1),
-g AS (SELECT listing_id, CASE WHEN no IS NULL THEN 'noise' ELSE printf('c%05d', no) END AS cluster, coalesce(size, 0) AS cluster_size, is_core, nb AS neighbour_count, round(round(lo + 1e-10, 6) + 1e-10, 4) AS centroid_lon, round(round(la + 1e-10, 6) + 1e-10, 4) AS centroid_lat FROM asg LEFT JOIN sz USING (no))"""
+sz AS (SELECT no, count(*) AS size, {_mean('longitude')} AS lo, {_mean('latitude')} AS la FROM asg WHERE no IS NOT NULL GROUP BY 1),
+g AS (SELECT listing_id, CASE WHEN no IS NULL THEN 'noise' ELSE printf('c%05d', no) END AS cluster, coalesce(size, 0) AS cluster_size, is_core, nb AS neighbour_count, lo AS centroid_lon, la AS centroid_lat,
+  CAST(round_even({_hav('longitude', 'latitude', 'lo', 'la', '6371000.0')}, 0) AS INTEGER) AS centroid_m,
+  concat_ws('; ', CASE WHEN no IS NULL THEN 'outside_all_clusters' WHEN is_core THEN 'core_point' ELSE 'border_point' END, CASE WHEN size >= {R.dense_cluster} THEN 'dense_cluster' WHEN size < {2 * R.min_samples} THEN 'small_cluster' END) AS notes FROM asg LEFT JOIN sz USING (no))"""
 
 T = "coalesce(crawl_run_id, 1073741824), coalesce(rent_price, -1), coalesce(availability_status, '')"
 O = "o AS (SELECT DISTINCT source, source_listing_id, observed_at, crawl_run_id, rent_price, availability_status, days_on_market FROM listing_observations WHERE observed_at IS NOT NULL)"
@@ -110,8 +127,16 @@ h AS (SELECT *, epoch_us(observed_at) AS observed_us, rent_price - previous_pric
   CASE WHEN rent_price < previous_price THEN 'down' WHEN rent_price > previous_price THEN 'up' WHEN rent_price = previous_price THEN 'unchanged' ELSE 'first_or_unknown' END AS direction FROM h0)"""
 S = O + f""", st AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source, source_listing_id ORDER BY observed_at DESC, {T}) AS rn FROM o) WHERE rn = 1)"""
 
-ML = PA + ", " + LV[len(C) + 2 :] + """, ml AS (SELECT q.listing_id, q.rent_price, q.area_sqm, q.rent_per_sqm, q.tier, q.apartment_like, q.possible_duplicate, q.notes, dd.distance_m, dd.distance_bucket, price_good, rps_good, price_expensive, nearby_n, below_nearby_median, nearby_good_value
-  FROM q LEFT JOIN dd USING (listing_id) LEFT JOIN pa USING (listing_id) LEFT JOIN lv USING (listing_id))"""
+def _ml(clusters: bool) -> str:
+    base = PA + ", " + LV[len(C) + 2 :]
+    if not clusters:
+        return base + ML_ROWS.format("", "", "pr")
+    return base.replace(" pr AS (", " prn AS (").replace(" FROM pr JOIN", " FROM prn JOIN") + ", " + G[len(Q) + 2 :] + ML_ROWS.format(", cluster, cluster_size, is_core, neighbour_count, centroid_lon, centroid_lat", " LEFT JOIN g USING (listing_id)", "prn")
+
+
+ML_ROWS = """, ml AS (SELECT q.listing_id, q.rent_price, q.area_sqm, q.rent_per_sqm, q.tier, q.apartment_like, q.possible_duplicate, q.notes, dd.distance_m, dd.distance_bucket, price_good, rps_good, price_expensive, nearby_n, below_nearby_median, nearby_good_value, dd.longitude AS longitude, dd.latitude AS latitude{0}
+  FROM q LEFT JOIN dd USING (listing_id) LEFT JOIN pa USING (listing_id) LEFT JOIN lv USING (listing_id){1})"""
+ML = _ml(False)
 F = ML + ", f AS (SELECT * FROM ml WHERE rent_price BETWEEN 1500 AND 9000 AND area_sqm BETWEEN 15 AND 150 AND distance_bucket IN ('near', 'middle') AND tier IN ('ready', 'caution') AND NOT possible_duplicate)"
 
 
@@ -127,17 +152,13 @@ W = L + f""", a AS (SELECT listing_id, concat_ws(' ', nullif(title, ''), nullif(
 w AS (SELECT listing_id, list_filter([CASE WHEN rent_price IS NULL THEN 'no_rent' END, CASE WHEN rent_price < 1500 THEN 'rent_low' END, CASE WHEN rent_price > 6000 THEN 'rent_high' END, CASE WHEN contains(t, '短租') THEN 'short_let' END, CASE WHEN regexp_matches(t, '{R.apartment}') THEN 'apartment' END], lambda x: x IS NOT NULL) AS why FROM a)"""
 
 
-def _snap(n: str, day: str) -> str:
-    return f"{n} AS (SELECT source, source_listing_id, title, rent_price, epoch_us(last_seen_at) AS first_us, row(epoch_us(last_seen_at), epoch_us(delivered_at), coalesce(rent_price, -1), coalesce(title, '')) AS seq FROM listing_snapshots WHERE snapshot_date = DATE '{day}' AND source IS NOT NULL AND source_listing_id IS NOT NULL)"
-
-
-def _merged(n: str, src: str) -> str:
-    return f"{n} AS (SELECT source, source_listing_id, arg_max(struct_pack(t := title, r := rent_price), seq) AS x, arg_min(first_us, seq) AS first_us FROM {src} GROUP BY ALL)"
-
-
-TWO = _snap("s1", "2026-05-01") + ", " + _snap("s2", "2026-05-04") + ", " + _merged("m1", "s1") + ", " + _merged("m2", "s2")
-_QC = "listing_id, rent_per_sqm, has_location, can_analyze_price, can_analyze_area_price, can_analyze_map, can_analyze_region, can_analyze_freshness, can_analyze_duplicates, area_outlier, subdistrict_low_confidence, apartment_like, possible_duplicate, missing_published_at, coordinate_suspicious, tier, notes"
-_FLAGS = _QC.split(", ")[3:15]
+# every row of every snapshot, the snapshots in the order of their dates
+SNAPS = """s AS (SELECT snapshot_date, source, source_listing_id, title, rent_price, epoch_us(last_seen_at) AS first_us,
+  row(snapshot_date, epoch_us(last_seen_at), epoch_us(delivered_at), coalesce(rent_price, -1), coalesce(title, '')) AS seq FROM listing_snapshots WHERE source IS NOT NULL AND source_listing_id IS NOT NULL)"""
+_HAS = "has_price, has_area, has_location, has_region, has_layout, has_images, has_published_at, has_listing_type, has_duplicate_risk"
+_FL = "can_analyze_price, can_analyze_area_price, can_analyze_map, can_analyze_commute, can_analyze_region, can_analyze_freshness, can_analyze_duplicates, area_outlier, subdistrict_low_confidence, apartment_like, possible_duplicate, missing_published_at, coordinate_suspicious"
+_QC = f"listing_id, rent_per_sqm, {_HAS}, {_FL}, location_hint, tier, notes"
+_FLAGS = _FL.split(", ")
 _PAL = [f"{s}_{x}" for s in ("price", "rps") for x in ("good", "expensive", "low_outlier", "high_outlier")]
 _LVF = ["below_nearby_median", "nearby_good_value", "nearby_expensive", "below_community_median", "above_community_median", "best_price_in_community", "best_area_price_in_community"]
 _DIG = "regexp_extract_all(replace(description, ',', ''), '[0-9]+')"
@@ -153,20 +174,22 @@ ORACLE = {
     "listing_scan_by_source": f"WITH {L} SELECT listing_id, title, rent_price, district FROM l WHERE source = 'ugc_c'",
     "quality_rows": f"WITH {Q} SELECT {_QC} FROM q",
     "quality_summary": f"WITH {Q} SELECT count(*) AS total, {', '.join(f'count(*) FILTER (tier = {t!r}) AS tier_{t}' for t in ('ready', 'caution', 'blocked'))}, {_cnt(_FLAGS)} FROM q",
-    "duplicate_groups": f"WITH {Q} SELECT {_strip('title')} AS title, rent_price, {_strip('community_name')} AS community, count(*) AS n FROM q WHERE possible_duplicate GROUP BY ALL",
+    "duplicate_groups": f"WITH {L} SELECT * FROM (SELECT {_strip('layout')} AS layout, rent_price, {_strip('community_name')} AS community, count(*) AS n FROM l GROUP BY ALL) WHERE n > 1 AND layout <> '' AND rent_price IS NOT NULL AND community <> ''",
     "distance_rows": f"WITH {D} SELECT listing_id, distance_m, distance_bucket FROM dd",
     "distance_bucket_summary": f"WITH {D} SELECT count(*) AS total, {', '.join(f'count(*) FILTER (distance_bucket = {b!r}) AS {b}' for b in R.bucket_names)} FROM dd",
     "bucket_distribution_stats": f"WITH {C} SELECT distance_bucket, {_stats('rent_price')} FROM c GROUP BY 1",
     "community_distribution_stats": f"WITH {C} SELECT * FROM (SELECT community_name, {_stats('rent_per_sqm')} FROM c WHERE community_name IS NOT NULL GROUP BY 1) WHERE n >= {R.min_community}",
     "price_percentile_rank": f"WITH {C} SELECT listing_id, distance_bucket, {_rank('rent_price')} AS percentile FROM c",
     "price_area_rows": f"WITH {PA} SELECT * FROM pa",
-    "price_area_summary": f"WITH {PA} SELECT distance_bucket, count(*) AS n, {_cnt(_PAL)} FROM pa GROUP BY 1",
+    "price_area_summary": f"WITH {PA} SELECT distance_bucket, count(*) AS n, {_cnt([*_PAL, 'apartment_like', 'possible_duplicate'])} FROM pa JOIN c USING (listing_id, distance_bucket) GROUP BY 1",
     "nearby_pairs": f"WITH {C}, {_pairs('c', R.nearby_m)} SELECT a, b FROM pr WHERE a < b",
     "nearby_stats": f"WITH {LV} SELECT listing_id, n, median, p75 FROM nb",
+    "nearby_stats_wide": f"WITH {C}, {_pairs('c', 1000.0)}, nb AS (SELECT a AS listing_id, {_stats('rent_price')} FROM pr JOIN c ON c.listing_id = b GROUP BY 1) SELECT listing_id, n, median, p75 FROM nb",
     "location_value_rows": f"WITH {LV} SELECT * FROM lv",
     "location_value_summary": f"WITH {LV} SELECT count(*) AS total, {_cnt(_LVF)}, count(*) FILTER (nearby_n >= {R.min_nearby}) AS with_nearby, count(*) FILTER (community_n >= {R.min_community}) AS with_community FROM lv",
     "community_best": f"WITH {LV} SELECT listing_id, community_n FROM lv WHERE best_price_in_community",
     "eps_neighborhood": f"WITH RECURSIVE {G} SELECT listing_id, nb + 1 AS n_with_self FROM deg",
+    "eps_neighborhood_wide": f"WITH {Q}, {M}, {_pairs('m', 800.0)} SELECT m.listing_id, count(pr.b) + 1 AS n_with_self FROM m LEFT JOIN pr ON pr.a = m.listing_id GROUP BY 1",
     "geo_cluster_rows": f"WITH RECURSIVE {G} SELECT * FROM g",
     "geo_cluster_summary": f"WITH RECURSIVE {G} SELECT count(*) AS total, count(*) FILTER (cluster = 'noise') AS noise, count(*) FILTER (is_core) AS core, (SELECT count(*) FROM sz) AS clusters, (SELECT coalesce(max(size), 0) FROM sz) AS largest, (SELECT coalesce(min(size), 0) FROM sz) AS smallest, (SELECT coalesce(median(size), 0.0) FROM sz) AS median_size FROM g",
     "top_clusters": f"WITH RECURSIVE {G} SELECT cluster, count(*) AS n FROM g WHERE cluster <> 'noise' GROUP BY 1 ORDER BY n DESC, cluster LIMIT 10",
@@ -179,9 +202,9 @@ ORACLE = {
     "latest_change": f"WITH {H} SELECT source, source_listing_id, arg_max(observed_us, seq) FILTER (delta <> 0) AS changed_us, arg_max(delta, seq) FILTER (delta <> 0) AS latest_delta, arg_max(rent_price, seq) FILTER (rent_price IS NOT NULL) AS latest_price FROM h GROUP BY 1, 2",
     "price_drops": f"WITH {H} SELECT source, source_listing_id, observed_us, delta, delta_share FROM h WHERE delta < 0",
     "price_rises": f"WITH {H} SELECT source, source_listing_id, observed_us, delta, delta_share FROM h WHERE delta > 0",
-    "reconcile_partial": f"WITH {L}, {S}, sc AS (SELECT DISTINCT source, source_listing_id FROM l WHERE rent_price BETWEEN {R.min_rent} AND {R.max_rent} AND district IS NOT NULL) SELECT sc.source, sc.source_listing_id, st.availability_status AS previous, 'out_of_window' AS status FROM sc LEFT JOIN st USING (source, source_listing_id) WHERE NOT EXISTS (SELECT 1 FROM listing_snapshots s WHERE s.snapshot_date = DATE '2026-05-22' AND s.source = sc.source AND s.source_listing_id = sc.source_listing_id) AND st.availability_status IS DISTINCT FROM 'out_of_window'",
+    "reconcile_partial": f"WITH {L}, {S}, sc AS (SELECT DISTINCT source, source_listing_id FROM l WHERE rent_price BETWEEN {R.min_rent} AND {R.max_rent} AND district IS NOT NULL) SELECT sc.source, sc.source_listing_id, st.availability_status AS previous, 'out_of_window' AS status FROM sc LEFT JOIN st USING (source, source_listing_id) WHERE NOT EXISTS (SELECT 1 FROM listing_snapshots s WHERE s.snapshot_date = (SELECT max(snapshot_date) FROM listing_snapshots) AND s.source = sc.source AND s.source_listing_id = sc.source_listing_id) AND st.availability_status IS DISTINCT FROM 'out_of_window'",
     "reconcile_full": f"WITH {S}, sc AS (SELECT DISTINCT source, source_listing_id FROM listing_snapshots WHERE snapshot_date = DATE '2026-05-16'), se AS (SELECT DISTINCT source, source_listing_id FROM listing_snapshots WHERE snapshot_date <> DATE '2026-05-16'), ab AS (SELECT sc.*, st.availability_status AS p FROM sc LEFT JOIN st USING (source, source_listing_id) WHERE (sc.source, sc.source_listing_id) NOT IN (SELECT (source, source_listing_id) FROM se)) SELECT (SELECT count(*) FROM sc) AS scope_total, (SELECT count(*) FROM se) AS seen_unique, (SELECT count(*) FROM se) >= (SELECT count(*) FROM sc) AS is_full, count(*) FILTER (p IS DISTINCT FROM 'offline') AS newly_offline, count(*) FILTER (p = 'offline') AS already_offline, 0 AS newly_out_of_window, 0 AS already_out_of_window, (SELECT count(*) FROM sc) - count(*) AS in_scope_seen FROM ab",
-    "merged_layers": f"WITH {ML} SELECT * FROM ml",
+    "merged_layers": f"WITH RECURSIVE {_ml(True)} SELECT * FROM ml",
     "faceted_filter": f"WITH {F} SELECT listing_id, rent_price, distance_bucket, tier FROM f",
     "value_score": f"WITH {V} SELECT listing_id, value_score FROM v",
     "value_level": f"WITH {V} SELECT value_level, count(*) AS n FROM v GROUP BY 1",
@@ -197,10 +220,10 @@ ORACLE = {
     "url_parts": "SELECT DISTINCT listing_id, nullif(regexp_extract(source_url, '^[a-z]+://([^/:?#]+)', 1), '') AS host, nullif(regexp_extract(source_url, '^[a-z]+://[^/?#]+[^?#]*/([0-9]+)/?(?:[?#]|$)', 1), '') AS trailing_id FROM rental_listings",
     "props_json_parse": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "prefix_lookup": "WITH t AS (SELECT p, min(name) AS name FROM (SELECT substr(name, 1, 2) AS p, name FROM ref_subdistricts UNION ALL SELECT name, name FROM ref_subdistricts) GROUP BY 1), v AS (SELECT DISTINCT subdistrict FROM rental_listings WHERE subdistrict IS NOT NULL) SELECT subdistrict, (SELECT arg_max(name, length(p)) FROM t WHERE starts_with(v.subdistrict, p)) AS mapped FROM v",
-    "upsert_merge": f"WITH {TWO} SELECT coalesce(m2.source, m1.source) AS source, coalesce(m2.source_listing_id, m1.source_listing_id) AS source_listing_id, CASE WHEN m2.source IS NULL THEN m1.x.t ELSE m2.x.t END AS title, CASE WHEN m2.source IS NULL THEN m1.x.r ELSE m2.x.r END AS rent_price, coalesce(m1.first_us, m2.first_us) AS first_us FROM m1 FULL JOIN m2 USING (source, source_listing_id)",
-    "insert_or_ignore": f"WITH {TWO} SELECT source, source_listing_id, x.t AS title, x.r AS rent_price FROM (SELECT source, source_listing_id, arg_min(struct_pack(t := title, r := rent_price), seq) AS x FROM s2 GROUP BY 1, 2) z WHERE NOT EXISTS (SELECT 1 FROM s1 WHERE s1.source = z.source AND s1.source_listing_id = z.source_listing_id)",
+    "upsert_merge": f"WITH {SNAPS} SELECT source, source_listing_id, x.t AS title, x.r AS rent_price, first_us FROM (SELECT source, source_listing_id, arg_max(struct_pack(t := title, r := rent_price), seq) AS x, arg_min(first_us, seq) AS first_us FROM s GROUP BY ALL)",
+    "insert_or_ignore": f"WITH {SNAPS}, f AS (SELECT DISTINCT source, source_listing_id FROM s WHERE snapshot_date = (SELECT min(snapshot_date) FROM listing_snapshots)) SELECT source, source_listing_id, x.t AS title, x.r AS rent_price FROM (SELECT source, source_listing_id, arg_min(struct_pack(t := title, r := rent_price), seq) AS x FROM s GROUP BY 1, 2) z WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source = z.source AND f.source_listing_id = z.source_listing_id)",
     "first_gap": "WITH p AS (SELECT DISTINCT crawl_run_id AS n FROM listing_observations WHERE crawl_run_id > 0 UNION SELECT 0) SELECT min(n) + 1 AS next FROM p WHERE n + 1 NOT IN (SELECT n FROM p)",
-    "union_marker": f"WITH {L} SELECT listing_id, rent_price, longitude, latitude FROM l WHERE source = 'ugc_d' UNION ALL SELECT 'origin', NULL, {LON}, {LAT}",
+    "union_marker": f"WITH {L} SELECT listing_id, rent_price, longitude, latitude FROM l UNION ALL SELECT 'origin', NULL, {LON}, {LAT}",
     "constraint_violations": f"SELECT broken, count(*) AS n FROM (SELECT concat_ws(';', CASE WHEN coalesce({_strip('title')}, '') = '' THEN 'title' END, CASE WHEN last_seen_at < first_seen_at THEN 'seen_order' END, CASE WHEN rent_price < 0 THEN 'rent' END, CASE WHEN NOT isnan(area_sqm) AND area_sqm <= 0 THEN 'area' END, CASE WHEN NOT isnan(latitude) AND abs(latitude) > 90 THEN 'latitude' END, CASE WHEN NOT isnan(longitude) AND abs(longitude) > 180 THEN 'longitude' END) AS broken FROM rental_listings) WHERE broken <> '' GROUP BY 1",
     "map_layers": f"WITH {D} SELECT apartment_like, count(*) AS n, min(longitude) AS west, max(longitude) AS east, min(latitude) AS south, max(latitude) AS north FROM dd GROUP BY 1",
     "map_visibility": f"WITH {L} SELECT count(*) FILTER (longitude IS NOT NULL AND latitude IS NOT NULL) AS visible, count(*) FILTER (longitude IS NULL OR latitude IS NULL) AS hidden FROM l",

@@ -18,6 +18,8 @@ class Rules:
     #: Text that marks serviced apartments, and areas that are no subdistrict; Java regular expressions.
     apartment: str = "公寓|apartment|studio"
     vague_area: str = "地铁|附近|旁$|路$|街$|^\\?$"
+    #: Words in a text that name the area although the coordinates lie outside it.
+    place_hint: str = "地铁|号线|街道|镇"
     #: Upper edges of the distance buckets in metres; the last one is inclusive.
     edges: tuple[int, int, int] = (4000, 8000, 12000)
     bucket_names: tuple[str, str, str, str] = ("near", "middle", "far", "beyond")
@@ -26,3 +28,5 @@ class Rules:
     nearby_m: float = 500.0
     eps_m: float = 120.0
     min_samples: int = 5
+    #: Clusters of this size are dense; those below twice min_samples are small.
+    dense_cluster: int = 20

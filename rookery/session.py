@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
@@ -21,6 +22,7 @@ def local_session(cpus: str = "*", app: str = "rookery") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -47,14 +49,25 @@ def ship(spark: SparkSession) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
 
-    Only where none is set (tests, a laptop) a local folder is made and set.
+    Only where none is set and the master is local (tests, a laptop) a local folder is made and set; on a cluster that is
+    an error, as executors would write to disks of their own. Checkpoints that nothing refers to any more are removed if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, as it is in local sessions.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rookery-cp-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession.conf.get("spark.checkpoint.dir", None), sc.master))
     return df.checkpoint(eager=True)
 
 
+def checkpoint_folder(named: str | None, master: str) -> str:
+    """The folder that is named; without one a temporary folder, if the master is local."""
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="rookery-cp-")
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for explicit range partitioning; follows the session, so the cluster sets it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
