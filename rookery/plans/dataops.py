@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rookery.operators.bitemporal import bitemporal_ledger
-from rookery.operators.near import near_pairs
+from rookery.operators.near import containing_regions, near_pairs, near_points
 from rookery.operators.snapshots import snapshot_changes
 from rookery.sources import table
 
@@ -18,6 +18,25 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_pairs(df, "listing_id", "longitude", "latitude", NEAR_M).select(F.col("a").alias("listing_id_a"), F.col("b").alias("listing_id_b"))
 
 
+def p1_between_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings of one source at most 80 m from those of the other sources: two tables in one search."""
+    df = table(spark, sf_dir, "rental_listings", "listing_id", "source", "longitude", "latitude")
+    one, others = df.where("source = 'ugc_c'"), df.where("source <> 'ugc_c'")
+    return near_points(one, "listing_id", others, "listing_id", "longitude", "latitude", NEAR_M).select(F.col("a").alias("listing_id"), F.col("b").alias("other_id"))
+
+
+def p1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Districts as diamonds around the middle of their listings, and the listings of any district that lie in them."""
+    df = table(spark, sf_dir, "rental_listings", "listing_id", "city", "district", "longitude", "latitude")
+    ok = df.where("not isnan(longitude) and not isnan(latitude) and longitude between -180 and 180 and latitude between -90 and 90 and not (longitude = 0 and latitude = 0)").distinct()
+    box = ok.where("district is not null").groupBy("city", "district").agg(*[f(c).alias(n) for c, k in (("longitude", "x"), ("latitude", "y")) for f, n in ((F.min, f"{k}0"), (F.max, f"{k}1"))])
+    corner = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    mx, my = "(x0 + x1) / 2", "(y0 + y1) / 2"
+    ring = F.array(corner("x0 - 0.0001", my), corner(mx, "y0 - 0.0001"), corner("x1 + 0.0001", my), corner(mx, "y1 + 0.0001"))
+    regions = box.select(F.concat_ws("|", "city", "district").alias("region"), ring.alias("ring"))
+    return containing_regions(df, "listing_id", "longitude", "latitude", regions, "region", "ring").select(F.col("point").alias("listing_id"), "region")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings added, removed or changed between consecutive snapshots."""
     df = table(spark, sf_dir, "listing_snapshots", "snapshot_date", "source", "source_listing_id", "title", "community_name", "district", "rent_price", "status", "last_seen_at", "delivered_at")
@@ -40,7 +59,7 @@ def p7_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).select("source", "source_listing_id", "rent_price", "availability_status", F.col("valid_from").alias("valid_from_us"), F.col("valid_to").alias("valid_to_us"), "recorded_from", "recorded_to", "superseded", "opens_version")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p7_found": p7_found, "p7_ledger": p7_ledger}
+QUERIES = {"p1_found": p1_found, "p1_between_sources": p1_between_sources, "p1_regions": p1_regions, "p5_found": p5_found, "p7_found": p7_found, "p7_ledger": p7_ledger}
 
 ORACLE = {
     "p1_found": """
@@ -52,6 +71,25 @@ SELECT DISTINCT a.i AS listing_id_a, b.i AS listing_id_b
 FROM p a JOIN p b ON a.i < b.i AND b.y BETWEEN a.y - 0.001 AND a.y + 0.001
 WHERE 2 * 6371008.8 * asin(sqrt(least(1, power(sin(radians(b.y - a.y) / 2), 2)
       + cos(radians(a.y)) * cos(radians(b.y)) * power(sin(radians(b.x - a.x) / 2), 2)))) <= 80
+""",
+    "p1_between_sources": """
+WITH p AS (
+  SELECT DISTINCT listing_id AS i, source = 'ugc_c' AS s, longitude AS x, latitude AS y FROM rental_listings
+  WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90
+    AND NOT isnan(longitude) AND NOT isnan(latitude) AND NOT (longitude = 0 AND latitude = 0))
+SELECT DISTINCT a.i AS listing_id, b.i AS other_id
+FROM p a JOIN p b ON a.s AND NOT b.s AND b.y BETWEEN a.y - 0.001 AND a.y + 0.001
+WHERE 2 * 6371008.8 * asin(sqrt(least(1, power(sin(radians(b.y - a.y) / 2), 2)
+      + cos(radians(a.y)) * cos(radians(b.y)) * power(sin(radians(b.x - a.x) / 2), 2)))) <= 80
+""",
+    "p1_regions": """
+WITH p AS (
+  SELECT DISTINCT listing_id AS i, city, district, longitude AS x, latitude AS y FROM rental_listings
+  WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90
+    AND NOT isnan(longitude) AND NOT isnan(latitude) AND NOT (longitude = 0 AND latitude = 0)),
+r AS (SELECT concat_ws('|', city, district) AS region, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my,
+             (max(x) - min(x)) / 2 + 0.0001 AS rx, (max(y) - min(y)) / 2 + 0.0001 AS ry FROM p WHERE district IS NOT NULL GROUP BY city, district)
+SELECT DISTINCT i AS listing_id, region FROM p JOIN r ON abs(x - mx) / rx + abs(y - my) / ry < 1
 """,
     "p5_found": r"""
 WITH r AS (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rookery.operators.bitemporal import bitemporal_ledger
 from rookery.operators.blocks import pairs_in_groups
-from rookery.operators.near import near_pairs
+from rookery.operators.near import containing_regions, near_pairs, near_points
 from rookery.operators.ranks import cumulative, global_order
 from rookery.operators.snapshots import snapshot_changes
 
@@ -51,6 +51,43 @@ def test_near_pairs_dirty_and_empty(spark):
         near_pairs(df, "id", "lon", "lat", 0)
 
 
+@pytest.mark.parametrize("radius", [40.0, 700.0])
+def test_near_points_of_two_tables(spark, radius):
+    rnd = random.Random(3)
+    place = lambda n: [(i, 121.0 + rnd.gauss(0, 0.004), 31.0 + rnd.gauss(0, 0.004)) for i in range(n)]
+    one, two = place(150), place(200)
+    two += [(1000 + i, one[0][1], one[0][2]) for i in range(30)] + [(2000, 179.9999, 0.001), (2001, None, 1.0), (None, one[0][1], one[0][2])]
+    one += [(3000, -179.9999, 0.001), (3001, 0.0, 0.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, lon double, lat double").withColumn("a_id", F.lit(1))
+    got = [tuple(r) for r in near_points(frame(one), "id", frame(two), "id", "lon", "lat", radius, leaf_points=4, block_rows=16).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a, *p in one for b, *q in two if None not in (b, *q) and p != [0.0, 0.0] and metres(p, q) <= radius}
+    assert near_points(frame(one).limit(0), "id", frame(two), "id", "lon", "lat", radius).count() == 0
+
+
+def test_containing_regions(spark):
+    rnd = random.Random(4)
+    star = lambda x, y, r, n: [(x + r * rnd.uniform(0.3, 1) * math.cos(2 * math.pi * k / n), y + r * rnd.uniform(0.3, 1) * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    rings = {f"r{i}": star(rnd.uniform(100, 120), rnd.uniform(20, 40), 10 ** rnd.uniform(-2, 1), rnd.randrange(3, 12)) for i in range(25)}
+    pts = [(i, rnd.uniform(95, 125), rnd.uniform(15, 45)) for i in range(300)]
+    pts += [(1000 + i, x + rnd.gauss(0, 0.01), y + rnd.gauss(0, 0.01)) for i, (x, y) in enumerate(rnd.choice(list(rings.values()))[0] for _ in range(300))]
+    pts += [(5000 + i, *rings["r3"][0]) for i in range(5)] + [(6000, None, 1.0), (None, 110.0, 30.0)]
+
+    def inside(x, y, ring):
+        odd = False
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            odd ^= ((y1 > y) != (y2 > y)) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return odd
+
+    p = spark.createDataFrame(pts, "id long, lon double, lat double").withColumn("region", F.lit("clash"))
+    r = spark.createDataFrame([(k, v) for k, v in rings.items()] + [("none", None), ("line", [(1.0, 2.0), (3.0, 4.0)]), (None, rings["r0"])], "name string, ring array<struct<x:double,y:double>>")
+    got = [tuple(x) for x in containing_regions(p, "id", "lon", "lat", r, "name", "ring", leaf_points=8, block_rows=16).collect()]
+    want = {(i, k) for i, x, y in pts if None not in (i, x) for k, ring in rings.items() if inside(x, y, ring)}
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    assert containing_regions(p.limit(0), "id", "lon", "lat", r, "name", "ring").count() == 0
+    assert containing_regions(p, "id", "lon", "lat", r.limit(0), "name", "ring").count() == 0
+
+
 def test_pairs_in_groups_by_blocks(spark):
     rows = [("hot", i) for i in range(120)] + [("b", i) for i in range(3)] + [(None, 1), (None, 2), ("c", 9)]
     got = [tuple(r) for r in pairs_in_groups(spark.createDataFrame(rows, "k string, id long"), ["k"], "id", 16).collect()]
