@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rookery.functions.text import non_empty
+from rookery.rules import Rules
 
 
 def merge_layers(base: DataFrame, layers: list[tuple[DataFrame, list[str]]], key: str, fill: dict[str, str] | None = None) -> DataFrame:
@@ -84,3 +87,43 @@ def most_frequent(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
         n = df.where(F.coalesce(F.col(c), F.lit("")) != "").groupBy(*keys, c).agg(F.count(F.lit(1)).alias("_n"))
         out = out.join(n.groupBy(*keys).agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(f"_v{i}")), keys, "left")
     return out.select(*keys, non_empty(*[F.col(f"_v{i}") for i in range(len(columns))]).alias("name"))
+
+
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """Batches put together by column name; a column that a batch lacks is null in it."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def dictionary(df: DataFrame, prefix: str, name: str) -> DataFrame:
+    """Each pair of prefix and name once; blank ones don't count. Used in the order of the prefixes' lengths, the longest first."""
+    return df.where((F.coalesce(F.col(prefix), F.lit("")) != "") & (F.coalesce(F.col(name), F.lit("")) != "")).select(prefix, name).distinct()
+
+
+def card_enrichment(cards: DataFrame, history: DataFrame, tie: list[Column], now: Column, zone: str = "Asia/Shanghai") -> DataFrame:
+    """Cards with ``rent_price`` as last observed (else their own), the days since the host was seen as a class and the day itself,
+    and the latest change of the rent as text and class.
+
+    ``cards`` has listing_id, source_listing_id, rent_price, host_last_login_at; ``history`` comes from ``price_history``. Ids are
+    those of the source, whichever source it is. Cards whose id isn't observed keep what they have.
+    """
+    order = F.struct("observed_at", *[t.alias(f"_t{i}") for i, t in enumerate(tie)])
+    moved = F.when(F.coalesce(F.col("delta") != 0, F.lit(False)), order)
+    h = history.where(F.col("source_listing_id").isNotNull()).groupBy("source_listing_id").agg(
+        F.max_by("rent_price", F.when(F.col("rent_price").isNotNull(), F.struct("observed_at", "source", *[t.alias(f"_t{i}") for i, t in enumerate(tie)]))).alias("_rent"),
+        F.max_by(F.struct("delta", "previous_price", "rent_price"), F.when(moved.isNotNull(), F.struct("observed_at", "source", *[t.alias(f"_t{i}") for i, t in enumerate(tie)]))).alias("_m"),
+    )
+    d = cards.join(h, "source_listing_id", "left")
+    seen = F.from_utc_timestamp("host_last_login_at", zone)
+    days = F.datediff(F.to_date(F.from_utc_timestamp(now, zone)), F.to_date(seen))
+    change = F.concat(F.when(F.col("_m.delta") > 0, "↑+").otherwise("↓"), F.col("_m.delta").cast("string"), F.lit("  "), F.col("_m.previous_price").cast("string"), F.lit("→"), F.col("_m.rent_price").cast("string"))
+    return d.withColumns({
+        "rent_price": F.coalesce("_rent", "rent_price"), "login_text": F.coalesce(F.date_format(seen, "yyyy-MM-dd"), F.lit("unknown")),
+        "login_class": F.when(days < 30, "fresh").when(days < 90, "warn").when(days.isNotNull(), "stale").otherwise("unknown"),
+        "price_text": F.coalesce(change, F.lit("first record")), "price_class": F.when(F.col("_m.delta") > 0, "up").when(F.col("_m.delta") < 0, "down").otherwise("none"),
+    }).drop("_rent", "_m")
+
+
+def rings(spark: SparkSession, lon: float, lat: float, rules: Rules = Rules(), opacities: tuple[float, ...] = (0.9, 0.75, 0.6, 0.45)) -> DataFrame:
+    """One row for each distance bucket: the ring at its outer edge (none for the last) around the origin, and its points' opacity."""
+    edges = [*[float(e) for e in rules.edges], None]
+    return spark.createDataFrame([(n, e, lon, lat, o) for n, e, o in zip(rules.bucket_names, edges, opacities)], "distance_bucket string, radius_m double, longitude double, latitude double, opacity double")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from rookery.session import cut
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], seq: str, keep_first: str, compat: bool = False) -> DataFrame:
@@ -43,6 +46,12 @@ def violations(rules: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(True)), F.lit(n)) for n, ok in rules.items()]), lambda x: x.isNotNull())
 
 
+def split_by_rules(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep all rules, rows that don't with ``violations``); a rule that is null isn't broken."""
+    d = df.withColumn("violations", violations(rules))
+    return d.where(F.size("violations") == 0).drop("violations"), d.where(F.size("violations") > 0)
+
+
 def first_gap(df: DataFrame, number: str) -> DataFrame:
     """The least positive number missing from ``number``, as one row ``next``."""
     d = df.where(F.col(number) > 0).select(F.col(number).alias("n")).distinct()
@@ -51,14 +60,16 @@ def first_gap(df: DataFrame, number: str) -> DataFrame:
     return gaps.agg((F.min("n") + 1).alias("next"))
 
 
-def longest_prefix(values: DataFrame, value: str, table: DataFrame, prefix: str, name: str, longest: int = 64) -> DataFrame:
+def longest_prefix(values: DataFrame, value: str, table: DataFrame, prefix: str, name: str) -> DataFrame:
     """Each distinct value with the name of its longest known prefix; equal prefixes go to the least name; null without one.
 
-    Prefixes of the value are exploded and equi-joined, so no nested loop is needed; prefixes have ``longest`` characters at most.
+    Prefixes of the value are exploded and equi-joined, so no nested loop is needed; only those lengths are tried that
+    known prefixes have.
     """
     v = values.where(F.col(value).isNotNull()).select(value).distinct()
-    t = table.groupBy(prefix).agg(F.min(name).alias(name))
-    e = v.where(F.length(value) > 0).select(value, F.explode(F.sequence(F.lit(1), F.least(F.length(value), F.lit(longest)))).alias("_k")).withColumn(prefix, F.expr(f"substring({value}, 1, _k)"))
+    t = table.where(F.length(prefix) > 0).groupBy(prefix).agg(F.min(name).alias(name))
+    lengths = t.agg(F.collect_set(F.length(prefix)).alias("_ks"))  # one row, of as many numbers as there are lengths
+    e = v.crossJoin(F.broadcast(lengths)).select(value, F.explode(F.filter("_ks", lambda k: k <= F.length(value))).alias("_k")).withColumn(prefix, F.expr(f"substring({value}, 1, _k)"))
     best = e.join(t, prefix).groupBy(value).agg(F.max_by(name, "_k").alias(name))
     return v.join(best, value, "left")
 
@@ -73,3 +84,46 @@ def observations_or_listings(observations: DataFrame, listings: DataFrame) -> Da
     stand_in = listings.select(*[(made[c] if c in made else F.col(c) if c in listings.columns else F.lit(None)).cast(t).alias(c) for c, t in observations.dtypes])
     empty = observations.agg((F.count(F.lit(1)) == 0).alias("_empty"))  # one row
     return observations.unionByName(stand_in.crossJoin(F.broadcast(empty)).where("_empty").drop("_empty"))
+
+
+def swap_in(df: DataFrame, folder: str, number: int) -> str:
+    """Write a new version of a table beside the old ones and make it the current one; returns its folder.
+
+    The table is written to ``folder``/v``number`` and named current by a marker written after it, so that readers see the old
+    version or the new one, never half of it. Writing the same number again replaces it.
+    """
+    path = f"{folder}/v{number}"
+    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").json(f"{folder}/done/{number}")
+    return path
+
+
+def current(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, int]:
+    """The current version of a table and its number; an empty table and 0 if there is none."""
+    try:
+        top = spark.read.schema("number long").json(f"{folder}/done/*").agg(F.max("number")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        top = None
+    return (spark.read.parquet(f"{folder}/v{top}"), int(top)) if top else (spark.createDataFrame([], schema), 0)
+
+
+def upsert_store(spark: SparkSession, folder: str, schema: str, incoming: DataFrame, keys: list[str], seq: str, keep_first: str) -> DataFrame:
+    """Put rows over the table stored in ``folder`` by key, see ``upsert``, and return the new version."""
+    old, number = current(spark, folder, schema)
+    return spark.read.parquet(swap_in(upsert(old, incoming, keys, seq, keep_first), folder, number + 1))
+
+
+def record_observations(spark: SparkSession, folder: str, schema: str, incoming: DataFrame, keys: list[str], seq: str) -> int:
+    """Append to the log in ``folder`` the rows that are new by key, of several the first; returns how many were appended."""
+    try:
+        old = spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        old = spark.createDataFrame([], schema)
+    new = cut(insert_or_ignore(old, incoming, keys, seq))  # compared with the log before it is written to
+    new.write.mode("append").parquet(folder)
+    return new.count()

@@ -417,56 +417,6 @@ def event_counts(spark, d):
     return table(spark, d, "events", "event_type", "value").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round(F.col("value") * 100)).cast("double"), 0).alias("cents"))
 
 
-_PAGE = '<html><head><title> Home  {0} </title></head><body><div class="item" data-code="{0}"><a href="/x/{0}">Flat&nbsp;{0}</a><p class="desc">2室1厅 / {0}.5㎡</p><b class="price">3,{0}00</b></div><a href="/x/{0}">again</a><script type="application/ld+json">{"@type":"RealEstateListing","name":"Home {0}","offers":{"price":"3{0}"},"floorSize":{"value":"4{0}.5"},"geo":{"latitude":31.2,"longitude":121.5}}</script><script type="application/ld+json">{"@type":"ItemList","itemListElement":[{"item":{"url":"https://h.example/r/{0}","name":" N{0} ","offers":{"price":"¥ 4{0}"},"datePosted":"2026-05-01"}}]}</script></body></html>'
-
-
-def _pages(spark, d):
-    r = table(spark, d, "nation", "n_nationkey")
-    return r.select(F.col("n_nationkey").alias("page_id"), F.replace(F.lit(_PAGE), F.lit("{0}"), F.col("n_nationkey").cast("string")).alias("body"), F.lit("https://h.example/list/").alias("base"))
-
-
-def _listing_pages(spark, d):
-    """A page for each row of rental_listings, with its own texts and numbers; the parsers that have SQL take _pages."""
-    text = lambda c: F.replace(F.replace(F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
-    r = table(spark, d, "rental_listings", "listing_id", "title", "description", "rent_price", "area_sqm", "layout", "longitude", "latitude", "image_urls")
-    ld = F.to_json(F.struct(F.lit("RealEstateListing").alias("@type"), F.col("title").alias("name"), F.struct(F.col("rent_price").cast("string").alias("price")).alias("offers"), F.struct(F.col("area_sqm").cast("string").alias("value")).alias("floorSize"), F.struct("latitude", "longitude").alias("geo"), F.col("image_urls").alias("image")))
-    images = F.transform(F.coalesce("image_urls", F.array().cast("array<string>")), lambda u: F.concat(F.lit('<a href="'), text(u), F.lit('"></a>')))
-    body = F.concat_ws(
-        "", F.lit("<html><head><title>"), text(F.col("title")), F.lit('</title></head><body><div class="item" data-code="'), "listing_id", F.lit('"><a href="/x/'), "listing_id", F.lit('">'), text(F.col("title")),
-        F.lit('</a><p class="desc">'), F.concat_ws(" / ", text(F.col("layout")), F.concat(F.col("area_sqm").cast("string"), F.lit("㎡"))), F.lit('</p><b class="price">'), F.col("rent_price").cast("string"), F.lit("</b></div>"),
-        images, F.lit("<p>"), text(F.col("description")), F.lit('</p><script type="application/ld+json">'), F.replace(ld, F.lit("</"), F.lit("<\\/")), F.lit("</script></body></html>"),
-    )
-    return r.select(F.col("listing_id").alias("page_id"), body.alias("body"), F.lit("https://h.example/list/").alias("base"))
-
-
-def page_cards(spark, d):
-    c = pages.html_cards(_pages(spark, d), "body")
-    return c.select("page_id", "position", "item_id", "href", "rent", "area", F.col("layout.rooms").alias("rooms"))
-
-
-def page_ld_detail(spark, d):
-    return pages.ld_detail(_pages(spark, d), "body", ["page_id"]).select("page_id", "title", "rent", "area", "longitude", "latitude")
-
-
-def page_ld_list(spark, d):
-    return pages.ld_list_items(_pages(spark, d), "body").select("page_id", "item_id", "title", "rent", F.date_format("posted_at", "yyyy-MM-dd").alias("posted"))
-
-
-def page_summary(spark, d):
-    return pages.page_summary(_listing_pages(spark, d), "page_id", "body", "base").select("page_id", "title", F.concat_ws(" ", "links").alias("links"), "bytes")
-
-
-def page_hash(spark, d):
-    return _listing_pages(spark, d).select("page_id", pages.content_hash(F.col("body")).alias("hash"))
-
-
-def api_items(spark, d):
-    r = table(spark, d, "nation", "n_nationkey", "n_name")
-    body = F.concat(F.lit('{"page":1,"total":41,"page_size":20,"list":[{"id":"'), F.col("n_nationkey").cast("string"), F.lit('","address":" '), F.col("n_name"), F.lit(' ","rent":"¥4,'), F.col("n_nationkey").cast("string"), F.lit('50","district":"East","latitude":31.2,"longitude":121.5,"imgs":["a","b"],"tags":[],"loginTime":"1767225600"}]}'))
-    x = pages.api_items(r.select("n_nationkey", body.alias("body")), "body")
-    return x.select("item_id", "address", "rent", "pages", "images", F.date_format("login_at", "yyyy-MM-dd").alias("login"))
-
-
 def times_parsed(spark, d):
     o = table(spark, d, "orders", "o_orderkey", "o_orderdate")
     iso = iso_time(F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -492,7 +442,7 @@ QUERIES = {f.__name__: f for f in (
     price_area_rows, price_area_summary, nearby_pairs, nearby_stats, nearby_stats_wide, location_value_rows, location_value_summary, community_best, eps_neighborhood, eps_neighborhood_wide, geo_cluster_rows, geo_cluster_summary, top_clusters, cluster_area_label,
     price_history, price_history_summary, latest_status, latest_change, price_drops, price_rises, reconcile_partial, reconcile_full, merged_layers, faceted_filter, value_score, value_level, ranked_candidates, candidate_reasons,
     acceptance_filter, filter_reason_counts, staleness, text_numbers, text_layout, text_split, clean_texts, url_parts, props_json_parse, prefix_lookup, upsert_merge, insert_or_ignore, first_gap, union_marker,
-    constraint_violations, map_layers, map_visibility, dashboard_metrics, confidence_mean, crawl_totals, event_counts, page_cards, page_ld_detail, page_ld_list, page_summary, page_hash, api_items, times_parsed, order_price_stats, point_distances,
+    constraint_violations, map_layers, map_visibility, dashboard_metrics, confidence_mean, crawl_totals, event_counts, times_parsed, order_price_stats, point_distances,
 )}
 
 __all__ = ["ORACLE", "QUERIES"]

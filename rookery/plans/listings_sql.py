@@ -234,8 +234,4 @@ ORACLE = {
     "times_parsed": "SELECT o_orderkey, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS iso_s, CAST(epoch(o_orderdate) AS BIGINT) AS epoch_s FROM orders",
     "order_price_stats": f"SELECT l_returnflag, l_linestatus, {_stats('l_quantity')} FROM lineitem GROUP BY 1, 2",
     "point_distances": f"WITH {L}, p AS (SELECT DISTINCT listing_id, longitude AS x, latitude AS y FROM l WHERE longitude BETWEEN -180 AND 180 AND latitude BETWEEN -90 AND 90 AND NOT (longitude = 0 AND latitude = 0)) SELECT a.listing_id AS a, b.listing_id AS b, round({_hav('a.x', 'a.y', 'b.x', 'b.y')}, 2) AS metres FROM p a JOIN p b ON a.listing_id < b.listing_id AND b.y BETWEEN a.y - 0.001 AND a.y + 0.001 WHERE {_hav('a.x', 'a.y', 'b.x', 'b.y')} <= 60",
-    "page_cards": "SELECT n_nationkey AS page_id, 0 AS position, CAST(n_nationkey AS VARCHAR) AS item_id, '/x/' || n_nationkey AS href, CAST('3' || n_nationkey || '00' AS INTEGER) AS rent, CAST(n_nationkey + 0.5 AS DOUBLE) AS area, 2 AS rooms FROM nation",
-    "page_ld_detail": "SELECT n_nationkey AS page_id, 'Home ' || n_nationkey AS title, CAST('3' || n_nationkey AS INTEGER) AS rent, CAST('4' || n_nationkey || '.5' AS DOUBLE) AS area, CAST(121.5 AS DOUBLE) AS longitude, CAST(31.2 AS DOUBLE) AS latitude FROM nation",
-    "page_ld_list": "SELECT n_nationkey AS page_id, CAST(n_nationkey AS VARCHAR) AS item_id, 'N' || n_nationkey AS title, CAST('4' || n_nationkey AS INTEGER) AS rent, '2026-05-01' AS posted FROM nation",
-    "api_items": "SELECT CAST(n_nationkey AS VARCHAR) AS item_id, n_name AS address, CAST('4' || n_nationkey || '50' AS INTEGER) AS rent, 3 AS pages, 2 AS images, '2026-01-01' AS login FROM nation",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,14 @@ def checkpoint_folder(named: str | None, master: str) -> str:
     return tempfile.mkdtemp(prefix="rookery-cp-")
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes, in the folder of the checkpoints, which all executors share."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(checkpoint_folder(spark.conf.get("spark.checkpoint.dir", None), sc.master))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for explicit range partitioning; follows the session, so the cluster sets it."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -11,14 +11,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def typed_csv(spark: SparkSession, path: str, schema: str, flags: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
-    """A CSV with a header as ``schema``: whole numbers may be written as decimals, flags are true for the word true of any
-    case and false otherwise, rows with a blank ``key`` are dropped, texts that don't fit are null.
+def typed_rows(raw: DataFrame, schema: str, flags: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """Rows of texts as ``schema``: whole numbers may be written as decimals, flags are true for the word true of any case and
+    false otherwise, rows with a blank ``key`` are dropped, texts that don't fit are null.
     """
-    want = [f.strip().split(" ", 1) for f in schema.split(",")]
-    raw = spark.read.option("header", True).schema(", ".join(f"{n} string" for n, _ in want)).csv(path)
     out = []
-    for n, t in want:
+    for n, t in (f.strip().split(" ", 1) for f in schema.split(",")):
         c = F.col(n)
         if n in flags:
             c = F.coalesce(F.lower(F.trim(c)) == "true", F.lit(False))
@@ -31,6 +29,27 @@ def typed_csv(spark: SparkSession, path: str, schema: str, flags: tuple[str, ...
     return d.where(F.coalesce(F.trim(key), F.lit("")) != "") if key else d
 
 
+def typed_csv(spark: SparkSession, path: str, schema: str, flags: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
+    """A CSV with a header as ``schema``, see ``typed_rows``."""
+    names = [f.strip().split(" ", 1)[0] for f in schema.split(",")]
+    raw = spark.read.option("header", True).schema(", ".join(f"{n} string" for n in names)).csv(path)
+    return typed_rows(raw, schema, flags, key)
+
+
+def last_by_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """One row for each ``key`` that isn't blank: the last one in the order of ``order``."""
+    d = df.where(F.coalesce(F.trim(key), F.lit("")) != "")
+    rest = [c for c in df.columns if c != key]
+    best = d.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])).alias("_r"))
+    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
+def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """An event log of JSON lines; broken lines are dropped."""
+    raw = spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null").select("r.*")
+    return raw.dropna(how="all")
+
+
 def missing_layers(layers: dict[str, DataFrame]) -> list[str]:
     """Names of the layers without rows, one look at each."""
     return [n for n, df in layers.items() if df.isEmpty()]
