@@ -7,8 +7,8 @@ a sweep over valid time with the nearest earlier-recorded observation to the lef
 the row that a later arrival splits in turn is found from the same two neighbours (they form a Cartesian tree).
 
 An entity with very many observations is cut into chunks of valid time. Chunks are swept in different tasks, and the
-few observations whose neighbours lie in another chunk are settled by joins against chunk minima, so that no entity
-has to fit into one task.
+observations whose neighbours lie in another chunk are settled by a look-up in the minima of the chunks and an as-of look-up
+in the chunk found, in blocks, so that no entity has to fit into one task.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from rookery.operators.blocks import spread_join, with_blocks
 from rookery.session import cut
 
 HOT_ROWS = 100_000
 CHUNK_ROWS = 50_000
+#: Chunks of one entity, at most: an entity of more than HOT_CHUNKS * CHUNK_ROWS rows has larger chunks, a thousandth of it.
 HOT_CHUNKS = 1024
 #: Recorded order of an observation whose recorded time is null: after all others.
 LAST_RUN = (1 << 62) - 1
@@ -132,7 +134,11 @@ def _across(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     seq = F.struct("run", "v")
     chunks = rows.groupBy(*keys, "_c").agg(F.min(seq).alias("least"), *[F.max_by(f"st_{c}", "v").alias(f"end_{c}") for c in values])
     w = Window.partitionBy(*keys).orderBy("_c")  # one row per chunk of an entity
-    chunks = cut(chunks.select(*keys, "_c", "least", F.min("least").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("later"), (F.row_number().over(w) == 1).alias("opens"), *[F.last(f"end_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"in_{c}") for c in values]))
+    # the minima of the other chunks of an entity, of which there are HOT_CHUNKS at most, the nearest first
+    each = F.struct("least", F.col("_c").alias("c"))
+    before = F.reverse(F.collect_list(each).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    after = F.collect_list(each).over(w.rowsBetween(1, Window.unboundedFollowing))
+    chunks = cut(chunks.select(*keys, "_c", "least", F.min("least").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("later"), (F.row_number().over(w) == 1).alias("opens"), *[F.last(f"end_{c}", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"in_{c}") for c in values], before.alias("before"), after.alias("after")))
     more = ["later", "opens", *[f"in_{c}" for c in values]]
     r = rows.alias("r").join(chunks.alias("k"), _same("r", "k", keys) & (F.col("r._c") == F.col("k._c"))).select("r.*", *[f"k.{c}" for c in more])
     r = r.withColumns({f"{p}_{c}": F.coalesce(f"{p}_{c}", f"in_{c}") for p in ("st", "pv") for c in values} | {"_first": F.col("_first") & F.col("opens")}).drop("opens", *[f"in_{c}" for c in values])
@@ -140,14 +146,22 @@ def _across(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
 
     def settle(r: DataFrame, side: str) -> DataFrame:
         open_ = F.col("pred_v").isNull() if side == "pred" else F.col("succ_v").isNull() & F.col("later").isNotNull() & (F.col("later") < seq)
-        q = r.where(open_).select(*keys, "_c", seq.alias("q"), F.col("v").alias("qv"))
-        beyond = F.col("k._c") < F.col("q._c") if side == "pred" else F.col("k._c") > F.col("q._c")
-        pick = F.max if side == "pred" else F.min
-        hit = q.alias("q").join(chunks.alias("k"), _same("q", "k", keys) & beyond & (F.col("k.least") < F.col("q.q")))
-        hit = hit.groupBy(*[F.col(f"q.{k}").alias(k) for k in keys], F.col("q.q").alias("q"), F.col("q.qv").alias("qv")).agg(pick("k._c").alias("_c"))
-        near = hit.alias("h").join(rows.alias("e"), _same("h", "e", keys) & (F.col("h._c") == F.col("e._c")) & (F.struct("e.run", "e.v") < F.col("h.q")))
-        best = pick(F.struct("e.v", "e.run", *[F.col(f"e.{c}").alias(c) for c in values])).alias("n")
-        near = near.groupBy(*[F.col(f"h.{k}").alias(k) for k in keys], F.col("h.qv").alias("qv")).agg(best)
+        q = r.where(open_).select(*keys, "_c", "run", "v")
+        # the nearest chunk beyond with an earlier record, out of the chunks' minima, the nearest first
+        beyond = chunks.select(*keys, "_c", F.col("before" if side == "pred" else "after").alias("_beyond"))
+        hit = F.get(F.filter("k._beyond", lambda x: x["least"] < F.struct("q.run", "q.v")), F.lit(0))["c"]
+        q = q.alias("q").join(beyond.alias("k"), _same("q", "k", keys) & (F.col("q._c") == F.col("k._c"))).select(*[F.col(f"q.{k}").alias(k) for k in keys], hit.alias("_c"), "q.run", "q.v").where("_c is not null")
+        q = cut(with_blocks(q, [*keys, "_c"], "v", CHUNK_ROWS))
+        # in that chunk the neighbour is the latest record before this one of those that nothing earlier in the chunk hides
+        seen = rows.where(F.col("succ_v" if side == "pred" else "pred_v").isNull())
+        big = q.where("_blocks > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_c").alias("_kc"), F.col("_blocks").alias("_nb")).distinct()
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_c") == F.col("_kc")]
+        each = F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1)).alias("_block")
+        found = F.struct("v", "run", *values)
+        seen = seen.select(*keys, "_c", "run", "v", found.alias("n")).join(big, on, "left").select(*keys, "_c", "run", "v", "n", each)
+        both = q.select(*keys, "_c", "run", "v", F.lit(None).cast(seen.schema["n"].dataType).alias("n"), "_block", F.lit(True).alias("_asks")).unionByName(seen.withColumn("_asks", F.lit(False)))
+        w = Window.partitionBy(*keys, "_c", "_block").orderBy("run", "v").rowsBetween(Window.unboundedPreceding, -1)
+        near = both.withColumn("n", F.last("n", ignorenulls=True).over(w)).where("_asks and n is not null").select(*keys, F.col("v").alias("qv"), "n")
         more = ["v", "run", *(values if side == "pred" else [])]
         j = r.alias("r").join(near.alias("n"), _same("r", "n", keys) & (F.col("r.v") == F.col("n.qv")), "left")
         new = {f"{side}_{c}": F.coalesce(F.col(f"r.{side}_{c}"), F.when(F.col(f"r.{side}_v").isNull(), F.col(f"n.n.{c}"))) for c in more}
@@ -187,12 +201,11 @@ def bitemporal_ledger(df: DataFrame, keys: list[str], valid: str, recorded: str,
     any_hot = hot_keys.limit(1).count() > 0
     if any_hot:
         points = [i / HOT_CHUNKS for i in range(1, HOT_CHUNKS)]
-        h = df.where(F.col(valid).isNotNull()).alias("d").join(hot_keys.alias("h"), _same("d", "h", keys)).select(*[F.col(f"d.{k}").alias(k) for k in keys], F.unix_micros(F.col(f"d.{valid}").cast("timestamp")).alias("v"), F.col("h.n").alias("n"))
+        h = spread_join(df.where(F.col(valid).isNotNull()).select(*keys, us.alias("v")), hot_keys, keys, "inner")
         bounds = h.groupBy(*keys).agg(F.percentile_approx("v", points, 100_000).alias("q"), F.max("n").alias("n"))
         every = F.greatest(F.lit(1), F.floor(F.lit(HOT_CHUNKS) * chunk_rows / F.col("n"))).cast("int")
         bounds = cut(bounds.select(*keys, F.array_distinct(F.filter("q", lambda x, i: (i + 1) % every == 0)).alias("q")))
-        e = e.alias("e").join(bounds.alias("b"), _same("e", "b", keys), "left")
-        e = e.select(*[F.col(f"e.{c}").alias(c) for c in [*keys, "v", "run", *values]], F.col("b.q").isNotNull().alias("_hot"), F.coalesce(F.size(F.filter("b.q", lambda x: x <= F.col("e.v"))), F.lit(0)).alias("_c"))
+        e = spread_join(e, bounds, keys).select(*keys, "v", "run", *values, F.col("q").isNotNull().alias("_hot"), F.coalesce(F.size(F.filter("q", lambda x: x <= F.col("v"))), F.lit(0)).alias("_c"))
         e = e.withColumn("_c", F.when(F.col("_hot"), F.col("_c")).otherwise(F.lit(0)))
     else:
         e = e.withColumns({"_hot": F.lit(False), "_c": F.lit(0)})

@@ -90,6 +90,31 @@ WITH p AS (
 r AS (SELECT concat_ws('|', city, district) AS region, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my,
              (max(x) - min(x)) / 2 + 0.0001 AS rx, (max(y) - min(y)) / 2 + 0.0001 AS ry FROM p WHERE district IS NOT NULL GROUP BY city, district)
 SELECT DISTINCT i AS listing_id, region FROM p JOIN r ON abs(x - mx) / rx + abs(y - my) / ry < 1
+""",
+    "p7_ledger": """
+WITH o AS (
+  SELECT source AS s, source_listing_id AS i, epoch_us(observed_at) AS v, crawl_run_id AS run, rent_price AS r, nullif(availability_status, 'unknown') AS a,
+         row_number() OVER (PARTITION BY source, source_listing_id, observed_at
+                            ORDER BY crawl_run_id NULLS LAST, rent_price NULLS FIRST, nullif(availability_status, 'unknown') NULLS FIRST) AS n
+  FROM listing_observations WHERE observed_at IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY s, i ORDER BY run NULLS LAST, v) AS k FROM o WHERE n = 1),
+f AS (SELECT s, i, v, last_value(r IGNORE NULLS) OVER w AS r, last_value(a IGNORE NULLS) OVER w AS a FROM r WINDOW w AS (PARTITION BY s, i ORDER BY v)),
+g AS (SELECT s, i, v, row_number() OVER w = 1 OR r IS DISTINCT FROM lag(r) OVER w OR a IS DISTINCT FROM lag(a) OVER w AS opens FROM f WINDOW w AS (PARTITION BY s, i ORDER BY v)),
+-- the nearest moments on both sides that were recorded before, and who splits what they leave
+nb AS (SELECT x.s, x.i, x.v, max(y.v) FILTER (y.v < x.v) AS pv, min(y.v) FILTER (y.v > x.v) AS sv
+       FROM r x LEFT JOIN r y ON x.s IS NOT DISTINCT FROM y.s AND x.i IS NOT DISTINCT FROM y.i AND y.k < x.k GROUP BY ALL),
+c AS (SELECT r.*, nb.pv, nb.sv FROM r JOIN nb ON r.s IS NOT DISTINCT FROM nb.s AND r.i IS NOT DISTINCT FROM nb.i AND r.v = nb.v),
+ch AS (SELECT x.s, x.i, x.v, min(y.k) FILTER (y.v > x.v AND (x.sv IS NULL OR y.v < x.sv)) AS rk, min(y.k) FILTER (y.v < x.v AND y.v > x.pv) AS lk
+       FROM c x LEFT JOIN r y ON x.s IS NOT DISTINCT FROM y.s AND x.i IS NOT DISTINCT FROM y.i AND y.k > x.k GROUP BY ALL),
+e AS (SELECT c.*, ch.rk, ch.lk, right_.run AS rrun, left_.run AS lrun, p.r AS pr, p.a AS pa, g.opens
+      FROM c JOIN ch ON c.s IS NOT DISTINCT FROM ch.s AND c.i IS NOT DISTINCT FROM ch.i AND c.v = ch.v
+      JOIN g ON c.s IS NOT DISTINCT FROM g.s AND c.i IS NOT DISTINCT FROM g.i AND c.v = g.v
+      LEFT JOIN r right_ ON c.s IS NOT DISTINCT FROM right_.s AND c.i IS NOT DISTINCT FROM right_.i AND right_.k = ch.rk
+      LEFT JOIN r left_ ON c.s IS NOT DISTINCT FROM left_.s AND c.i IS NOT DISTINCT FROM left_.i AND left_.k = ch.lk
+      LEFT JOIN r p ON c.s IS NOT DISTINCT FROM p.s AND c.i IS NOT DISTINCT FROM p.i AND p.v = c.pv)
+SELECT s AS source, i AS source_listing_id, r AS rent_price, a AS availability_status, v AS valid_from_us, sv AS valid_to_us, run AS recorded_from, rrun AS recorded_to, rk IS NOT NULL AS superseded, opens AS opens_version FROM e
+UNION ALL
+SELECT s, i, pr, pa, pv, v, run, lrun, lk IS NOT NULL, NULL FROM e WHERE pv IS NOT NULL
 """,
     "p5_found": r"""
 WITH r AS (
