@@ -26,8 +26,6 @@ from rookery.session import cut
 HASHES, NAME_CHUNKS, RADIUS = 2, 6, 4
 #: Least Dice of a typed name and its entry: one wrong syllable of three and an ending has 0.75, two of five 0.67.
 LEAST_NAME = 0.7
-#: Records: chunks, and the radius: one range between two areas and one between two rents, or two between either.
-CHUNKS = 5
 #: Largest ratio of two areas and of two rents of one home.
 AREA_RATIO, RENT_RATIO = 1.04, 1.08
 #: Fine ranges within such a ratio, ranges that a number sets in the fine and in the coarse vector.
@@ -45,6 +43,11 @@ PATTERNS = (7, 6, 5, 3)
 FIELD_BITS = {"rooms": 4, "area": 2, "rent": 1}
 
 
+def chunks_of(have: int) -> int:
+    """Chunks of the vectors over some fields: one more than the bits that may differ, two for each number."""
+    return 1 + 2 * bin(have & (FIELD_BITS["area"] | FIELD_BITS["rent"])).count("1")
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -159,12 +162,13 @@ _WORD_FIELD = ("area", "area", "rent", "rooms")
 
 
 def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
-    """Pairs of ``lid`` and ``rid`` whose search vectors differ in less than CHUNKS bits over the fields that both have, of
-    which one of three may be missing; with ``have`` (the fields as bits) and the Dice of each field.
+    """Pairs of ``lid`` and ``rid`` whose search vectors differ, over the fields that both have, in at most two bits for each
+    number: a range between the two areas and one between the two rents, or both between either. One of the three fields may be
+    missing. With ``have`` (the fields as bits) and the Dice of each field.
 
     Both sides have ``place``, ``rooms``, ``area`` and ``rent``; columns of the right side named ``chance`` are kept. There
-    is an index for each choice of fields of either side, and in each for every chunk of the vectors. Places, and then
-    chunks, with very many left records are dealt to blocks.
+    is an index for each choice of fields of either side, and in each for every chunk of the vectors. Records of a place with
+    very many left records are dealt to blocks by chunk.
     """
     kept = [c for c in ("chance",) if c in right.columns]
 
@@ -178,31 +182,36 @@ def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataF
         d = df.select("*", *[F.expr(w).alias(f"_w{k}") for k, w in enumerate(search_words())])
         each = []
         for other in PATTERNS:
-            common = F.col("has").bitwiseAND(F.lit(other))
-            for c in range(CHUNKS):
-                words = [F.expr(f"{w} & {_mask(c, CHUNKS)}L") for w in ("p", "p2")]
-                words += [F.when(common.bitwiseAND(F.lit(FIELD_BITS[f])) != 0, F.expr(f"_w{k} & {_mask(c, CHUNKS, 64 if k == 1 else 0)}L")).otherwise(F.lit(0).cast("long")) for k, f in enumerate(_WORD_FIELD)]
-                sides = [F.col("has"), F.lit(other)] if mine == "l" else [F.lit(other), F.col("has")]
-                each.append(F.when(F.bit_count(common) >= 2, F.struct(F.xxhash64(F.lit(c), *sides, *words).alias("key"), F.lit(c).alias("at"), common.alias("have"))))
+            for own in PATTERNS:
+                have = own & other
+                if bin(have).count("1") < 2:
+                    continue
+                m = chunks_of(have)
+                for c in range(m):
+                    words = [F.expr(f"{w} & {_mask(c, m)}L") for w in ("p", "p2")]
+                    words += [F.expr(f"_w{k} & {_mask(c, m, 64 if k == 1 else 0)}L") for k, f in enumerate(_WORD_FIELD) if have & FIELD_BITS[f]]
+                    sides = [own, other] if mine == "l" else [other, own]
+                    each.append(F.when(F.col("has") == own, F.struct(F.xxhash64(F.lit(c), *map(F.lit, sides), *words).alias("key"), F.lit(c).alias("at"), F.lit(have).alias("have"))))
         e = F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_e")
         return d.select(*[c for c in df.columns if c not in ("p2", "has", *place)], e).select("*", "_e.key", "_e.at", "_e.have").drop("_e")
 
-    a = with_blocks(coded(left, "lid"), place, "lid", PLACE_ROWS).withColumn("_hot", F.col("_blocks") > 1).drop("_block", "_blocks")
-    a = cut(entries(a, "l"))
-    hot = cut(with_blocks(a.where("_hot"), ["key"], "lid", PLACE_ROWS))
-    a = a.where("not _hot").withColumn("_block", F.lit(0)).unionByName(hot.drop("_blocks")).drop("_hot")
+    a = cut(with_blocks(coded(left, "lid"), place, "lid", PLACE_ROWS).withColumn("_hot", F.col("_blocks") > 1).drop("_block", "_blocks"))
+    hot = cut(with_blocks(entries(a.where("_hot"), "l"), ["key"], "lid", PLACE_ROWS))
+    a = entries(a.where("not _hot"), "l").withColumn("_block", F.lit(0)).unionByName(hot.drop("_blocks")).drop("_hot")
     big = hot.where("_blocks > 1").select("key", F.col("_blocks").alias("_nb")).distinct()
     b = entries(coded(right, "rid"), "r").drop("at", "have").join(big, "key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1))).drop("_nb")
     b = b.withColumnsRenamed({f: f"{f}_r" for f in ("p", "rooms", "area", "rent")})
     j = a.join(b, ["key", "_block"])
     on = lambda f: f"have & {FIELD_BITS[f]} <> 0"
     x = [f"if({on(f)}, {u} ^ {v}, 0L)" for f, u, v in zip(_WORD_FIELD, search_words(), search_words("_r"))]
-    j = j.where("p = p_r").where(F.expr(" + ".join(f"bit_count({w})" for w in x) + f" < {CHUNKS}"))
+    per = lambda what: F.expr("case have " + " ".join(f"when {p} then {what(p)}" for p in PATTERNS) + " end")
+    j = j.where("p = p_r").where(F.expr(" + ".join(f"bit_count({w})" for w in x)) < per(chunks_of))
     # numbers of different laps around a ring, more than a hundredfold apart, are no neighbours
     j = j.where(F.expr(" and ".join(f"not ({on(f)} and abs({f} - {f}_r) >= {32 * STEPS})" for f in ("area", "rent"))))
     # rooms of a pair within the radius are equal, so its chunks differ by area and rent only
-    equal = lambda c: " and ".join(f"({w}) & {_mask(c, CHUNKS, 64 if k == 1 else 0)}L = 0L" for k, w in enumerate(x[:3]))
-    j = j.where(F.expr("at = case " + " ".join(f"when {equal(c)} then {c}" for c in range(CHUNKS)) + " end"))
+    equal = lambda c, m: " and ".join(f"({w}) & {_mask(c, m, 64 if k == 1 else 0)}L = 0L" for k, w in enumerate(x[:3]))
+    first = lambda m: "case " + " ".join(f"when {equal(c, m)} then {c}" for c in range(m)) + " end"
+    j = j.where(F.col("at") == per(lambda p: first(chunks_of(p))))
     fine = lambda f: f"if({on(f)}, bit_count({ring(f, FINE)} & {ring(f + '_r', FINE)}) / {FINE}.0D, null)"
     return j.select("lid", "rid", *kept, "have", F.lit(1.0).alias("place"), F.expr(f"if({on('rooms')}, cast(rooms = rooms_r as double), null)").alias("rooms"), F.expr(fine("area")).alias("area"), F.expr(fine("rent")).alias("rent"))
 
