@@ -37,6 +37,17 @@ def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return spread_join(up, groups, keys, "inner").withColumn("_upto", F.col("_upto") - F.col("_start")).drop("_start")
 
 
+def ranked_columns(df: DataFrame, keys: list[str], values: tuple[str, ...]) -> DataFrame:
+    """``ranked_values`` of several numeric columns in one sort: ``_col`` names the column, ``_v`` is its value as a double."""
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("_col"), F.col(v).cast("double").alias("_v")) for v in values])).alias("_x")
+    return ranked_values(df.select(*keys, each).select(*keys, "_x._col", "_x._v"), [*keys, "_col"], "_v")
+
+
+def column_stats(ranked: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``distribution_stats`` of one of the columns of ``ranked_columns``."""
+    return rank_stats(ranked.where(F.col("_col") == value), keys, "_v")
+
+
 def rank_stats(ranked: DataFrame, keys: list[str], value: str, dp: int = 2) -> DataFrame:
     """``distribution_stats`` from ranked values: order statistics at index round_half_even((n - 1) p) per key."""
     hit = lambda i: F.min(F.when(F.col("_upto") > i, F.col(value)))
@@ -78,19 +89,22 @@ def price_area_rows(df: DataFrame, group: str, community: str, rules: Rules = Ru
     Fences use the rounded quartiles. Comparisons are inclusive for good and expensive, strict for outliers.
     """
     df = cut(df)  # read once for all its statistics
+    columns = (("rent_price", "price"), ("rent_per_sqm", "rps"))
+    names = tuple(c for c, _ in columns)
+    ranked = cut(ranked_columns(df, [group], names))
     d = df
-    for c, short in (("rent_price", "price"), ("rent_per_sqm", "rps")):
-        ranked = cut(ranked_values(df, [group], c))
-        s = rank_stats(ranked, [group], c).select(group, *[F.col(x).alias(f"_{short}_{x}") for x in ("median", "p25", "p75", "iqr")])
-        d = spread_join(_with_ranks(d, ranked, [group], c, f"{short}_percentile"), s, [group], "inner")
+    for c, short in columns:
+        s = column_stats(ranked, [group], c).select(group, *[F.col(x).alias(f"_{short}_{x}") for x in ("median", "p25", "p75", "iqr")])
+        d = _with_ranks(d, ranked.where(F.col("_col") == c).drop("_col").withColumnRenamed("_v", c), [group], c, f"{short}_percentile")
+        d = spread_join(d, s, [group], "inner")
         v, m, lo, hi, iqr = F.col(c), *[F.col(f"_{short}_{x}") for x in ("median", "p25", "p75", "iqr")]
         d = d.withColumns({
             f"{short}_median": m, f"{short}_delta": F.round(v - m, 2), f"{short}_good": v <= lo, f"{short}_expensive": v >= hi,
             f"{short}_low_outlier": v < lo - 1.5 * iqr, f"{short}_high_outlier": v > hi + 1.5 * iqr,
         }).drop(*[f"_{short}_{x}" for x in ("median", "p25", "p75", "iqr")])
-    named = df.where(F.col(community).isNotNull())
-    for c, short in (("rent_price", "price"), ("rent_per_sqm", "rps")):
-        s = distribution_stats(named, [community], c)
+    ranked = cut(ranked_columns(df.where(F.col(community).isNotNull()), [community], names))
+    for c, short in columns:
+        s = column_stats(ranked, [community], c)
         s = s.select(community, *([F.col("n").alias("community_n")] if short == "price" else []), F.when(F.col("n") >= rules.min_community, F.col("median")).alias(f"community_{short}_median"))
         d = spread_join(d, s, [community])
     d = d.withColumn("community_n", F.coalesce("community_n", F.lit(0)))

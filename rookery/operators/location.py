@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rookery.functions.geo import haversine_m_int
 from rookery.functions.text import joined_notes
 from rookery.operators.blocks import spread_join
-from rookery.operators.distributions import distribution_stats
+from rookery.operators.distributions import column_stats, ranked_columns
 from rookery.operators.near import near_pairs
 from rookery.operators.ranks import global_order
 from rookery.rules import Rules
@@ -25,10 +25,11 @@ def neighbour_stats(df: DataFrame, id_col: str, values: tuple[str, ...], radius_
     neighbourhoods by range, so that a crowded point fits into no single task.
     """
     p = both_ways(near_pairs(df, id_col, "longitude", "latitude", radius_m))
-    n = cut(spread_join(p, df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("b")).agg(*[F.min(v).alias(v) for v in values]), ["b"], "inner"))
+    known = df.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("b")).agg(*[F.min(v).alias(v) for v in values])
+    ranked = cut(ranked_columns(spread_join(p, known, ["b"], "inner"), ["a"], values))
     out = None
     for v in values:
-        s = distribution_stats(n, ["a"], v).select(F.col("a").alias(id_col), F.col("n").alias(f"{v}_n"), F.col("median").alias(f"{v}_median"), F.col("p75").alias(f"{v}_p75"))
+        s = column_stats(ranked, ["a"], v).select(F.col("a").alias(id_col), F.col("n").alias(f"{v}_n"), F.col("median").alias(f"{v}_median"), F.col("p75").alias(f"{v}_p75"))
         out = s if out is None else out.join(s, id_col, "full")
     return out
 
@@ -47,9 +48,9 @@ def location_value(df: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "below_nearby_median": sure(F.col("rent_price") < F.col("nearby_price_median")), "nearby_good_value": sure(F.col("rent_per_sqm") < F.col("nearby_rps_median")),
         "nearby_expensive": sure(F.col("rent_per_sqm") >= F.col("_p75")),
     })
-    named = cut(df.where(F.col("community_name").isNotNull()))
-    com = distribution_stats(named, ["community_name"], "rent_price").select("community_name", F.col("n").alias("community_n"), F.col("median").alias("_cm"), F.col("min").alias("_cmin"))
-    rps = distribution_stats(named, ["community_name"], "rent_per_sqm").select("community_name", F.col("min").alias("_crmin"))
+    ranked = cut(ranked_columns(df.where(F.col("community_name").isNotNull()), ["community_name"], ("rent_price", "rent_per_sqm")))
+    com = column_stats(ranked, ["community_name"], "rent_price").select("community_name", F.col("n").alias("community_n"), F.col("median").alias("_cm"), F.col("min").alias("_cmin"))
+    rps = column_stats(ranked, ["community_name"], "rent_per_sqm").select("community_name", F.col("min").alias("_crmin"))
     d = spread_join(spread_join(d, com, ["community_name"]), rps, ["community_name"]).withColumn("community_n", F.coalesce("community_n", F.lit(0)))
     many = F.col("community_n") >= rules.min_community
     best = lambda a, b: sure(many & (F.col(a) == F.col(b)))
