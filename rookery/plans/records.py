@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rookery.functions.text import area_guess, canonical_url, clean_text, distance_text, labelled, layout_text, located, money_text, one_place, orientation_and_floor, strip, subway_text, translated_prefix
 from rookery.operators import history as hist, layers, origins, store
 from rookery.operators.ranks import global_order
-from rookery.plans.listings import NOW, ORIGIN, R, _clusters, _distances, _history, _listings, _observations, _quality, _scored, _tie
+from rookery.plans.listings import NOW, ORIGIN, R, _clusters, _distances, _history, _listings, _quality, _scored, _tie
 from rookery.plans.records_sql import ORACLE
 from rookery.sinks import FILTER_COLUMNS, as_json, csv_ready, validation_rows
 from rookery.session import cut

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rookery.plans.listings_sql import C, D, G, H, L, LAT, LON, O, ORACLE as LISTINGS, PA, LV, Q, S, SNAPS, T, V, _strip
+from rookery.plans.listings_sql import C, D, G, H, L, LAT, LON, LV, ORACLE as LISTINGS, PA, S, T, V, _strip
 from rookery.rules import Rules
 from rookery.sinks import FILTER_COLUMNS, REVIEWER_COLUMNS, VALIDATION_COLUMNS
 
