@@ -196,10 +196,15 @@ def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataF
         return d.select(*[c for c in df.columns if c not in ("p2", "has", *place)], e).select("*", "_e.key", "_e.at", "_e.have").drop("_e")
 
     a = cut(with_blocks(coded(left, "lid"), place, "lid", PLACE_ROWS).withColumn("_hot", F.col("_blocks") > 1).drop("_block", "_blocks"))
-    hot = cut(with_blocks(entries(a.where("_hot"), "l"), ["key"], "lid", PLACE_ROWS))
-    a = entries(a.where("not _hot"), "l").withColumn("_block", F.lit(0)).unionByName(hot.drop("_blocks")).drop("_hot")
-    big = hot.where("_blocks > 1").select("key", F.col("_blocks").alias("_nb")).distinct()
-    b = entries(coded(right, "rid"), "r").drop("at", "have").join(big, "key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1))).drop("_nb")
+    b = entries(coded(right, "rid"), "r").drop("at", "have")
+    cool = entries(a.where("not _hot"), "l").drop("_hot").withColumn("_block", F.lit(0))
+    if a.where("_hot").limit(1).count():
+        hot = cut(with_blocks(entries(a.where("_hot"), "l").drop("_hot"), ["key"], "lid", PLACE_ROWS))
+        big = hot.where("_blocks > 1").select("key", F.col("_blocks").alias("_nb")).distinct()
+        a = cool.unionByName(hot.drop("_blocks"))
+        b = b.join(big, "key", "left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.coalesce("_nb", F.lit(1)) - 1))).drop("_nb")
+    else:  # no place needs blocks, so all are block 0
+        a, b = cool, b.withColumn("_block", F.lit(0))
     b = b.withColumnsRenamed({f: f"{f}_r" for f in ("p", "rooms", "area", "rent")})
     j = a.join(b, ["key", "_block"])
     on = lambda f: f"have & {FIELD_BITS[f]} <> 0"
