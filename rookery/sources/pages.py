@@ -60,15 +60,16 @@ def ld_list_items(df: DataFrame, body: str) -> DataFrame:
 
 
 def ld_detail(df: DataFrame, body: str, key: list[str]) -> DataFrame:
-    """Per page the fields of its first JSON-LD real estate listing; what it doesn't say is null, lists are then empty."""
+    """Per page the fields of its first JSON-LD real estate listing; what it doesn't say is null, lists are then empty. Degrees
+    are as the page writes them, NaN too.
+    """
     d = ld_blocks(df, body).where("ld.`@type` = 'RealEstateListing'").groupBy(*key).agg(F.min_by("ld", "block").alias("d"))
     image = F.when(F.col("d.image").startswith("["), F.from_json("d.image", "array<string>")).when(F.col("d.image").isNotNull(), F.array("d.image"))
     names = F.filter(F.transform("d.amenityFeature", lambda a: F.nullif(a["name"], F.lit(""))), lambda n: n.isNotNull())
     empty = F.array().cast("array<string>")
-    degrees = lambda c: F.when(~F.isnan(f"d.geo.{c}"), F.col(f"d.geo.{c}")).alias(c)
     return d.select(
         *key, F.col("d.name").alias("title"), F.col("d.description").alias("description"), first_int(F.col("d.offers.price")).alias("rent"), F.upper("d.offers.priceCurrency").alias("currency"),
-        F.col("d.floorSize.value").try_cast("double").alias("area"), degrees("longitude"), degrees("latitude"), iso_time(F.col("d.datePosted")).alias("posted_at"),
+        F.col("d.floorSize.value").try_cast("double").alias("area"), F.col("d.geo.longitude").alias("longitude"), F.col("d.geo.latitude").alias("latitude"), iso_time(F.col("d.datePosted")).alias("posted_at"),
         F.col("d.address.addressLocality").alias("city"), F.col("d.address.addressRegion").alias("district"), F.col("d.address.streetAddress").alias("street"),
         F.col("d.numberOfRooms").try_cast("double").cast("int").alias("rooms"), F.col("d.numberOfBathroomsTotal").try_cast("double").cast("int").alias("baths"), F.coalesce(names, empty).alias("features"), F.coalesce(image, empty).alias("images"),
     )
@@ -182,11 +183,12 @@ def enrich(items: DataFrame, ld: DataFrame, labels: DataFrame, key: str) -> Data
     """API items with their detail pages: JSON-LD before labels before the item, and the confidences.
 
     ``items`` has ``address``, ``rent``, ``district``, ``longitude``, ``latitude``; ``ld`` comes from ``ld_detail``, ``labels`` has a map
-    ``labels``. Items without a page stay. Empty texts and 0 say nothing.
+    ``labels``. Items without a page stay. Empty texts, 0 and NaN say nothing.
     """
+    finite = lambda c: F.when(~F.isnan(c), F.col(c))
     x, y = ld.select(key, *[F.col(c).alias(f"_ld_{c}") for c in ld.columns if c != key]), labels.select(key, "labels")
     j = items.join(x, key, "left").join(y, key, "left")
-    fields = prefer({"title": [F.col("_ld_title"), F.col("address")], "rent": [F.col("_ld_rent"), F.col("rent")], "district": [F.col("_ld_district"), F.col("district")], "community": [F.col("_ld_street"), F.col("_ld_title")], "longitude": [F.col("_ld_longitude"), F.col("longitude")], "latitude": [F.col("_ld_latitude"), F.col("latitude")]})
+    fields = prefer({"title": [F.col("_ld_title"), F.col("address")], "rent": [F.col("_ld_rent"), F.col("rent")], "district": [F.col("_ld_district"), F.col("district")], "community": [F.col("_ld_street"), F.col("_ld_title")], "longitude": [finite("_ld_longitude"), finite("longitude")], "latitude": [finite("_ld_latitude"), finite("latitude")]})
     baths = F.coalesce("_ld_baths", F.lit(1))
     built = F.when(F.col("_ld_rooms") > 0, F.concat(F.col("_ld_rooms").cast("string"), F.lit("室"), F.when(baths > 0, F.concat(F.lit("0厅"), baths.cast("string"), F.lit("卫"))).otherwise(F.lit(""))))
     label = lambda n: F.nullif(F.col("labels")[n], F.lit(""))

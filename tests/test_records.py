@@ -57,6 +57,16 @@ def test_enrich_by_precedence(spark):
     assert (r["2"]["title"], r["2"]["rent"], r["2"]["layout"], r["2"]["overall_confidence"]) == ("addr2", 7, None, 0.9)
 
 
+def test_degrees_that_are_no_number_are_kept_and_say_nothing(spark):
+    page = lambda x: '<script type="application/ld+json">{"@type":"RealEstateListing","name":"N","geo":{"longitude":%s,"latitude":31.5}}</script>' % x
+    rows = [("1", page('"NaN"')), ("2", page("null")), ("3", page("121.5"))]
+    ld = pages.ld_detail(spark.createDataFrame(rows, "item_id string, body string"), "body", ["item_id"])
+    assert sorted((r["item_id"], repr(r["longitude"]), r["latitude"]) for r in ld.collect()) == [("1", "nan", 31.5), ("2", "None", 31.5), ("3", "121.5", 31.5)]
+    items = spark.createDataFrame([("1", "a", 1, "d", 120.5, 31.0), ("2", "a", 1, "d", float("nan"), 31.0)], "item_id string, address string, rent int, district string, longitude double, latitude double")
+    labels = spark.createDataFrame([], "item_id string, labels map<string,string>")
+    assert sorted((r["item_id"], r["longitude"], r["latitude"]) for r in pages.enrich(items, ld, labels, "item_id").collect()) == [("1", 120.5, 31.5), ("2", None, 31.5)]
+
+
 def test_saved_pages_and_events(spark, tmp_path):
     t = datetime(2026, 1, 1, tzinfo=UTC)
     df = spark.createDataFrame([("a", t), ("a", t), ("b", t), (None, t)], "body string, at timestamp")
