@@ -161,6 +161,13 @@ def search_words(side: str = "") -> list[str]:
 _WORD_FIELD = ("area", "area", "rent", "rooms")
 
 
+def _once(df: DataFrame, named: list[str]) -> DataFrame:
+    """Add columns (SQL with aliases) by a generator of one row: a projection would be put into every filter that uses it, and the
+    join's condition then is more code than a method may hold.
+    """
+    return df.select("*", F.expr(f"inline(array(struct({', '.join(named)})))"))
+
+
 def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataFrame:
     """Pairs of ``lid`` and ``rid`` whose search vectors differ, over the fields that both have, in at most two bits for each
     number: a range between the two areas and one between the two rents, or both between either. One of the three fields may be
@@ -208,17 +215,19 @@ def agreeing_pairs(left: DataFrame, right: DataFrame, place: list[str]) -> DataF
     b = b.withColumnsRenamed({f: f"{f}_r" for f in ("p", "rooms", "area", "rent")})
     j = a.join(b, ["key", "_block"])
     on = lambda f: f"have & {FIELD_BITS[f]} <> 0"
-    x = [f"if({on(f)}, {u} ^ {v}, 0L)" for f, u, v in zip(_WORD_FIELD, search_words(), search_words("_r"))]
-    per = lambda what: F.expr("case have " + " ".join(f"when {p} then {what(p)}" for p in PATTERNS) + " end")
-    j = j.where("p = p_r").where(F.expr(" + ".join(f"bit_count({w})" for w in x)) < per(chunks_of))
     # numbers of different laps around a ring, more than a hundredfold apart, are no neighbours
-    j = j.where(F.expr(" and ".join(f"not ({on(f)} and abs({f} - {f}_r) >= {32 * STEPS})" for f in ("area", "rent"))))
+    j = j.where("p = p_r").where(F.expr(" and ".join(f"not ({on(f)} and abs({f} - {f}_r) >= {32 * STEPS})" for f in ("area", "rent"))))
+    x = [f"if({on(f)}, {u} ^ {v}, 0L) as _x{k}" for k, (f, u, v) in enumerate(zip(_WORD_FIELD, search_words(), search_words("_r")))]
+    j = _once(j.select("lid", "rid", *kept, "have", "at", *FIELD_BITS, *[f"{f}_r" for f in FIELD_BITS]), x)
+    per = lambda what: F.expr("case have " + " ".join(f"when {p} then {what(p)}" for p in PATTERNS) + " end")
+    j = j.where(F.expr(" + ".join(f"bit_count(_x{k})" for k in range(len(x)))) < per(chunks_of))
     # rooms of a pair within the radius are equal, so its chunks differ by area and rent only
-    equal = lambda c, m: " and ".join(f"({w}) & {_mask(c, m, 64 if k == 1 else 0)}L = 0L" for k, w in enumerate(x[:3]))
+    equal = lambda c, m: " and ".join(f"_x{k} & {_mask(c, m, 64 if k == 1 else 0)}L = 0L" for k in range(3))
     first = lambda m: "case " + " ".join(f"when {equal(c, m)} then {c}" for c in range(m)) + " end"
     j = j.where(F.col("at") == per(lambda p: first(chunks_of(p))))
-    fine = lambda f: f"if({on(f)}, bit_count({ring(f, FINE)} & {ring(f + '_r', FINE)}) / {FINE}.0D, null)"
-    return j.select("lid", "rid", *kept, "have", F.lit(1.0).alias("place"), F.expr(f"if({on('rooms')}, cast(rooms = rooms_r as double), null)").alias("rooms"), F.expr(fine("area")).alias("area"), F.expr(fine("rent")).alias("rent"))
+    fine = lambda f: f"if({on(f)}, bit_count({ring(f, FINE)} & {ring(f + '_r', FINE)}) / {FINE}.0D, null) as _d_{f}"
+    j = _once(j, [f"if({on('rooms')}, cast(rooms = rooms_r as double), null) as _d_rooms", fine("area"), fine("rent")])
+    return j.select("lid", "rid", *kept, "have", F.lit(1.0).alias("place"), *[F.col(f"_d_{f}").alias(f) for f in FIELD_BITS])
 
 
 def least_score(have: int) -> float:

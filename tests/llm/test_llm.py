@@ -167,6 +167,22 @@ def test_agreeing_pairs_equal_brute_force(spark, monkeypatch, rows_a_block):
     assert match_records(a.limit(0), b, ["city", "ref_id"]).count() == 0
 
 
+def test_pairs_are_compared_in_compiled_code(spark):
+    """The search and the scores fit the methods that Spark compiles; it stops here where it would go on without."""
+    rnd = random.Random(7)
+    a, b = spark.createDataFrame(records(rnd, 40, "lid"), fields("lid")), spark.createDataFrame(records(rnd, 40, "rid"), fields("rid"))
+    conf = {"spark.sql.codegen.fallback": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert scored(agreeing_pairs(a, b.withColumn("chance", F.lit(False)), ["city", "ref_id"])).select("lid", "rid", "chance", "have", "score").count() > 0
+        assert scored(agreeing_pairs(a, b, ["city", "ref_id"])).where("score < 2").collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_search_is_exact_in_the_radius(spark):
     """All numbers in two ranges of each other are found, and the Dice tells apart what lies within the ratio."""
     rnd = random.Random(5)
